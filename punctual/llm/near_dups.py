@@ -11,14 +11,16 @@ documents with too few shared tokens are skipped before that.
 
 A group of n near copies would give n * n pairs, so pairs are taken in two steps.
 First each document meets the smallest document of its posting lists (one pair
-each). What this links is merged, and then only pairs from different merged
-groups that share a posting are compared; links inside a merged group
-change no result. All links are confirmed on full sets.
+each). What this links is merged, and then only documents from different merged
+groups that share a posting are compared: pair by pair where few share the smallest
+document of a posting, else in blocks within tasks, which give at most a link for each
+merged group. Links inside a merged group change no result. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from punctual.llm.common import drop_stored, small_side, stored
 
 COORDS, MATCHES = 64, 36
+#: Groups of up to FEW documents are compared pair by pair, larger ones in blocks of two chunks.
+FEW, CHUNK = 24, 384
 _BLOCK = 2048
 
 
@@ -160,24 +164,83 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: s
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(active, n), "id", "left_semi")
     sets = stored(texts.mapInArrow(run, "id long, members binary"), "sets")
+    # who shares a token is in the group of that token's smallest document, together with it
     first = posted.groupBy("token").agg(F.min(F.struct("id", "n_shingles")).alias("first"))
-    met = posted.join(first, "token").where(F.col("first.id") < F.col("id")).where(_fits(F.col("n_shingles"), F.col("first.n_shingles"), percent))
-    stars = met.groupBy(F.col("id").alias("b")).agg(F.min("first.id").alias("a"))
+    met = stored(posted.join(first, "token").select("id", "n_shingles", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("np")).distinct(), "met")
+    stars = met.where("pivot < id").where(_fits(F.col("n_shingles"), F.col("np"), percent)).groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
     links = stored(_confirmed(stars, sets, reps, percent), "links")
-    groups = components(links)
-    merged = stored(posted.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "merged")
-    mixed = merged.groupBy("token", "component").agg(F.count("*").alias("n"))
-    lists = stored(mixed.join(mixed.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"), "token").select("token", "component"), "lists")
-    crossing = lists.select("token", F.col("component").alias("c")).join(lists.select("token", F.col("component").alias("d")), "token").where("c < d")
-    one, two = (merged.select("token", F.col("component").alias(c), F.col("id").alias(i), F.col("n_shingles").alias(f"n{i}")) for c, i in (("c", "a"), ("d", "b")))
-    pairs = crossing.join(one, ["token", "c"]).join(two, ["token", "d"]).where(_fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    more = _confirmed(pairs, sets, reps, percent)
+    members = met.select("pivot", "id", "n_shingles").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = stored(members, "members")
+    groups = members.groupBy("pivot").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    groups = stored(groups.select("pivot", "size"), "groups")
+    few = members.join(groups.where(F.col("size") <= FEW), "pivot").select("pivot", "id", "component", "n_shingles")
+    one, two = (few.select("pivot", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}")) for i in "ab")
+    pairs = one.join(two, "pivot").where("a < b and ca <> cb").where(_fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    more = _confirmed(pairs, sets, reps, percent).unionByName(_in_blocks(members, groups.where(F.col("size") > FEW), sets, percent))
     out = stored(components(stored(links.unionByName(more), "all-links")), "components")
-    for x in (posted, sets, merged, lists):
+    for x in (posted, sets, met, members, groups):
         drop_stored(x)
     return out
 
 
+def _in_blocks(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within large groups.
+
+    A group is dealt to chunks of about CHUNK documents, large components to chunks of their own. Each two chunks
+    make a block, except two of the same component. A task compares the full sets of a block and gives no
+    more links than the block has components.
+    """
+    own = members.join(groups, "pivot").select("pivot", "id", "component", "size")
+    sizes = own.groupBy("pivot", "component", "size").agg(F.count("*").alias("n"))
+    large, parts = F.col("n") > CHUNK // 4, lambda n: F.ceil(n / CHUNK).cast("long")
+    dealt = own.join(sizes.drop("size"), ["pivot", "component"]).select("pivot", "id", "component", F.when(large, F.col("component")).otherwise(-1).alias("single"), F.when(large, F.pmod(F.xxhash64("id"), parts(F.col("n")))).otherwise(F.pmod(F.xxhash64("component"), parts(F.col("size")))).alias("part"))
+    dealt = stored(dealt, "dealt")
+    chunks = dealt.select("pivot", "single", "part").distinct()
+    left, right = (chunks.select("pivot", F.col("single").alias(f"{k}_single"), F.col("part").alias(f"{k}_part")) for k in "lr")
+    order = F.struct("l_single", "l_part") <= F.struct("r_single", "r_part")
+    blocks = stored(left.join(right, "pivot").where(order & ((F.col("l_single") != F.col("r_single")) | (F.col("l_single") == -1))), "blocks")
+    sides = [blocks.withColumns({"single": F.col(f"{k}_single"), "part": F.col(f"{k}_part"), "side": F.lit(k)}) for k in "lr"]
+    asked = sides[0].unionByName(sides[1].where(F.struct("l_single", "l_part") != F.struct("r_single", "r_part")))
+    rows = dealt.join(asked, ["pivot", "single", "part"]).join(sets, "id")
+    names = ["pivot", "l_single", "l_part", "r_single", "r_part"]
+
+    def compare(pdf):
+        left = pdf[pdf["side"] == "l"]
+        right = pdf[pdf["side"] == "r"] if (pdf["side"] == "r").any() else left
+        sides = [[np.frombuffer(m, np.uint64) for m in x["members"]] for x in (left, right)]
+        n = [np.array([len(m) for m in x]) for x in sides]
+        flat = [np.concatenate(x) for x in sides]
+        shared, owner = np.intersect1d(*flat), [np.repeat(np.arange(len(x)), k) for x, k in zip(sides, n, strict=True)]
+        both = np.zeros((len(n[0]), len(n[1])), np.float32)
+        for k in range(0, len(shared), _BLOCK):
+            grid = []
+            for values, at, x in zip(flat, owner, sides, strict=True):
+                place = np.minimum(np.searchsorted(shared[k : k + _BLOCK], values), len(shared[k : k + _BLOCK]) - 1)
+                ok = shared[k : k + _BLOCK][place] == values
+                grid.append(np.zeros((len(x), len(shared[k : k + _BLOCK])), np.float32))
+                grid[-1][at[ok], place[ok]] = 1
+            both += grid[0] @ grid[1].T
+        c = left["component"].to_numpy(), right["component"].to_numpy()
+        rows, cols = np.nonzero((100 * both >= percent * (n[0][:, None] + n[1] - both)) & (c[0][:, None] != c[1]))
+        up: dict[int, int] = {}
+        a, b = [], []
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+            x, y = sorted((find(int(c[0][i])), find(int(c[1][j]))))
+            if x != y:
+                up[y] = x
+                a.append(int(left["id"].iloc[i]))
+                b.append(int(right["id"].iloc[j]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return rows.select(*names, "side", "id", "component", "members").groupBy(*names).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept (the smallest id of each component stays).
 
