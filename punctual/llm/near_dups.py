@@ -19,6 +19,8 @@ merged group. Links inside a merged group change no result. All links are confir
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -106,7 +108,11 @@ def _fits(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], reps: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) that agree in enough coordinates and whose full sets are similar enough."""
 
     def agree(batches):
@@ -128,8 +134,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
         left, right = of.select(F.col("id").alias("a"), F.col(name).alias("x")), of.select(F.col("id").alias("b"), F.col(name).alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    likely = with_both(pairs, reps, "sig").mapInArrow(agree, "a long, b long")
-    return with_both(likely, sets, "members").mapInArrow(verify, "a long, b long").distinct()
+    pairs = stored(pairs, "pairs")
+    asked = small_side(stored(_ids(pairs), "asked"))
+    likely = stored(with_both(pairs, reps.join(asked, "id", "left_semi"), "sig").mapInArrow(agree, "a long, b long"), "likely")
+    sets = sets_of(_ids(likely))
+    out = stored(with_both(likely, sets, "members").mapInArrow(verify, "a long, b long").distinct(), "confirmed")
+    for x in (pairs, sets):
+        drop_stored(x)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,22 +165,23 @@ def components(links: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """id, component of representatives that are linked with another one; None if none is."""
     posted = postings(reps)
-    active = stored(posted.select("id").distinct(), "active")
-    n = active.count()
-    if not n:
+    if posted.isEmpty():
         return None
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "members"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(active, n), "id", "left_semi")
-    sets = stored(texts.mapInArrow(run, "id long, members binary"), "sets")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full sets of these documents, from their texts; no others are moved."""
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(stored(ids, "ids")), "id", "left_semi")
+        return stored(texts.mapInArrow(run, "id long, members binary"), "sets")
+
     # who shares a token is in the group of that token's smallest document, together with it
     first = posted.groupBy("token").agg(F.min(F.struct("id", "n_shingles")).alias("first"))
     met = stored(posted.join(first, "token").select("id", "n_shingles", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("np")).distinct(), "met")
     stars = met.where("pivot < id").where(_fits(F.col("n_shingles"), F.col("np"), percent)).groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
-    links = stored(_confirmed(stars, sets, reps, percent), "links")
+    links = _confirmed(stars, sets_of, reps, percent)
     members = met.select("pivot", "id", "n_shingles").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = stored(members, "members")
     groups = members.groupBy("pivot").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
@@ -176,14 +189,14 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: s
     few = members.join(groups.where(F.col("size") <= FEW), "pivot").select("pivot", "id", "component", "n_shingles")
     one, two = (few.select("pivot", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}")) for i in "ab")
     pairs = one.join(two, "pivot").where("a < b and ca <> cb").where(_fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    more = _confirmed(pairs, sets, reps, percent).unionByName(_in_blocks(members, groups.where(F.col("size") > FEW), sets, percent))
+    more = _confirmed(pairs, sets_of, reps, percent).unionByName(_in_blocks(members, groups.where(F.col("size") > FEW), sets_of, percent))
     out = stored(components(stored(links.unionByName(more), "all-links")), "components")
-    for x in (posted, sets, met, members, groups):
+    for x in (posted, met, members, groups):
         drop_stored(x)
     return out
 
 
-def _in_blocks(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(members: DataFrame, groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between components within large groups.
 
     A group is dealt to chunks of about CHUNK documents, large components to chunks of their own. Each two chunks
@@ -201,7 +214,8 @@ def _in_blocks(members: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     blocks = stored(left.join(right, "pivot").where(order & ((F.col("l_single") != F.col("r_single")) | (F.col("l_single") == -1))), "blocks")
     sides = [blocks.withColumns({"single": F.col(f"{k}_single"), "part": F.col(f"{k}_part"), "side": F.lit(k)}) for k in "lr"]
     asked = sides[0].unionByName(sides[1].where(F.struct("l_single", "l_part") != F.struct("r_single", "r_part")))
-    rows = dealt.join(asked, ["pivot", "single", "part"]).join(sets, "id")
+    rows = stored(dealt.join(asked, ["pivot", "single", "part"]), "rows")
+    rows = rows.join(sets_of(rows.select("id").distinct()), "id")
     names = ["pivot", "l_single", "l_part", "r_single", "r_part"]
 
     def compare(pdf):
