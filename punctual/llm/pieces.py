@@ -22,3 +22,21 @@ def cut(text: str) -> list[str]:
         else:
             pieces[-1] += " " + x
     return pieces if first or pieces[0] else pieces[1:]
+
+
+class Remembered(dict):
+    """piece -> encoding. Up to `most` pieces stay; later ones are at hand, in `passing`, until the next texts."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.passing = most, {}
+
+    def __missing__(self, piece: str):
+        return self.passing[piece]
+
+    def unknown(self, cuts) -> list[str]:
+        self.passing = {}
+        return list({p for c in cuts for p in c}.difference(self))
+
+    def add(self, piece: str, encoding) -> None:
+        (self if len(self) < self.most else self.passing)[piece] = encoding

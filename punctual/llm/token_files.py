@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.common import drop_path, new_path
-from punctual.llm.pieces import cut
+from punctual.llm.pieces import Remembered, cut
 
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers.
-_REMEMBERED = 250_000
+_REMEMBERED = 1_000_000
 _WORKER: dict = {}
 
 
@@ -67,21 +68,18 @@ def _tokenizer(path: str):
         made = Tokenizer.from_file(path)
         made.no_truncation()
         made.no_padding()
-        _WORKER[path] = made, {}, [x.content for x in made.get_added_tokens_decoder().values()]
+        _WORKER[path] = made, Remembered(_REMEMBERED), [x.content for x in made.get_added_tokens_decoder().values()]
     return _WORKER[path]
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     tokenizer, known, added = _tokenizer(path)
     cuts = [[t or ""] if any(a in (t or "") for a in added) else cut(t or "") for t in texts]
-    new = list({p for c in cuts for p in c if p not in known})
-    if len(known) + len(new) > _REMEMBERED:
-        known.clear()
-        new = list({p for c in cuts for p in c})
+    new = known.unknown(cuts)
     for k in range(0, len(new), 20_000):
         part = new[k : k + 20_000]
         for piece, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[piece] = np.array(got.ids, "<u4").tobytes()
+            known.add(piece, array("I", got.ids).tobytes())
     return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cuts]
 
 

@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm.pieces import cut
+from punctual.llm.pieces import Remembered, cut
 
 #: Fixed value: the pattern by which byte-level BPE cuts texts into words.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_REMEMBERED, _PAIRS = 250_000, 2_000_000
+_REMEMBERED, _PAIRS = 700_000, 2_000_000
 _WORKER: dict = {}
 
 
@@ -61,7 +61,7 @@ class TrieBPE:
         self.by_merging = {t: i for t, i in self.id_of.items() if self.merged(t) == [i]}
         self.pattern, self.special = regex.compile(WORD_PATTERN), regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
         self.side_by_side: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(_REMEMBERED)
 
     def merged(self, word: bytes) -> list[int]:
         """Plain BPE: the merge learnt first is applied first, from left to right."""
@@ -124,15 +124,12 @@ class TrieBPE:
                 at = m.end()
             cuts.append(own + (cut(text[at:]) if text[at:] else []) if own else cut(text or ""))
         known = self.known
-        new = {p for c in cuts for p in c if isinstance(p, str) and p not in known}
-        if len(known) + len(new) > _REMEMBERED:
-            known.clear()
-            new = {p for c in cuts for p in c if isinstance(p, str)}
+        new = [p for p in known.unknown(cuts) if isinstance(p, str)]
         if new:
             split = {p: [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(p)] for p in new}
             ids = self.encode_words(list({w for ws in split.values() for w in ws}))
             for piece, own in split.items():
-                known[piece] = ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, own)))
+                known.add(piece, ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, own))))
         return [list(chain.from_iterable(known[p] if isinstance(p, str) else (p,) for p in c) if any(isinstance(p, int) for p in c) else chain.from_iterable(map(known.__getitem__, c))) for c in cuts]
 
     def decode(self, ids: list[int]) -> str:
