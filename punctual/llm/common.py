@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a one-column key table that a join may broadcast (about 24 MB); a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+#: Tasks over which the rows of one key are dealt in joins with sides larger than that.
+WAYS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,16 @@ def small_side(keys: DataFrame, rows: int | None = None) -> DataFrame:
     """keys with a broadcast hint if they are counted to be few enough; as they are, for a shuffled join, if not."""
     n = keys.count() if rows is None else rows
     return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+
+
+def left_join_hot(rows: DataFrame, side: DataFrame, key: str, *dealt_by: str) -> DataFrame:
+    """rows left join side, which has one row a key, where one key may hold much of rows.
+
+    A side counted to be small is broadcast. With a larger one each key's rows are dealt over
+    WAYS tasks by a hash of dealt_by, and the side's row goes to each of them.
+    """
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, "left")
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(*dealt_by), F.lit(WAYS)))
+    ways = side.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
+    return dealt.join(ways, [key, "_way"], "left").drop("_way")

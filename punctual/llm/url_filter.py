@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punctual.llm.common import left_join_hot, stored
+
 #: A host is blocked if mean - BOUND_SD * sd of its posterior rate of bad pages exceeds BAD_LIMIT.
 BAD_LIMIT, BOUND_SD = 0.2, 1.0
 #: (host, path, verdict)
@@ -76,7 +78,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_c
     Pages without a host fall under no rule and are allowed. Extra columns of pages are ignored.
     """
     pages = with_host(pages.select(id_col, url_col), url_col)
-    bad = reputations(pages, outcomes, id_col).where(F.col("mean") - bound_sd * F.col("sd") > bad_limit).select("host", F.lit(True).alias("bad_host"))
+    bad = stored(reputations(pages, outcomes, id_col).where(F.col("mean") - bound_sd * F.col("sd") > bad_limit).select("host", F.lit(True).alias("bad_host")), "bad-hosts")
     name, verdict = _rule(RULES if rules is None else rules)
-    joined = pages.join(bad, "host", "left")
+    joined = left_join_hot(pages, bad, "host", id_col, "path")
     return joined.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_host"), F.lit("block")), F.lit("allow")).alias("verdict"))
