@@ -64,3 +64,20 @@ def expected_wait_by_hour(headways: DataFrame) -> DataFrame:
 
 def worst_gaps(headways: DataFrame, n: int = 25) -> DataFrame:
     return headways.orderBy(F.desc("headway_s"), "service_date", "route_id", "stop_id", "trip_id").limit(n)
+
+
+def scheduled_headways(plan: DataFrame) -> DataFrame:
+    """Minutes between scheduled passages of a stop, 30 s to 90 min, in the columns of headways_lead."""
+    w = Window.partitionBy("route_id", "stop_id", "service_date").orderBy("scheduled_arrival", "trip_id")
+    at = F.col("scheduled_arrival")
+    own = plan.withColumn("s", c.seconds_between(at, F.lead("scheduled_arrival").over(w))).where(F.col("s").between(30, 5400))
+    return own.select("service_date", "route_id", "stop_id", at.alias("actual_arrival"), c.local_hour(at).alias("hour"), c.day_type(F.col("service_date")).alias("day_type"), (F.col("s") / 60).alias("headway_min"))
+
+
+def observed_vs_scheduled_wait(observed: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """Expected waits side by side for all 24 hours of each observed route and day type; the difference only where both are there."""
+    key = ["route_id", "day_type", "hour"]
+    spine = observed.select("route_id", "day_type").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    side = lambda df, name: df.select(*key, F.col("n").alias(f"{name}_n"), c.rounded(F.col("expected_wait_min"), 1).alias(f"{name}_min"))
+    own = spine.join(side(observed, "observed"), key, "left").join(side(scheduled, "scheduled"), key, "left")
+    return own.withColumn("difference_min", c.rounded(F.col("observed_min") - F.col("scheduled_min"), 1)).fillna(0, ["observed_n", "scheduled_n"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
 from punctual.operators import observations as o
-from punctual.operators import reportcard, schedule, speeds, trips, waits
+from punctual.operators import reportcard, schedule, screenline, speeds, trips, waits
 from punctual.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,3 +310,75 @@ def report_card(spark, sf_dir):
     obs = fx.observed(spark, sf_dir)
     metrics = reportcard.route_metrics(obs, schedule.distortion(fx.plan(spark, sf_dir), obs))
     return reportcard.composite_score(metrics).select("route_id", "observations", "score", "grade")
+
+
+_BAND = "CASE WHEN h < 5 THEN 'Late night' WHEN h < 6 THEN 'Early AM' WHEN h < 9 THEN 'AM peak' WHEN h < 15 THEN 'Midday' WHEN h < 19 THEN 'PM peak' ELSE 'Evening' END AS time_band"
+_DAY3 = "CASE dayofweek(service_date) WHEN 0 THEN 'Sunday / holiday' WHEN 6 THEN 'Saturday' ELSE 'Weekday' END AS day_type"
+_SCREEN = f""", sc AS (SELECT p.service_date, p.route_id, p.direction_id, p.trip_id, p.sched_s, a.act_s, row_number() OVER w - 1 AS schedule_index, (p.sched_s - lag(p.sched_s) OVER w) / 60.0::DOUBLE AS scheduled_headway_min,
+  CASE WHEN a.act_s IS NOT NULL THEN '{screenline.HERE}' WHEN e.trip_id IS NOT NULL THEN '{screenline.ELSEWHERE}' ELSE '{screenline.NOWHERE}' END AS status
+  FROM plan p LEFT JOIN arr a ON a.service_date = p.service_date AND a.trip_id = p.trip_id AND a.stop_sequence = p.stop_sequence LEFT JOIN (SELECT DISTINCT service_date, trip_id FROM arr) e ON e.service_date = p.service_date AND e.trip_id = p.trip_id
+  WHERE p.stop_id = CASE p.direction_id WHEN 0 THEN 'S4' ELSE 'S3' END WINDOW w AS (PARTITION BY p.service_date, p.route_id, p.direction_id ORDER BY p.sched_s, p.trip_id))"""
+_GAPS = _SCREEN + f""", g0 AS (SELECT *, {_DAY3}, {_BAND}, (act_s - lag(act_s) OVER w) / 60.0::DOUBLE AS headway_min, schedule_index - lag(schedule_index) OVER w - 1 AS missed_slots FROM (SELECT *, ((act_s - 25200) // 3600) % 24 AS h FROM sc WHERE act_s IS NOT NULL) WINDOW w AS (PARTITION BY service_date, route_id, direction_id ORDER BY act_s, trip_id)),
+us AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(scheduled_headway_min, 0.5) AS usual_min FROM (SELECT *, {_DAY3}, {_BAND} FROM (SELECT *, ((sched_s - 25200) // 3600) % 24 AS h FROM sc WHERE scheduled_headway_min BETWEEN 1 AND 180)) GROUP BY ALL),
+gp AS (SELECT g0.*, usual_min FROM g0 LEFT JOIN us USING (route_id, direction_id, day_type, time_band) WHERE headway_min BETWEEN 1 AND 180)"""
+
+
+def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screenline.screenline(fx.plan(spark, sf_dir), fx.observed(spark, sf_dir), {0: "S4", 1: "S3"})
+
+
+@query(_SCREEN + f" SELECT service_date, route_id, direction_id, trip_id, schedule_index, {r('scheduled_headway_min', 3)} AS scheduled_headway_min, status FROM sc")
+def screenline_runs(spark, sf_dir):
+    return _screen(spark, sf_dir).drop("scheduled_arrival", "actual_arrival").withColumn("scheduled_headway_min", c.rounded(F.col("scheduled_headway_min"), 3))
+
+
+@query(_GAPS + f" SELECT service_date, route_id, direction_id, trip_id, day_type, time_band, {r('headway_min', 3)} AS headway_min, missed_slots, {r('usual_min', 3)} AS usual_min FROM gp")
+def screenline_intervals(spark, sf_dir):
+    return screenline.intervals(_screen(spark, sf_dir)).withColumns({x: c.rounded(F.col(x), 3) for x in ("headway_min", "usual_min")})
+
+
+def _part(x: str) -> str:
+    return r(f"100 * avg(CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 3)
+
+
+@query(_GAPS + f""" SELECT route_id, direction_id, day_type, time_band, count(*) AS n, count(DISTINCT service_date) AS service_days, {r('max(usual_min)', 3)} AS usual_min, {r('quantile_cont(headway_min, 0.5)', 3)} AS median_min, {r('quantile_cont(headway_min, 0.9)', 3)} AS p90_min,
+  {r('max(headway_min)', 3)} AS max_min, {r('avg(headway_min)', 3)} AS mean_min, {r('stddev_samp(headway_min) / avg(headway_min)', 3)} AS cv, {r('sum(headway_min * headway_min) / (2 * sum(headway_min))', 3)} AS mean_wait_min,
+  {_part('headway_min < 0.5 * usual_min')} AS bunching_pct, {_part('headway_min > 1.5 * usual_min')} AS gap_1_5x_pct, {_part('headway_min > 2 * usual_min')} AS gap_2x_pct, {_part('missed_slots > 0')} AS missed_pct FROM gp GROUP BY ALL""")
+def headway_summary(spark, sf_dir):
+    return screenline.headway_summary(screenline.intervals(_screen(spark, sf_dir)))
+
+
+@query(_SCREEN + f", ct AS (SELECT route_id, direction_id, status, count(*) AS n FROM sc GROUP BY ALL) SELECT *, {r('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY route_id, direction_id)')} AS share_pct FROM ct")
+def delivery_status_share(spark, sf_dir):
+    return screenline.status_share(_screen(spark, sf_dir))
+
+
+@query(_SCREEN + f", ct AS (SELECT route_id, direction_id, (((sched_s - 25200) // 3600) % 24)::INT AS hour, status, count(*) AS n FROM sc GROUP BY ALL) SELECT *, {r('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY route_id, direction_id, hour)')} AS share_pct FROM ct")
+def delivery_by_hour(spark, sf_dir):
+    return screenline.status_share(_screen(spark, sf_dir).withColumn("hour", c.local_hour(F.col("scheduled_arrival"))), "hour")
+
+
+@query(", dy AS (SELECT service_date, count(*) AS arrivals FROM fresh GROUP BY 1) SELECT a.service_date, a.arrivals, w::INT AS weeks_ago, b.arrivals AS before FROM dy a, unnest([1, 2]) AS u(w), dy b WHERE b.service_date = a.service_date - 7 * w::INT")
+def prior_same_dow(spark, sf_dir):
+    daily = o.fresh(fx.observed(spark, sf_dir)).groupBy("service_date").agg(F.count("*").alias("arrivals"))
+    return screenline.prior_same_weekday(daily, "arrivals")
+
+
+_WAITS = """, {x}ct AS (SELECT route_id, day_type, a, b, k FROM ({rows}), unnest(range(a // 3600, (b - 1) // 3600 + 1)) AS u(k)), {x}sl AS (SELECT *, greatest(a, k * 3600) AS lo, least(b, (k + 1) * 3600) AS hi FROM {x}ct),
+{x}ew AS (SELECT route_id, day_type, ((k - 7) % 24)::INT AS hour, count(*) AS n, sum(hi - lo)::DOUBLE AS covered_s, {wait} AS expected_wait_min FROM {x}sl GROUP BY 1, 2, 3)"""
+_WAIT = r("sum((b - lo) * (b - lo) - (b - hi) * (b - hi))::DOUBLE / 2 / sum(hi - lo)::DOUBLE / 60", 3)
+_DAY2 = "CASE WHEN dayofweek(service_date) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS day_type"
+_PLANNED = _WAITS.format(x="p", wait=_WAIT, rows=f"SELECT * FROM (SELECT route_id, {_DAY2}, sched_s AS a, lead(sched_s) OVER (PARTITION BY route_id, stop_id, service_date ORDER BY sched_s, trip_id) AS b FROM plan) WHERE b - a BETWEEN 30 AND 5400")
+_OBSERVED = _LEAD + _WAITS.format(x="o", wait=_WAIT, rows="SELECT route_id, day_type, act_s AS a, act_s + s AS b FROM hw")
+
+
+@query(_PLANNED + " SELECT * FROM pew")
+def sched_expected_wait(spark, sf_dir):
+    return waits.expected_wait_by_hour(waits.scheduled_headways(fx.plan(spark, sf_dir)))
+
+
+@query(_OBSERVED + _PLANNED + f""", sp AS (SELECT * FROM (SELECT DISTINCT route_id, day_type FROM oew), (SELECT unnest(range(24))::INT AS hour)), bo AS (SELECT sp.*, coalesce(oew.n, 0) AS observed_n, {r('oew.expected_wait_min')} AS observed_min, coalesce(pew.n, 0) AS scheduled_n, {r('pew.expected_wait_min')} AS scheduled_min FROM sp LEFT JOIN oew USING (route_id, day_type, hour) LEFT JOIN pew USING (route_id, day_type, hour))
+SELECT *, {r('observed_min - scheduled_min')} AS difference_min FROM bo""")
+def obs_vs_sched_wait(spark, sf_dir):
+    both = [waits.expected_wait_by_hour(x) for x in (waits.headways_lead(fx.observed(spark, sf_dir)), waits.scheduled_headways(fx.plan(spark, sf_dir)))]
+    return waits.observed_vs_scheduled_wait(*both)
