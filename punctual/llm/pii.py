@@ -99,8 +99,8 @@ def disclosing_terms(based: DataFrame, id_col: str = "doc_id", text_col: str = "
     values = mentions.groupBy("value").agg(F.count_distinct("id").alias("ne"))
     pairs = mentions.select("id", "value", F.explode(F.array_distinct("near")).alias("term")).groupBy("value", "term").agg(F.count_distinct("id").alias("net")).where(F.col("net") >= support)
     pairs = stored(pairs.join(values, "value"), "pairs")
-    asked = stored(pairs.select("term").distinct(), "asked")
-    terms = based.select(F.explode(_terms(text)).alias("term")).join(small_side(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    # all words are counted, combined before the shuffle: asking only for those of pairs would keep ever more of them as the corpus grows
+    terms = based.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
     n = F.lit(float(total))
     told = F.log(n * F.col("net") / (F.col("ne") * F.col("nt")))
     best = pairs.join(terms, "term").withColumn("share", told / F.log(n / F.col("ne"))).where((F.col("ne") < total) & (F.col("share") >= disclosure))
