@@ -1,32 +1,40 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over characters, folded to 32 classes (a-z with accents taken off, digit, space,
-line end, sentence mark, other sign, other letter), of order ORDER. Tasks count the n-grams of
-all trusted documents; the counts, continuation counts, discounts and back-off
-weights are then worked out by joins of count tables that are sharded by language and
-n-gram. Classes and order bound the model: at most 32 ** ORDER entries for each of the
-named languages and one more model for all others, whatever the size of the corpus. It is so
-small that each task holds it and scores whole documents where they lie.
-A document is rejected if its perplexity is beyond the quantile of trusted
-documents of its language, with an allowance for the sampling error of short texts.
+line end, sentence mark, other sign, other letter), of order ORDER. Classes of whole texts
+are first packed into blocks of about BLOCK characters, each of one model. Tasks count the
+n-grams of the trusted documents; counts, continuation counts, discounts and back-off weights are worked
+out by joins of count tables that are sharded by model and n-gram, and grow with the corpus. To score, each block
+asks for its distinct n-grams, joins find their probabilities in the shards, and what a block
+asked for comes back to it; no task or driver holds the model.
+One trusted document in CALIBRATION is not learnt from. A document is rejected if its perplexity is beyond the
+quantile of these held-out documents of its language, with an allowance for sampling errors.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.common import small_side, stored
 
-ORDER, CLASSES = 4, 32
+ORDER, CLASSES = 6, 32
+#: Characters, and documents, after which a block is closed; a longer text is a block of its own.
+BLOCK, BLOCK_DOCS = 1 << 24, 50_000
+#: One trusted document in so many, by a hash of its id, sets the threshold instead of being learnt from.
+CALIBRATION = 5
 #: Languages with a model of their own.
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl")
 #: Quantile of trusted perplexities, and allowance: a text of n characters may exceed it by the factor exp(ALLOWANCE / sqrt(n)).
 QUANTILE, ALLOWANCE = 0.995, 2.0
+#: The threshold from m held-out documents may be exceeded by the factor exp(SPREAD / sqrt(m)).
+SPREAD = 1.0
 _BITS, _KNOWN = 5, 0x250
 _MARKS = ".,;:!?'\"()-‘’“”«»¡¿"
 
@@ -46,45 +54,79 @@ def _class_of(c: str) -> int:
 
 def _table() -> np.ndarray:
     """Classes of the code points below U+0250; the last entry is for all others."""
-    return np.array([_class_of(chr(k)) for k in range(_KNOWN)] + [31], np.int64)
+    return np.array([_class_of(chr(k)) for k in range(_KNOWN)] + [31], np.uint8)
 
 
-def grams(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Codes of all n-grams that end at a character of text; line ends stand before its start."""
+def classes_of(text: str | None, table: np.ndarray) -> np.ndarray:
+    """Classes of ORDER - 1 line ends and of the text after them."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    classes = np.concatenate([np.zeros(ORDER - 1, np.int64), table[np.minimum(points, _KNOWN)]])
-    code = np.zeros(len(points), np.int64)
+    return np.concatenate([np.zeros(ORDER - 1, np.uint8), table[np.minimum(points, _KNOWN)]])
+
+
+def _grams(packed: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams of a block, and where those of each document begin; it has as many as characters."""
+    classes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    code = np.zeros(len(classes) - ORDER + 1, np.int32)
     for k in range(ORDER):
-        code = code << _BITS | classes[k : k + len(points)]
-    return code
+        np.left_shift(code, _BITS, out=code)
+        np.bitwise_or(code, classes[k : k + len(code)], out=code)
+    return code, np.cumsum(sizes + (ORDER - 1)) - (sizes + (ORDER - 1))
+
+
+def held_out(id_col: str):
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(CALIBRATION)) == 0
 
 
 def _model_of(lang):
     return F.when(F.col(lang).isin(*LANGUAGES), F.col(lang)).otherwise("other")
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """model, code, n over docs (model, text)."""
+_BLOCK = "block long, model string, ids array<long>, langs array<string>, roles array<int>, sizes array<int>, packed binary"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Blocks of docs (id, lang, model, role, text)."""
+
+    def run(batches):
+        table, press, waiting = _table(), zstandard.ZstdCompressor(level=6), {}
+
+        def row(model):
+            ids, langs, roles, classes = zip(*waiting.pop(model)[0], strict=True)
+            sizes = [len(x) - ORDER + 1 for x in classes]
+            own = [[uuid.uuid4().int >> 65], [model], [ids], [langs], [roles], [sizes], [press.compress(np.concatenate(classes).tobytes())]]
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, kinds, strict=True)], ["block", "model", "ids", "langs", "roles", "sizes", "packed"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, lang, model, role, text = (c[k].as_py() for c in batch.columns)
+                classes = classes_of(text, table)
+                own, n = waiting.get(model, ([], 0))
+                own.append((i, lang, role, classes))
+                waiting[model] = own, n + len(classes)
+                if n + len(classes) >= BLOCK or len(own) >= BLOCK_DOCS:
+                    yield row(model)
+        for model in list(waiting):
+            yield row(model)
+
+    return docs.select("id", "lang", "model", "role", "text").mapInArrow(run, _BLOCK)
+
+
+def _counted(blocks: DataFrame, learning: bool) -> DataFrame:
+    """block, model, code, n: the distinct n-grams of each block, of its documents to learn from or of all."""
 
     def run(batches):
-        table, counts = _table(), {}
         for batch in batches:
-            for model, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if model not in counts:
-                    counts[model] = np.zeros(1 << _BITS * ORDER, np.int64)
-                code = grams(text, table)
-                if len(code) > 1 << 16:
-                    counts[model] += np.bincount(code, minlength=len(counts[model]))
-                else:
-                    each, n = np.unique(code, return_counts=True)
-                    counts[model][each] += n
-        for model, n in counts.items():
-            at = np.flatnonzero(n)
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(part), pa.string()), pa.array(part), pa.array(n[part])], ["model", "code", "n"])
-
-    return docs.select("model", "text").mapInArrow(run, "model string, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+            for block, model, roles, sizes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes = np.array(sizes, np.int64)
+                code, starts = _grams(packed, sizes)
+                own = [code[a : a + n] for a, n, r in zip(starts, sizes, roles, strict=True) if r == 1 or not learning]
+                each, n = np.unique(np.concatenate(own), return_counts=True) if own else (code[:0], code[:0])
+                for k in range(0, len(each), 100_000):
+                    part = each[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array([model] * len(part), pa.string()), pa.array(part), pa.array(n[k : k + 100_000].astype(np.int64))], ["block", "model", "code", "n"])
+
+    return blocks.select("block", "model", "roles", "sizes", "packed").mapInArrow(run, "block long, model string, code int, n long")
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -95,86 +137,86 @@ def _discounts(level: DataFrame) -> DataFrame:
     return seen.select("model", *[own(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """The model of trusted (model, text) as rows: model, level, code, p, gamma.
+def train(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """The model of counts (model, code, n) of n-grams of order ORDER, by order k: (model, code, p) and (model, code, gamma).
 
-    p is the interpolated probability of the n-gram's last class after the others; rows with a null p hold the weight
-    gamma by which the next lower level counts after the context `code`.
+    p is the interpolated probability of the n-gram's last class after the others; gamma the weight by which the next
+    lower order counts after the context `code`.
     """
-    level = stored(_counts(trusted), "counts")
+    level = stored(counts, "counts")
     levels = {ORDER: level}
     for k in range(ORDER - 1, 0, -1):
         level = stored(level.groupBy("model", (F.col("code") % (1 << _BITS * k)).alias("code")).agg(F.count("*").alias("n")), f"continuations{k}")
         levels[k] = level
-    lower, out = None, None
+    lower, out = None, {}
     for k in range(1, ORDER + 1):
         rows = levels[k].join(F.broadcast(_discounts(levels[k])), "model")  # a row for each of the named languages
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.select("model", "code", F.shiftright("code", _BITS).alias("context"), "n", discount.alias("d"))
-        contexts = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
+        contexts = stored(rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), f"contexts{k}")
         below = F.lit(1.0 / CLASSES)
         joined = rows.join(contexts, ["model", "context"])
         if lower is not None:
             joined = joined.join(lower, (joined["model"] == lower["m"]) & (joined["code"] % (1 << _BITS * (k - 1)) == lower["suffix"]))
             below = F.col("below")
-        level = stored(joined.select("model", F.lit(k).alias("level"), "code", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below).alias("p"), F.lit(None).cast("double").alias("gamma")), f"level{k}")
+        level = stored(joined.select("model", "code", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below).alias("p")), f"level{k}")
         lower = level.select(F.col("model").alias("m"), F.col("code").alias("suffix"), F.col("p").alias("below"))
-        both = level.unionByName(contexts.select("model", F.lit(k).alias("level"), F.col("context").alias("code"), F.lit(None).cast("double").alias("p"), "gamma"))
-        out = both if out is None else out.unionByName(both)
+        out[k] = level, contexts.select("model", F.col("context").alias("code"), "gamma")
     return out
 
 
-def dense(model) -> dict[str, np.ndarray]:
-    """Log probabilities of all n-grams of order ORDER by model name, from the rows of train() as a pandas frame."""
-    out = {}
-    for name, own in model.groupby("model"):
-        p = np.full(1, 1.0 / CLASSES)
-        for k in range(1, ORDER + 1):
-            at = own[own["level"] == k]
-            gamma, seen = at[at["p"].isna()], at[at["p"].notna()]
-            weight = np.ones(1 << _BITS * (k - 1))
-            weight[gamma["code"].to_numpy()] = gamma["gamma"]
-            contexts = np.arange(1 << _BITS * (k - 1))
-            tails = contexts % (1 << _BITS * (k - 2)) if k > 1 else np.zeros(1, np.int64)
-            p = (weight[:, None] * (p.reshape(-1, CLASSES)[tails] if k > 1 else p.repeat(CLASSES)[None])).ravel()
-            p[seen["code"].to_numpy()] = seen["p"]
-        out[name] = np.log(p).astype(np.float32)
-    return out
-
-
-def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """id, lang, model, n_chars, nll (mean negative log probability of a character; null without text or model) over docs (id, lang, model, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.toPandas())
-
-    def run(batches):
-        table, tables = _table(), dense(shared.value)
-        for batch in batches:
-            n, nll = [], []
-            for name, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                code = grams(text, table)
-                n.append(len(code))
-                nll.append(float(-tables[name][code].sum(dtype=np.float64) / len(code)) if len(code) and name in tables else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nll, pa.float64())], ["id", "lang", "model", "n_chars", "nll"])
-
-    return docs.select("id", "lang", "model", "text").mapInArrow(run, "id long, lang string, model string, n_chars long, nll double")
+def log_probabilities(wanted: DataFrame, levels: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """model, code, logp of distinct wanted (model, code): the highest order that has seen it, times the weights of those above."""
+    rows = wanted.select("model", "code", F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("weight"))
+    for k in range(ORDER, 0, -1):
+        # up to order 3 there are at most 32 ** 3 entries for each of the named languages
+        near = F.broadcast if k <= 3 else lambda x: x
+        known, contexts = levels[k]
+        known, contexts = known.select("model", F.col("code").alias("suffix"), F.col("p").alias("found")), contexts.select("model", F.col("code").alias("context"), "gamma")
+        suffix = F.col("code") % (1 << _BITS * k)
+        rows = rows.withColumns({"suffix": suffix, "context": F.shiftright(suffix, _BITS)}).join(near(known), ["model", "suffix"], "left").join(near(contexts), ["model", "context"], "left")
+        rows = rows.select("model", "code", F.coalesce("p", F.col("weight") * F.col("found")).alias("p"), (F.col("weight") * F.coalesce("gamma", F.lit(1.0))).alias("weight"))
+    return rows.select("model", "code", F.log(F.coalesce("p", F.col("weight") / CLASSES)).cast("float").alias("logp"))
+
+
+def scored(blocks: DataFrame, levels: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """id, lang, model, role, n_chars, nll (mean negative log probability of a character; null without text) of the documents of blocks."""
+    asked = _counted(blocks, False).select("block", "model", "code")
+    known = stored(log_probabilities(asked.select("model", "code").distinct(), levels), "probabilities")
+    found = asked.join(known, ["model", "code"]).select("block", "code", "logp")
+    names = ["id", "lang", "model", "role", "n_chars", "nll"]
+
+    def run(own: pa.Table, values: pa.Table) -> pa.Table:
+        out = []
+        order = np.argsort(at := values["code"].to_numpy())
+        at, logp = at[order], values["logp"].to_numpy()[order]
+        for model, ids, langs, roles, sizes, packed in zip(*(own[c].to_pylist() for c in ("model", "ids", "langs", "roles", "sizes", "packed")), strict=True):
+            sizes = np.array(sizes, np.int64)
+            code, starts = _grams(packed, sizes)
+            total = [float(logp[np.searchsorted(at, code[a : a + n])].sum(dtype=np.float64)) for a, n in zip(starts, sizes, strict=True)]
+            nll = [-t / n if n else None for t, n in zip(total, sizes.tolist(), strict=True)]
+            out.append(pa.table([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([model] * len(ids), pa.string()), pa.array(roles, pa.int32()), pa.array(sizes), pa.array(nll, pa.float64())], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64())], names)
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "id long, lang string, model string, role int, n_chars long, nll double")
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, allowance: float = ALLOWANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id_col, lang, n_chars, perplexity, threshold, kept for each row of docs.
 
-    trusted_ids: id_col of the documents to learn from. A null language counts among the other languages. Texts without a
-    character have no perplexity and are rejected. Languages without trusted text have no model: their documents are
+    trusted_ids: id_col of the documents to learn from and to set thresholds by. A null language counts among the other languages. Texts without a
+    character have no perplexity and are rejected. Languages without held-out trusted text have no threshold: their documents are
     kept, with null perplexity. Extra columns are ignored; repeated rows give a row each; a null id is scored, but never trusted.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), _model_of(lang_col).alias("model"), F.col(text_col).alias("text"))
-    trusted_ids = stored(trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct(), "trusted")
-    near = small_side(trusted_ids)
-    model = stored(train(docs.join(near, "id", "left_semi")), "model")
-    scores = stored(scored(docs, model), "scores")
-    limits = scores.where("nll is not null").join(near, "id", "left_semi").groupBy("model").agg(F.percentile_approx("nll", quantile, 10_000).alias("limit"))
+    trusted_ids = stored(trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("own", F.when(held_out("id"), 2).otherwise(1)), "trusted")
+    blocks = stored(_packed(docs.join(small_side(trusted_ids), "id", "left").withColumn("role", F.coalesce("own", F.lit(0)))), "blocks")
+    levels = train(_counted(blocks, True).groupBy("model", "code").agg(F.sum("n").alias("n")))
+    scores = stored(scored(blocks, levels), "scores")
+    limits = scores.where("nll is not null and role = 2").groupBy("model").agg((F.percentile_approx("nll", quantile, 10_000) + SPREAD / F.sqrt(F.count("*"))).alias("limit"))
     out = scores.join(F.broadcast(limits), "model", "left")  # a row for each of the named languages
     kept = F.when(F.col("n_chars") == 0, False).otherwise(F.coalesce(F.col("nll") <= F.col("limit") + F.lit(allowance) / F.sqrt("n_chars"), F.lit(True)))
-    return out.select(F.col("id").alias(id_col), "lang", "n_chars", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), "lang", "n_chars", F.when(F.col("limit").isNotNull(), F.exp("nll")).alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
 
 
 def filtered(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -101,7 +101,7 @@ def _kneser_ney(texts):
     table, order = quality_model._table(), quality_model.ORDER
     counts = {order: Counter()}
     for t in texts:
-        classes = [0] * (order - 1) + [int(table[min(ord(c), 0x250)]) for c in t]
+        classes = quality_model.classes_of(t, table).tolist()
         counts[order].update(tuple(classes[k : k + order]) for k in range(len(classes) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -135,12 +135,13 @@ def test_quality_model(spark, docs, rows):
     assert quality_model.judged(docs, trusted).count() == len(rows)
     good = {x.doc_id for x in trusted.collect()}
     langs = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
-    p, table = _kneser_ney([t for d, t in rows if d in good and langs[d] == "de"])
+    apart = {x.doc_id for x in trusted.where(quality_model.held_out("doc_id")).collect()}
+    p, table = _kneser_ney([t for d, t in rows if d in good - apart and langs[d] == "de"])
     import math
 
     for doc_id, text in [x for x in rows if langs[x[0]] == "de"][:8]:
-        classes = [0] * 3 + [int(table[min(ord(c), 0x250)]) for c in text]
-        nll = -sum(math.log(p(tuple(classes[k : k + 4]))) for k in range(len(text))) / len(text)
+        classes = quality_model.classes_of(text, table).tolist()
+        nll = -sum(math.log(p(tuple(classes[k : k + quality_model.ORDER]))) for k in range(len(text))) / len(text)
         assert math.isclose(got[doc_id].perplexity, math.exp(nll), rel_tol=1e-4)
     assert not got[10_000].kept and not got[10_001].kept and got[10_000].perplexity is None
     judged = [(got[x.doc_id].kept, x.quality) for x in labels.collect() if x.doc_id in got]
