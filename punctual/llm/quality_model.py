@@ -155,9 +155,9 @@ def train(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         rows = rows.select("model", "code", F.shiftright("code", _BITS).alias("context"), "n", discount.alias("d"))
         contexts = stored(rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), f"contexts{k}")
         below = F.lit(1.0 / CLASSES)
-        joined = rows.join(contexts, ["model", "context"])
+        joined = rows.join(small_side(contexts), ["model", "context"])
         if lower is not None:
-            joined = joined.join(lower, (joined["model"] == lower["m"]) & (joined["code"] % (1 << _BITS * (k - 1)) == lower["suffix"]))
+            joined = joined.join(small_side(lower), (joined["model"] == lower["m"]) & (joined["code"] % (1 << _BITS * (k - 1)) == lower["suffix"]))
             below = F.col("below")
         level = stored(joined.select("model", "code", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below).alias("p")), f"level{k}")
         lower = level.select(F.col("model").alias("m"), F.col("code").alias("suffix"), F.col("p").alias("below"))
@@ -169,12 +169,11 @@ def log_probabilities(wanted: DataFrame, levels: dict[int, tuple[DataFrame, Data
     """model, code, logp of distinct wanted (model, code): the highest order that has seen it, times the weights of those above."""
     rows = wanted.select("model", "code", F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("weight"))
     for k in range(ORDER, 0, -1):
-        # up to order 3 there are at most 32 ** 3 entries for each of the named languages
-        near = F.broadcast if k <= 3 else lambda x: x
         known, contexts = levels[k]
-        known, contexts = known.select("model", F.col("code").alias("suffix"), F.col("p").alias("found")), contexts.select("model", F.col("code").alias("context"), "gamma")
-        suffix = F.col("code") % (1 << _BITS * k)
-        rows = rows.withColumns({"suffix": suffix, "context": F.shiftright(suffix, _BITS)}).join(near(known), ["model", "suffix"], "left").join(near(contexts), ["model", "context"], "left")
+        suffix = F.col("code") % (1 << _BITS * k) if k < ORDER else F.col("code")
+        rows = rows.withColumns({"suffix": suffix, "context": F.shiftright(suffix, _BITS)})
+        rows = rows.join(small_side(known.select("model", F.col("code").alias("suffix"), F.col("p").alias("found"))), ["model", "suffix"], "left")
+        rows = rows.join(small_side(contexts.select("model", F.col("code").alias("context"), "gamma")), ["model", "context"], "left")
         rows = rows.select("model", "code", F.coalesce("p", F.col("weight") * F.col("found")).alias("p"), (F.col("weight") * F.coalesce("gamma", F.lit(1.0))).alias("weight"))
     return rows.select("model", "code", F.log(F.coalesce("p", F.col("weight") / CLASSES)).cast("float").alias("logp"))
 
