@@ -52,6 +52,31 @@ def headway_summary(gaps: DataFrame) -> DataFrame:
     )
 
 
+def headway_survival(gaps: DataFrame) -> DataFrame:
+    """By line and day type, for each gap that occurred: how many percent of the gaps are longer. Gaps are whole seconds, so a group has 10,741 rows at most."""
+    keys = [*LINE, "day_type"]
+    own = gaps.groupBy(*keys, "headway_min").agg(F.count("*").alias("n"))
+    upto, every = Window.partitionBy(*keys).orderBy("headway_min"), Window.partitionBy(*keys)
+    return own.withColumn("longer_pct", c.rounded(100.0 * (F.sum("n").over(every) - F.sum("n").over(upto)) / F.sum("n").over(every), 3))
+
+
+def gap_calendar(screen: DataFrame, gaps: DataFrame, band: str = "Evening") -> DataFrame:
+    """The longest gap of the band for each line and each date from the line's first to its last; null where there was none."""
+    dates = screen.groupBy(*LINE).agg(F.min("service_date").alias("a"), F.max("service_date").alias("b")).select(*LINE, F.explode(F.sequence("a", "b")).alias("service_date"))
+    longest = gaps.where(F.col("time_band") == band).groupBy("service_date", *LINE).agg(c.rounded(F.max("headway_min"), 3).alias("max_min"))
+    return dates.join(longest, ["service_date", *LINE], "left")
+
+
+def boxplot_stats(gaps: DataFrame) -> DataFrame:
+    """By line, day type and band: quartiles (linear) of the gaps, and the outermost gaps within 1.5 interquartile ranges of them."""
+    keys = [*LINE, "day_type", "time_band"]
+    box = gaps.groupBy(*keys).agg(*[F.percentile("headway_min", F.lit(x)).alias(q) for q, x in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    reach = 1.5 * (F.col("q3") - F.col("q1")) + 1e-9
+    inner = gaps.join(box, keys).where(F.col("headway_min").between(F.col("q1") - reach, F.col("q3") + reach))
+    ends = inner.groupBy(*keys, "q1", "median", "q3").agg(F.min("headway_min").alias("low"), F.max("headway_min").alias("high"))
+    return ends.select(*keys, *[c.rounded(F.col(x), 3).alias(f"{x}_min") for x in ("low", "q1", "median", "q3", "high")])
+
+
 def status_share(screen: DataFrame, *by: str) -> DataFrame:
     """Runs by line (and `by`) and status, with the status's share."""
     keys = [*LINE, *by]

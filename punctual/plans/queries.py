@@ -348,6 +348,25 @@ def headway_summary(spark, sf_dir):
     return screenline.headway_summary(screenline.intervals(_screen(spark, sf_dir)))
 
 
+@query(_GAPS + f", ct AS (SELECT route_id, direction_id, day_type, headway_min, count(*) AS n FROM gp GROUP BY ALL) SELECT route_id, direction_id, day_type, {r('headway_min', 3)} AS headway_min, n, {r('100.0::DOUBLE * (sum(n) OVER g - sum(n) OVER (g ORDER BY headway_min)) / sum(n) OVER g', 3)} AS longer_pct FROM ct WINDOW g AS (PARTITION BY route_id, direction_id, day_type)")
+def headway_survival(spark, sf_dir):
+    return screenline.headway_survival(screenline.intervals(_screen(spark, sf_dir))).withColumn("headway_min", c.rounded(F.col("headway_min"), 3))
+
+
+@query(_GAPS + f""", ds AS (SELECT route_id, direction_id, unnest(range(min(service_date), max(service_date) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS service_date FROM sc GROUP BY 1, 2)
+SELECT ds.service_date, ds.route_id, ds.direction_id, max_min FROM ds LEFT JOIN (SELECT service_date, route_id, direction_id, {r('max(headway_min)', 3)} AS max_min FROM gp WHERE time_band = 'Evening' GROUP BY ALL) USING (service_date, route_id, direction_id)""")
+def gap_calendar(spark, sf_dir):
+    screen = _screen(spark, sf_dir)
+    return screenline.gap_calendar(screen, screenline.intervals(screen))
+
+
+@query(_GAPS + f""", bx AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(headway_min, 0.25) AS q1, quantile_cont(headway_min, 0.5) AS q2, quantile_cont(headway_min, 0.75) AS q3 FROM gp GROUP BY ALL)
+SELECT route_id, direction_id, day_type, time_band, {r('min(headway_min)', 3)} AS low_min, {r('q1', 3)} AS q1_min, {r('q2', 3)} AS median_min, {r('q3', 3)} AS q3_min, {r('max(headway_min)', 3)} AS high_min
+FROM gp JOIN bx USING (route_id, direction_id, day_type, time_band) WHERE headway_min BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) - 1e-9 AND q3 + 1.5::DOUBLE * (q3 - q1) + 1e-9 GROUP BY route_id, direction_id, day_type, time_band, q1, q2, q3""")
+def boxplot_stats(spark, sf_dir):
+    return screenline.boxplot_stats(screenline.intervals(_screen(spark, sf_dir)))
+
+
 @query(_SCREEN + f", ct AS (SELECT route_id, direction_id, status, count(*) AS n FROM sc GROUP BY ALL) SELECT *, {r('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY route_id, direction_id)')} AS share_pct FROM ct")
 def delivery_status_share(spark, sf_dir):
     return screenline.status_share(_screen(spark, sf_dir))
