@@ -44,6 +44,17 @@ def route_stop_delivery(plan: DataFrame, obs: DataFrame) -> DataFrame:
     return own.groupBy("service_date", "route_id").agg(F.count("*").alias("scored"), F.count("served").alias("delivered")).withColumn("delivered_pct", c.rounded(100.0 * F.col("delivered") / F.col("scored"), 1))
 
 
+def week_stop_delivery(daily: DataFrame) -> DataFrame:
+    """route_stop_delivery() by week: the ratio of the sums over the days that it has."""
+    own = daily.groupBy(c.week_start(F.col("service_date")).alias("week_start"), "route_id").agg(F.count("*").alias("days"), F.sum("scored").alias("scored"), F.sum("delivered").alias("delivered"))
+    return own.withColumn("delivered_pct", c.rounded(100.0 * F.col("delivered") / F.col("scored"), 1))
+
+
+def scheduled_runs_per_day(daily: DataFrame) -> DataFrame:
+    """Mean scheduled runs of each route over the days of daily_service_delivered() on which it has any."""
+    return daily.where("scheduled > 0").groupBy("route_id").agg(F.count("*").alias("days"), c.rounded(F.avg("scheduled"), 1).alias("runs_per_day"))
+
+
 def ran_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
     return trips.join(arrived(obs).select(*TRIP).distinct(), TRIP, "left_semi")
 

@@ -70,11 +70,12 @@ def gap_calendar(screen: DataFrame, gaps: DataFrame, band: str = "Evening") -> D
 def boxplot_stats(gaps: DataFrame) -> DataFrame:
     """By line, day type and band: quartiles (linear) of the gaps, and the outermost gaps within 1.5 interquartile ranges of them."""
     keys = [*LINE, "day_type", "time_band"]
-    box = gaps.groupBy(*keys).agg(*[F.percentile("headway_min", F.lit(x)).alias(q) for q, x in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    reach = 1.5 * (F.col("q3") - F.col("q1")) + 1e-9
-    inner = gaps.join(box, keys).where(F.col("headway_min").between(F.col("q1") - reach, F.col("q3") + reach))
-    ends = inner.groupBy(*keys, "q1", "median", "q3").agg(F.min("headway_min").alias("low"), F.max("headway_min").alias("high"))
-    return ends.select(*keys, *[c.rounded(F.col(x), 3).alias(f"{x}_min") for x in ("low", "q1", "median", "q3", "high")])
+    own = gaps.withColumn("s", F.round(F.col("headway_min") * 60))  # quartiles of whole seconds are exact
+    box = own.groupBy(*keys).agg(*[F.percentile("s", F.lit(x)).alias(q) for q, x in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inner = own.join(box, keys).where(F.col("s").between(F.col("q1") - reach, F.col("q3") + reach))
+    ends = inner.groupBy(*keys, "q1", "median", "q3").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    return ends.select(*keys, *[c.rounded(F.col(x) / 60, 3).alias(f"{x}_min") for x in ("low", "q1", "median", "q3", "high")])
 
 
 def status_share(screen: DataFrame, *by: str) -> DataFrame:

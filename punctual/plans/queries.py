@@ -169,6 +169,16 @@ def daily_service_delivered(spark, sf_dir):
     return schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir))
 
 
+@query(_SEEN + f" SELECT route_id, count(*) AS days, {r('avg(scheduled)')} AS runs_per_day FROM daily WHERE scheduled > 0 GROUP BY 1")
+def scheduled_runs_per_day(spark, sf_dir):
+    return schedule.scheduled_runs_per_day(schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir)))
+
+
+@query(_STOPS + f", dl AS (SELECT service_date, route_id, count(*) AS scored, count(x.trip_id) AS delivered FROM st LEFT JOIN (SELECT service_date, trip_id, stop_sequence FROM arr WHERE delay_seconds BETWEEN -60 AND 420) x USING (service_date, trip_id, stop_sequence) WHERE pos > 1 AND pos < stops AND pickup_type <> 1 GROUP BY ALL), wk AS (SELECT service_date - dayofweek(service_date)::INT AS week_start, route_id, count(*) AS days, sum(scored)::BIGINT AS scored, sum(delivered)::BIGINT AS delivered FROM dl GROUP BY 1, 2) SELECT *, {r('100.0::DOUBLE * delivered / scored')} AS delivered_pct FROM wk")
+def week_stop_delivery(spark, sf_dir):
+    return schedule.week_stop_delivery(schedule.route_stop_delivery(fx.plan(spark, sf_dir), fx.observed(spark, sf_dir)))
+
+
 @query(_SEEN + f", wk AS (SELECT service_date - dayofweek(service_date)::INT AS week_start, route_id, sum(scheduled)::BIGINT AS scheduled, sum(ran)::BIGINT AS ran, count(*) AS active_days FROM daily GROUP BY 1, 2) SELECT *, {r('scheduled::DOUBLE / active_days')} AS runs_per_day, scheduled::DOUBLE / active_days < 10 AND regexp_matches(route_id, '[^A-Za-z]') AS limited, {r('100.0::DOUBLE * ran / scheduled')} AS delivered_pct FROM wk")
 def route_week_grid(spark, sf_dir):
     return schedule.route_week_grid(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir))
@@ -360,9 +370,9 @@ def gap_calendar(spark, sf_dir):
     return screenline.gap_calendar(screen, screenline.intervals(screen))
 
 
-@query(_GAPS + f""", bx AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(headway_min, 0.25) AS q1, quantile_cont(headway_min, 0.5) AS q2, quantile_cont(headway_min, 0.75) AS q3 FROM gp GROUP BY ALL)
-SELECT route_id, direction_id, day_type, time_band, {r('min(headway_min)', 3)} AS low_min, {r('q1', 3)} AS q1_min, {r('q2', 3)} AS median_min, {r('q3', 3)} AS q3_min, {r('max(headway_min)', 3)} AS high_min
-FROM gp JOIN bx USING (route_id, direction_id, day_type, time_band) WHERE headway_min BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) - 1e-9 AND q3 + 1.5::DOUBLE * (q3 - q1) + 1e-9 GROUP BY route_id, direction_id, day_type, time_band, q1, q2, q3""")
+@query(_GAPS + f""", gs AS (SELECT route_id, direction_id, day_type, time_band, round(headway_min * 60) AS s FROM gp), bx AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.5) AS q2, quantile_cont(s, 0.75) AS q3 FROM gs GROUP BY ALL)
+SELECT route_id, direction_id, day_type, time_band, {r('min(s) / 60.0::DOUBLE', 3)} AS low_min, {r('q1 / 60.0::DOUBLE', 3)} AS q1_min, {r('q2 / 60.0::DOUBLE', 3)} AS median_min, {r('q3 / 60.0::DOUBLE', 3)} AS q3_min, {r('max(s) / 60.0::DOUBLE', 3)} AS high_min
+FROM gs JOIN bx USING (route_id, direction_id, day_type, time_band) WHERE s BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) GROUP BY route_id, direction_id, day_type, time_band, q1, q2, q3""")
 def boxplot_stats(spark, sf_dir):
     return screenline.boxplot_stats(screenline.intervals(_screen(spark, sf_dir)))
 

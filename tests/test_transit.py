@@ -72,7 +72,7 @@ def test_expected_wait(spark):
     assert {x.hour: (x.n, x.covered_s, x.expected_wait_min) for x in got.collect()} == {0: (1, 300.0, 12.5), 1: (4, 3600.0, 11.667), 2: (1, 600.0, 5.0)}
 
 
-@pytest.mark.parametrize("name", ["route_stats", "gap_windows", "speed_summary", "wait_histogram", "detect_arrivals", "screenline_runs", "screenline_intervals", "headway_summary", "headway_survival", "gap_calendar", "boxplot_stats", "delivery_status_share", "delivery_by_hour", "prior_same_dow", "sched_expected_wait", "obs_vs_sched_wait"])
+@pytest.mark.parametrize("name", ["route_stats", "gap_windows", "speed_summary", "wait_histogram", "detect_arrivals", "screenline_runs", "screenline_intervals", "headway_summary", "headway_survival", "gap_calendar", "boxplot_stats", "scheduled_runs_per_day", "week_stop_delivery", "delivery_status_share", "delivery_by_hour", "prior_same_dow", "sched_expected_wait", "obs_vs_sched_wait"])
 def test_sql(spark, name):
     db = duckdb.connect()
     for t in ("orders", "lineitem", "events"):
