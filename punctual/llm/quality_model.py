@@ -6,7 +6,7 @@ are first packed into blocks of about BLOCK characters, each of one model. Tasks
 n-grams of the trusted documents; counts, continuation counts, discounts and back-off weights are worked
 out by joins of count tables that are sharded by model and n-gram, and grow with the corpus. To score, each block
 asks for its distinct n-grams, joins find their probabilities in the shards, and what a block
-asked for comes back to it; no task or driver holds the model.
+asked for comes back to it. Only tables counted to be small are broadcast.
 One trusted document in CALIBRATION is not learnt from. A document is rejected if its perplexity is beyond the
 quantile of these held-out documents of its language, with an allowance for sampling errors.
 """
