@@ -4,9 +4,10 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. What t
 protected. A term discloses a protected value if knowing the term tells nearly all there
 is to know of it: with counts of documents, the pointwise mutual information of
 term and value, log(N n(e,t) / (n(e) n(t))), comes up to DISCLOSURE of the value's information,
-log(N / n(e)). Terms are taken from the WINDOW words on either side of a value, and from SUPPORT
-documents on; their counts are over the whole corpus. Wherever such a term stands in the
-corpus it is a span too. Redaction removes terms that tell everything and generalises the others.
+log(N / n(e)). Terms are taken from the WINDOW words on either side of a value; their counts are over the whole corpus.
+The share n(e,t) / n(t) is shrunk by PRIOR documents that hold the term and, at the corpus' rate n(e) / N, the value: a term
+seen in few documents must tell more, and no count is too small to be asked. Wherever such a term stands in the
+corpus it is a span too. Redaction removes terms that never stand without the value and generalises the others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from punctual.llm.common import small_side, stored
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, SUPPORT, WINDOW = 0.9, 3, 8
+DISCLOSURE, PRIOR, WINDOW = 0.9, 1.0, 8
 TERM = r"\p{L}{3,}"
 # Possessive, so that no run of characters is tried again from within and no recursion grows with a text. An address
 # may begin within a run of its characters only where the match before it ended.
@@ -86,7 +87,7 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(based: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(based: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """term, removed (it tells everything) of the terms beyond the threshold, over documents with their base spans."""
     total = based.count()
     text, spans = F.coalesce(F.col(text_col), F.lit("")), F.concat(*[F.col(k) for k in KINDS])
@@ -97,24 +98,24 @@ def disclosing_terms(based: DataFrame, id_col: str = "doc_id", text_col: str = "
     mentions = based.where(F.size(spans) > 0).select(F.col(id_col).alias("id"), F.explode(F.transform(spans, lambda s: F.struct(s["value"].alias("value"), near(s).alias("near")))).alias("m"))
     mentions = stored(mentions.select("id", F.xxhash64("m.value").alias("value"), F.col("m.near").alias("near")), "mentions")
     values = mentions.groupBy("value").agg(F.count_distinct("id").alias("ne"))
-    pairs = mentions.select("id", "value", F.explode(F.array_distinct("near")).alias("term")).groupBy("value", "term").agg(F.count_distinct("id").alias("net")).where(F.col("net") >= support)
+    pairs = mentions.select("id", "value", F.explode(F.array_distinct("near")).alias("term")).groupBy("value", "term").agg(F.count_distinct("id").alias("net"))
     pairs = stored(pairs.join(values, "value"), "pairs")
     # all words are counted, combined before the shuffle: asking only for those of pairs would keep ever more of them as the corpus grows
     terms = based.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    n = F.lit(float(total))
-    told = F.log(n * F.col("net") / (F.col("ne") * F.col("nt")))
-    best = pairs.join(terms, "term").withColumn("share", told / F.log(n / F.col("ne"))).where((F.col("ne") < total) & (F.col("share") >= disclosure))
-    return best.groupBy("term").agg((F.max("share") >= 1.0 - 1e-9).alias("removed"))
+    rate = F.col("ne") / F.lit(float(max(total, 1)))
+    given = (F.col("net") + prior * rate) / (F.col("nt") + prior)
+    best = pairs.join(terms, "term").where(F.col("ne") < total).where(F.log(given / rate) / -F.log(rate) >= disclosure)
+    return best.groupBy("term").agg(F.bool_or(F.col("net") == F.col("nt")).alias("removed"))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """docs with the spans of each kind and `term`: (start, end, removed) of disclosing terms outside base spans.
 
     Rows whose id is null or repeated are rows of their own; documents with the same id share what terms they hold.
     Null texts have no spans. Columns of docs that are named as a kind is, or term, are replaced.
     """
     based = with_base(docs.drop(*KINDS, "term"), text_col)
-    flagged = stored(disclosing_terms(based.select(id_col, text_col, *KINDS), id_col, text_col, disclosure, support), "disclosing")
+    flagged = stored(disclosing_terms(based.select(id_col, text_col, *KINDS), id_col, text_col, disclosure, prior), "disclosing")
     text = F.coalesce(F.col(text_col), F.lit(""))
     holding = docs.select(F.col(id_col).alias("_id"), F.explode(_terms(text)).alias("term")).join(small_side(flagged), "term").groupBy("_id").agg(F.collect_set(F.struct("term", "removed")).alias("_held"))
     holding = stored(holding.where("_id is not null"), "holding")

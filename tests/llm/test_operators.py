@@ -260,6 +260,21 @@ def test_pii(spark, docs, rows):
     assert pii.digest(more).count() == len(rows) + len(told) and pii.digest(_empty(docs)).count() == 0
 
 
+def _term_spans(spark, own):
+    """Lower-case term spans by document, with 2,000 documents of common words behind own texts."""
+    texts = [*own, *["reach them by letter before noon please now"] * 2000]
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where(F.col("doc_id") < len(own)).collect()
+    cut = lambda k, spans: {texts[k][int(a) : int(b)].lower() for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "term"}
+    return {x.doc_id: cut(x.doc_id, x.spans) for x in got}
+
+
+def test_pii_terms_of_rare_values(spark):
+    once = ["please reach quuxley by q.x@mail.org now"]
+    twice = ["please reach Vandermork by v.m@mail.org now", "reach vandermork by letter before v.m@mail.org please"]
+    got = _term_spans(spark, [*once, *twice])
+    assert got == {0: {"quuxley"}, 1: {"vandermork"}, 2: {"vandermork"}}
+
+
 def test_bpe(docs, rows):
     tok = Tokenizer.from_file(tokenizer_path())
     got = {x.doc_id: x for x in trie_bpe.round_trip_digest(docs, tokenizer_path()).collect()}
