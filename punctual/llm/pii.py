@@ -4,9 +4,9 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. What t
 protected. A term discloses a protected value if knowing the term tells nearly all there
 is to know of it: with counts of documents, the pointwise mutual information of
 term and value, log(N n(e,t) / (n(e) n(t))), comes up to DISCLOSURE of the value's information,
-log(N / n(e)). Terms are taken from the WINDOW words on either side of a value; their counts are over the whole corpus.
-The share n(e,t) / n(t) is shrunk by PRIOR documents that hold the term and, at the corpus' rate n(e) / N, the value: a term
-seen in few documents must tell more, and no count is too small to be asked. Wherever such a term stands in the
+log(N / n(e)). All counts are over whole documents of the whole corpus. The share n(e,t) / n(t) is
+shrunk by PRIOR documents that hold the term and, at the corpus' rate n(e) / N, the value: a term seen in
+few documents must tell more, and no count is too small to be asked. Wherever such a term stands in the
 corpus it is a span too. Redaction removes terms that never stand without the value and generalises the others.
 """
 
@@ -17,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import small_side, stored
+from punctual.llm.common import left_join_hot, small_side, stored
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, PRIOR, WINDOW = 0.9, 1.0, 8
+DISCLOSURE, PRIOR = 0.9, 1.0
 TERM = r"\p{L}{3,}"
 # Possessive, so that no run of characters is tried again from within and no recursion grows with a text. An address
 # may begin within a run of its characters only where the match before it ended.
@@ -87,24 +87,25 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(based: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """term, removed (it tells everything) of the terms beyond the threshold, over documents with their base spans."""
+def disclosing_terms(based: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+    """term, removed (it tells everything) of the terms beyond the threshold, over documents with their base spans.
+
+    All counts are of rows of based, over whole texts, and are combined before the shuffle.
+    """
     total = based.count()
     text, spans = F.coalesce(F.col(text_col), F.lit("")), F.concat(*[F.col(k) for k in KINDS])
-    near = lambda s: F.concat(
-        F.slice(F.reverse(F.regexp_extract_all(F.lower(F.substr(text, F.greatest(s["start"] - 199, F.lit(1)), F.least(s["start"], F.lit(200)))), F.lit(TERM), F.lit(0))), 1, WINDOW),
-        F.slice(F.regexp_extract_all(F.lower(F.substr(text, s["end"] + 1, F.lit(200))), F.lit(TERM), F.lit(0)), 1, WINDOW),
-    )
-    mentions = based.where(F.size(spans) > 0).select(F.col(id_col).alias("id"), F.explode(F.transform(spans, lambda s: F.struct(s["value"].alias("value"), near(s).alias("near")))).alias("m"))
-    mentions = stored(mentions.select("id", F.xxhash64("m.value").alias("value"), F.col("m.near").alias("near")), "mentions")
-    values = mentions.groupBy("value").agg(F.count_distinct("id").alias("ne"))
-    pairs = mentions.select("id", "value", F.explode(F.array_distinct("near")).alias("term")).groupBy("value", "term").agg(F.count_distinct("id").alias("net"))
-    pairs = stored(pairs.join(values, "value"), "pairs")
+    mentions = based.where(F.size(spans) > 0).select(F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["value"]))).alias("values"), _terms(text).alias("terms"))
+    mentions = stored(mentions, "mentions").select(F.explode("values").alias("value"), "terms")
+    values = stored(mentions.groupBy("value").agg(F.count("*").alias("ne")), "values")
+    pairs = mentions.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("net"))
     # all words are counted, combined before the shuffle: asking only for those of pairs would keep ever more of them as the corpus grows
     terms = based.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    rate = F.col("ne") / F.lit(float(max(total, 1)))
-    given = (F.col("net") + prior * rate) / (F.col("nt") + prior)
-    best = pairs.join(terms, "term").where(F.col("ne") < total).where(F.log(given / rate) / -F.log(rate) >= disclosure)
+    rate = lambda ne: ne / F.lit(float(max(total, 1)))
+    # no value can bring a term of more documents up to the threshold, so common words need not be joined
+    most = values.where(F.col("ne") < total).agg(F.max((F.col("ne") + prior * rate(F.col("ne"))) / F.pow(rate(F.col("ne")), F.lit(1.0 - disclosure)))).first()[0] or 0.0
+    both = left_join_hot(pairs, values, "value", "term").join(terms.where(F.col("nt") <= most), "term")
+    given = (F.col("net") + prior * rate(F.col("ne"))) / (F.col("nt") + prior)
+    best = both.where(F.col("ne") < total).where(F.log(given / rate(F.col("ne"))) / -F.log(rate(F.col("ne"))) >= disclosure)
     return best.groupBy("term").agg(F.bool_or(F.col("net") == F.col("nt")).alias("removed"))
 
 
@@ -115,7 +116,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts have no spans. Columns of docs that are named as a kind is, or term, are replaced.
     """
     based = with_base(docs.drop(*KINDS, "term"), text_col)
-    flagged = stored(disclosing_terms(based.select(id_col, text_col, *KINDS), id_col, text_col, disclosure, prior), "disclosing")
+    flagged = stored(disclosing_terms(based.select(text_col, *KINDS), text_col, disclosure, prior), "disclosing")
     text = F.coalesce(F.col(text_col), F.lit(""))
     holding = docs.select(F.col(id_col).alias("_id"), F.explode(_terms(text)).alias("term")).join(small_side(flagged), "term").groupBy("_id").agg(F.collect_set(F.struct("term", "removed")).alias("_held"))
     holding = stored(holding.where("_id is not null"), "holding")

@@ -275,6 +275,14 @@ def test_pii_terms_of_rare_values(spark):
     assert got == {0: {"quuxley"}, 1: {"vandermork"}, 2: {"vandermork"}}
 
 
+def test_pii_terms_far_from_values(spark):
+    common = "reach them by letter before noon please now " * 5
+    long = "honorificabilitudinitatibus" * 8
+    far = [f"zorblat {common if k > 2 else ''} reach us by z.b@mail.org {common} {long} {common} quuxley" for k in range(10)]
+    got = _term_spans(spark, far)
+    assert all({"zorblat", "quuxley", long} <= x and not {"reach", "letter"} & x for x in got.values())
+
+
 def test_bpe(docs, rows):
     tok = Tokenizer.from_file(tokenizer_path())
     got = {x.doc_id: x for x in trie_bpe.round_trip_digest(docs, tokenizer_path()).collect()}
