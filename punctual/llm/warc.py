@@ -22,8 +22,8 @@ from punctual.llm.common import drop_stored, small_side, stored
 
 MAGIC = "WARC/1.1\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_FIELD = re.compile(rb"(?m)^([A-Za-z-]+): *([^\r\n]*)\r$")
-_HEAD_LIMIT = 64 * 1024
+# possessive, so that a long line is read once
+_FIELD = re.compile(rb"(?m)^([A-Za-z-]++): *+([^\r\n]*+)\r$")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -62,7 +62,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str =
 
 def _header(chunk: bytes) -> tuple[dict[bytes, bytes], int] | None:
     """Fields and length of the header that chunk, which follows a magic, begins with; None if it has none."""
-    end = chunk.find(b"\r\n\r\n", 0, _HEAD_LIMIT)
+    end = chunk.find(b"\r\n\r\n")
     fields = dict(_FIELD.findall(chunk[: end + 2])) if end >= 0 else {}
     return (fields, end + 4) if fields.get(b"Content-Length", b"").isdigit() and b"WARC-Type" in fields else None
 

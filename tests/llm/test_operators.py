@@ -82,6 +82,14 @@ def test_warc(spark):
     assert warc.read_archives(spark, path).where("record_type = 'revisit' and payload_bytes > 0").count() == 0
 
 
+def test_warc_long_urls(spark):
+    urls = ["http://h/0", "data:text/html," + "x" * 100_000, "http://h/2", "data:text/html," + "y" * 3_000_000, "http://h/4"]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc")
+    warc.write_archives(pages, path)
+    assert sorted((x.record_id, x.url, x.payload_bytes) for x in warc.read_archives(spark, path).collect()) == [(f"<urn:page:{k}>", u, 8) for k, u in enumerate(urls)]
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "http://A.Org", "http://a.org/x", "https://example.org/es/1", "https://s.EXAMPLE.org/en/19?x", "https://s.example.org/en/2", "http://b.com/fr/1", "http://b.com/de/1", "http://bad.net/1#x://y", "http://good.net", "x://y/://z"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls + ["http://bad.net/2"] * 40 + ["http://good.net/2"] * 400)], "page_id long, url string").withColumn("host", F.lit(1))
