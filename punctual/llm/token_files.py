@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.common import drop_path, new_path
-from punctual.llm.pieces import Remembered, cut
+from punctual.llm.pieces import PieceTable
+from punctual.llm.trie_bpe import read_definition
 
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers.
@@ -59,40 +59,43 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return value
 
 
-def _tokenizer(path: str):
-    """This worker's tokenizer and the pieces that it remembers."""
-    if path not in _WORKER:
+def _tokenizer(definition: str):
+    """This worker's tokenizer, and the pieces that it remembers."""
+    key = hash(definition)
+    if key not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
+        made = Tokenizer.from_str(definition)
         made.no_truncation()
         made.no_padding()
-        _WORKER[path] = made, Remembered(_REMEMBERED), [x.content for x in made.get_added_tokens_decoder().values()]
-    return _WORKER[path]
+        size = np.zeros(made.get_vocab_size(), np.int64)
+        for token, i in made.get_vocab(with_added_tokens=False).items():
+            size[i] = len(token)  # each character of a byte-level token stands for a byte
+        encode = lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]
+        _WORKER[key] = made, PieceTable(encode, size, _REMEMBERED), [x.content for x in made.get_added_tokens_decoder().values()]
+    return _WORKER[key]
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    tokenizer, known, added = _tokenizer(path)
-    cuts = [[t or ""] if any(a in (t or "") for a in added) else cut(t or "") for t in texts]
-    new = known.unknown(cuts)
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        for piece, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known.add(piece, array("I", got.ids).tobytes())
-    return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cuts]
+def encode_texts(texts: list[str | None], definition: str, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, end_id behind each text, and how many each has."""
+    _, table, added = _tokenizer(definition)
+    return table.texts(texts, added, end_id)
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (little-endian, two bytes each if end_id and the vocabulary allow it, else four), with end_id behind each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_definition(docs.sparkSession, path))
 
     def run(batches):
-        wide = "<u2" if _tokenizer(path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        wide = 2 if _tokenizer(shared.value)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                ids = [np.append(x, np.uint32(end_id)).astype(wide) for x in encode_texts(part.column(1).to_pylist(), path)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["id", "ids", "n"])
+                ids, n = encode_texts(part.column(1).to_pylist(), shared.value, end_id)
+                place = np.concatenate([[0], np.cumsum(n) * wide]).astype(np.int64)
+                own = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(place.tobytes()), pa.py_buffer(ids.astype(f"<u{wide}").tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), own.cast(pa.binary()), pa.array(n)], ["id", "ids", "n"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, ids binary, n long")
 
@@ -193,9 +196,12 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
 def token_file_digest(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files alone."""
     blocks, shared = _blocks(spark, out)
-    # one short row a block: their running sum gives each block's start
-    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("from"))
+    # ids before each part, of one row a part, and before each block of its part
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    own = blocks.select("part", "block", "n_tokens")
+    parts = own.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("ahead"))
+    within = own.select("part", "block", F.coalesce(F.sum("n_tokens").over(before("part", "block")), F.lit(0)).alias("from"))
+    starts = within.join(parts, "part").select("part", "block", (F.col("ahead") + F.col("from")).alias("from"))
     arrays = lambda docs, lengths, ids: (pa.array(docs, pa.int64()), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in _split(lengths, ids)], pa.int64()))
     each = _decoded(blocks, shared, "doc_id long, within long, n_tokens long, ids_crc32 long", arrays)
     return each.join(starts, ["part", "block"]).select("doc_id", (F.col("from") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
