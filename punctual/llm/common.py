@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a one-column key table that a join may broadcast (about 24 MB); a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of their values, of a table that a join may broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16_000_000
 #: Tasks over which the rows of one key are dealt in joins with sides larger than that.
 WAYS = 32
 
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset and all runs on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,10 +52,19 @@ def drop_stored(df: DataFrame) -> None:
         drop_path(df.sparkSession, files[0].rpartition("/")[0])
 
 
-def small_side(keys: DataFrame, rows: int | None = None) -> DataFrame:
-    """keys with a broadcast hint if they are counted to be few enough; as they are, for a shuffled join, if not."""
-    n = keys.count() if rows is None else rows
-    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+def is_small(df: DataFrame) -> bool:
+    """Whether df, counted in rows and in bytes of values, may be broadcast."""
+    each = F.lit(0)
+    for f in df.schema.fields:
+        kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
+        each = each + (F.coalesce(F.octet_length(col), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) if kind in ("array", "struct", "map") else F.lit(8))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """keys with a broadcast hint if they are counted to be few and short enough; as they are, for a shuffled join, if not."""
+    return F.broadcast(keys) if is_small(keys) else keys
 
 
 def left_join_hot(rows: DataFrame, side: DataFrame, key: str, *dealt_by: str) -> DataFrame:
@@ -62,7 +73,7 @@ def left_join_hot(rows: DataFrame, side: DataFrame, key: str, *dealt_by: str) ->
     A side counted to be small is broadcast. With a larger one each key's rows are dealt over
     WAYS tasks by a hash of dealt_by, and the side's row goes to each of them.
     """
-    if side.count() <= BROADCAST_ROWS:
+    if is_small(side):
         return rows.join(F.broadcast(side), key, "left")
     dealt = rows.withColumn("_way", F.pmod(F.xxhash64(*dealt_by), F.lit(WAYS)))
     ways = side.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -106,10 +107,10 @@ def test_url_filter(spark):
 
 def _kneser_ney(texts):
     """Plain dictionaries: interpolated modified Kneser-Ney over class strings."""
-    table, order = quality_model._table(), quality_model.ORDER
+    order = quality_model.ORDER
     counts = {order: Counter()}
     for t in texts:
-        classes = quality_model.classes_of(t, table).tolist()
+        classes = quality_model.classes_of(t).tolist()
         counts[order].update(tuple(classes[k : k + order]) for k in range(len(classes) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -133,30 +134,76 @@ def _kneser_ney(texts):
         v = counts[k].get(g, 0)
         return (v - disc[k][min(v, 3)]) / total + gamma / total * lower
 
-    return p, table
+    return p
 
 
-def test_quality_model(spark, docs, rows):
+@pytest.mark.parametrize(("least", "fan"), [(20, 256), (100, 2)])
+def test_quality_model(spark, docs, rows, monkeypatch, least, fan):
+    """Every perplexity, threshold and verdict against plain dictionaries, with models by language and with one of all, merged at once and in steps."""
+    monkeypatch.setattr(quality_model, "LEAST", least)
+    monkeypatch.setattr(quality_model, "FAN", fan)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     trusted = labels.where("quality = 1").select("doc_id")
-    got = {x.doc_id: x for x in quality_model.judged(docs, trusted).collect()}
-    assert quality_model.judged(docs, trusted).count() == len(rows)
+    found = quality_model.judged(docs, trusted).collect()
+    assert len(found) == len(rows)
+    got = {x.doc_id: x for x in found}
     good = {x.doc_id for x in trusted.collect()}
     langs = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
     apart = {x.doc_id for x in trusted.where(quality_model.held_out("doc_id")).collect()}
-    p, table = _kneser_ney([t for d, t in rows if d in good - apart and langs[d] == "de"])
-    import math
-
-    for doc_id, text in [x for x in rows if langs[x[0]] == "de"][:8]:
-        classes = quality_model.classes_of(text, table).tolist()
-        nll = -sum(math.log(p(tuple(classes[k : k + quality_model.ORDER]))) for k in range(len(text))) / len(text)
-        assert math.isclose(got[doc_id].perplexity, math.exp(nll), rel_tol=1e-4)
+    many = {k for k, n in Counter(langs[d] for d in good if d in langs and langs[d]).items() if n >= least}
+    model_of = {d: langs[d] if langs[d] in many else None for d in langs}
+    assert bool(many) == (least == 20)
+    nll, order = {}, quality_model.ORDER
+    for model in set(model_of.values()):
+        p = _kneser_ney([t for d, t in rows if d in good - apart and (model is None or model_of[d] == model)])
+        known = {}
+        for d, t in rows:
+            if model_of[d] == model and t and len(t) < 6000:
+                classes = quality_model.classes_of(t).tolist()
+                grams = [tuple(classes[k : k + order]) for k in range(len(t))]
+                for g in grams:
+                    if g not in known:
+                        known[g] = -math.log(p(g))
+                nll[d] = sum(map(known.__getitem__, grams)) / len(t)
+                assert math.isclose(math.log(got[d].perplexity), nll[d], abs_tol=3e-4), d
+    for model in set(model_of.values()):
+        own = sorted(math.log(got[d].perplexity) for d in apart if d in got and model_of[d] == model)
+        for d in (d for d in got if model_of[d] == model and langs[d]):
+            assert (got[d].threshold is None) == (not own)
+            if own:
+                limit = own[math.ceil(quality_model.QUANTILE * len(own)) - 1] + quality_model.SPREAD / math.sqrt(len(own))
+                assert math.isclose(math.log(got[d].threshold), limit, abs_tol=1e-6)
+                assert got[d].kept == (math.log(got[d].perplexity) <= limit + quality_model.ALLOWANCE / math.sqrt(got[d].n_chars))
     assert not got[10_000].kept and not got[10_001].kept and got[10_000].perplexity is None
     judged = [(got[x.doc_id].kept, x.quality) for x in labels.collect() if x.doc_id in got]
     assert sum(k for k, q in judged if q) >= 0.97 * sum(q for _, q in judged)
-    assert sum(not k for k, q in judged if not q) >= 0.5 * sum(not q for _, q in judged)
+    assert sum(not k for k, q in judged if not q) >= (0.5 if many else 0.3) * sum(not q for _, q in judged)
+
+
+def test_quality_model_without_rows(docs, spark):
+    trusted = docs.select("doc_id").where("doc_id < 200")
     assert quality_model.judged(_empty(docs), trusted).count() == 0
-    assert quality_model.judged(docs, trusted.where("false")).where("n_chars > 0 and not kept").count() == 0
+    assert quality_model.judged(docs, trusted.where("false")).where("n_chars > 0 and (not kept or perplexity is null)").count() == 0
+
+
+def test_quality_model_knows_scripts(spark):
+    import random
+
+    draw = random.Random(5)
+    of = [["слово", "книга", "город", "время", "дорога", "человек"], ["λόγος", "βιβλίο", "πόλη", "χρόνος", "δρόμος", "άνθρωπος"]]
+    rows = [(k, " ".join(draw.choice(of[k % 2]) for _ in range(60)), "xy"[k % 2]) for k in range(400)]
+    rows += [(1000 + k, "".join(draw.choice("жщъыэюфхцч ") for _ in range(300)), "x") for k in range(20)] + [(2000, rows[1][1], "x")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality_model.judged(own, own.where("doc_id < 1000").select("doc_id")).collect()}
+    assert all(got[k].kept for k in range(400)) and not any(got[1000 + k].kept for k in range(20)) and not got[2000].kept
+
+
+def test_quality_filter_goes_by_row(spark):
+    text = "the same plain words stand in every one of these trusted documents"
+    rows = [(k, text) for k in range(200)] + [(500, text), (500, ""), (None, text), (None, ""), (501, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "id": F.lit(1), "kept": F.lit(2), "h": F.lit(3)})
+    left = quality_model.filtered(own, own.where("doc_id < 200").select("doc_id"))
+    assert left.columns == own.columns and Counter((x.doc_id, x.text) for x in left.where("doc_id >= 200 or doc_id is null").collect()) == {(500, text): 1, (None, text): 1}
 
 
 def test_token_files(spark, docs, rows):
