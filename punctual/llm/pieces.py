@@ -112,8 +112,8 @@ class PieceTable:
 
     def _learn(self, new: list[str], first: int, never: list[str]) -> None:
         """Pieces behind a space are joined as they are, others one a line, and those that end in white space are encoded alone."""
-        for k in range(0, len(new), 16_384):
-            part = new[k : k + 16_384]
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
             literal = [i for i, x in enumerate(part) if x[0] == "\x00"]
             alone = [i for i in literal if part[i][1:2].isspace() or part[i][-1:].isspace() or any(a in part[i] for a in never)]
             lines = sorted(set(literal).difference(alone))

@@ -29,7 +29,7 @@ from punctual.llm.trie_bpe import read_definition
 
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 400_000
 _WORKER: dict = {}
 
 
