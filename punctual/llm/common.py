@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of their values, of a table that a join may broadcast; a larger one is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16_000_000
+#: A key is hot if it has more rows than this, and more than one in HOT_SHARE of all: there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 2_000, 100_000
 #: Tasks over which the rows of one key are dealt in joins with sides larger than that.
 WAYS = 32
 
@@ -78,3 +80,19 @@ def left_join_hot(rows: DataFrame, side: DataFrame, key: str, *dealt_by: str) ->
     dealt = rows.withColumn("_way", F.pmod(F.xxhash64(*dealt_by), F.lit(WAYS)))
     ways = side.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
     return dealt.join(ways, [key, "_way"], "left").drop("_way")
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, key: str, weights: DataFrame, dealt_by: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row a key, where keys may hold much of rows; weights: key, _w (its count of rows).
+
+    Rows of hot keys are dealt over WAYS tasks by a hash of dealt_by, and side's rows of these keys, at most HOT_SHARE, go to each of them.
+    """
+    total, most = weights.agg(F.coalesce(F.sum("_w"), F.lit(0)), F.coalesce(F.max("_w"), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    if most <= limit:
+        return rows.join(side, key, how)
+    hot = F.broadcast(weights.where(F.col("_w") > limit).select(key, F.lit(True).alias("_hot")))  # at most HOT_SHARE keys
+    way = F.when(F.col("_hot"), F.pmod(F.xxhash64(dealt_by), F.lit(WAYS))).otherwise(F.lit(0).cast("long"))
+    ways = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    dealt = rows.join(hot, key, "left").withColumn("_way", way).drop("_hot")
+    return dealt.join(side.join(hot, key, "left").withColumn("_way", ways).drop("_hot"), [key, "_way"], how).drop("_way")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from punctual.llm import decontaminate, near_dups, pii, quality_model, quality_rules, token_files, toxicity, trie_bpe, url_filter, warc
+from punctual.llm import common, decontaminate, near_dups, pii, quality_model, quality_rules, token_files, toxicity, trie_bpe, url_filter, warc
 from punctual.llm.common import new_path
 from punctual.llm.pieces import cut
 from punctual.llm.queries import tokenizer_path
@@ -237,8 +237,10 @@ def _components(sets):
     return {x: find(x) for x in ids}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, docs, rows, width):
+@pytest.mark.parametrize(("width", "chunk"), [(2, 384), (5, 384), (2, 8)])
+def test_near_duplicates(spark, docs, rows, monkeypatch, width, chunk):
+    monkeypatch.setattr(near_dups, "CHUNK", chunk)
+    monkeypatch.setattr(common, "HOT_ROWS", chunk // 8)
     base = " ".join(f"k{k}" for k in range(120))
     near = [(20_000 + k, base.replace(f" k{k} ", f" z{k} ")) for k in range(1, 60)] + [(30_000 + k, " ".join(f"k{j}" for j in range(4 * k, 4 * k + 120))) for k in range(1, 30)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
@@ -253,7 +255,34 @@ def test_near_duplicates(spark, docs, rows, width):
     for x in got:
         assert (x.n_shingles, x.component_id, x.kept) == (len(sets[x.doc_id]), want[x.doc_id], want[x.doc_id] == x.doc_id)
     assert near_dups.near_duplicates(_empty(docs)).count() == 0
-    assert near_dups.deduplicated(docs, width=width).select("doc_id").distinct().count() == len(set(_components({k: v for k, v in sets.items() if k < 20_000}).values()))
+    left = near_dups.deduplicated(docs, width=width).collect()
+    assert sorted(x.doc_id for x in left) == sorted(set(_components({k: v for k, v in sets.items() if k < 20_000}).values()))
+
+
+@pytest.mark.parametrize("n", [5, 25, 500])
+def test_groups_of_every_size(spark, n):
+    """Groups of pairs near 0.8, linked or not, against brute force; size changes nothing."""
+    import random
+
+    draw = random.Random(n)
+    base = [f"k{k}" for k in range(100)]
+    texts = []
+    for _ in range(n):
+        own = list(base)
+        for k in draw.sample(range(100), draw.randint(3, 9)):
+            own[k] = f"z{draw.randint(0, 10**9)}"
+        texts.append(" ".join(own[: draw.randint(80, 100)]))
+    got = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=1).collect()
+    want = _components({k: set(t.split()) for k, t in enumerate(texts)})
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_deduplicated_goes_by_row(spark):
+    word = lambda k: " ".join(f"{k}w{j}" for j in range(20))
+    rows = [(1, word("a"), 0), (2, word("a"), 1), (2, word("b"), 2), (None, word("a"), 3), (None, word("c"), 4), (None, word("c"), 5), (7, word("d"), 6), (7, word("d"), 7), (8, "", 8), (8, "", 9), (9, None, 10), (7, word("b"), 11), (3, word("e"), 12), (3, word("f"), 13), (4, word("e"), 14), (5, word("f"), 15)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, id int").withColumns({"h": F.lit(1), "group": F.lit(2), "stays": F.lit(3)})
+    left = near_dups.deduplicated(own)
+    assert left.columns == own.columns and sorted(x.id for x in left.collect()) == [0, 2, 4, 6, 8, 9, 10, 12, 13]
 
 
 def test_components(spark):
