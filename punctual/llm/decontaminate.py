@@ -7,6 +7,9 @@ separator; nothing that could match is lost. Over that text the shard has a suff
 order, the Burrows-Wheeler text in a wavelet matrix, and sampled suffix positions.
 All phrases are searched backwards at once through its ranks, occurrences are located
 by walking to a sampled position, and their spans are merged.
+
+A benchmark is a stated query set. It is cut to parts bounded in items and bytes, each of which is broadcast; every shard is
+searched for one part after the other, so that documents are read once and the number of parts changes no result.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.llm.common import small_side, stored
+
 WINDOW = 13
-#: Benchmark items that are searched in one pass; a larger benchmark takes several.
-ITEMS_A_PASS = 50_000
+#: Benchmark items, and bytes of their texts, that are broadcast as one part; a longer item is a part by itself.
+ITEMS_A_PASS, BYTES_A_PASS = 50_000, 4_000_000
 _SHARD, _SAMPLE = 1_000_000, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -35,18 +40,31 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.names = sorted({item for item, _ in items})
+        place = {item: k for k, item in enumerate(self.names)}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.windows = [np.array(x, np.int64) for x in found]
-        self.least = min(map(len, self.windows), default=0)
-        self.base = len(self.number) + 1
-        self.pairs = np.unique(np.concatenate([x[:-1] * self.base + x[1:] for x in self.windows] or [np.empty(0, np.int64)]))
-        lengths = np.array([len(x) for x in self.windows], np.int64)
-        self.by_length = [(n, np.flatnonzero(lengths == n), np.array([self.windows[i] for i in np.flatnonzero(lengths == n)])) for n in np.unique(lengths)]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
+            if len(ids):
+                n = min(window, len(ids))
+                rows.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), place[item]))
+        self.least, self.base = min(rows, default=0), len(self.number) + 1
+        #: By length: the numbers of its windows' phrases, and the windows.
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
+        pairs, owners, n_phrases = [np.empty(0, np.int64)], [], 0
+        for n, own in sorted(rows.items()):
+            distinct, which = np.unique(np.concatenate([x for x, _ in own]), axis=0, return_inverse=True)
+            self.by_length.append((n, np.arange(n_phrases, n_phrases + len(distinct)), distinct))
+            owners.append(np.unique(np.stack([which.ravel() + n_phrases, np.repeat([k for _, k in own], [len(x) for x, _ in own])]), axis=1))
+            pairs.append((distinct[:, :-1] * self.base + distinct[:, 1:]).ravel())
+            n_phrases += len(distinct)
+        self.pairs = np.unique(np.concatenate(pairs))
+        #: The places of phrase k's items in names are owner[first[k] : first[k + 1]].
+        both = np.concatenate(owners, axis=1) if owners else np.empty((2, 0), np.int64)
+        self.owner, self.first = both[1], np.searchsorted(both[0], np.arange(n_phrases + 1))
+
+    def items_of(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.first[phrase] : self.first[phrase + 1]]]
 
 
 class FMIndex:
@@ -131,82 +149,112 @@ def _shard_hits(text: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _search(phrases: Phrases):
-    """A mapInArrow function over (id, text): per document n_words, the merged hit spans as word positions, and the items."""
+def _found(texts: list[list[bytes]], phrases: Phrases, merged: list, items: list[set[str]]) -> None:
+    """Adds the hit spans of a shard's documents, as [begin, end) word positions, and the items."""
+    parts, docs, places, get = [], [], [], phrases.number.get
+    for k, own in enumerate(texts):
+        if len(own) >= phrases.least > 0:
+            ids = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
+            if len(kept := _stretches(ids, phrases)):
+                gaps = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)]) + np.arange(len(kept)) + 1
+                text, place = np.zeros(gaps[-1] + 2, np.int64), np.zeros(gaps[-1] + 2, np.int64)
+                text[gaps], place[gaps] = ids[kept], kept
+                parts.append(text)
+                docs.append(np.full(len(text), k))
+                places.append(place)
+    if not parts:
+        return
+    text, doc, place = (np.concatenate(x) for x in (parts, docs, places))
+    at, length, phrase = _shard_hits(text, phrases)
+    mark = np.zeros(len(text) + 1, np.int64)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + length, -1)
+    edge = np.diff(np.concatenate([[0], (np.cumsum(mark[:-1]) > 0).astype(np.int8), [0]]))
+    for b, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        merged[doc[b]].append([int(place[b]), int(place[b]) + e - b])
+    for d, p in np.unique(np.stack([doc[at], phrase]), axis=1).T.tolist():
+        items[d].update(phrases.items_of(p))
+
+
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[list[int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([b, e])
+    return out
+
 
-    def flush(shard):
-        ids, n_words, texts, docs, places = shard
+def _search(parts: list):
+    """A mapInArrow function over (id, h, text): per document n_words, the merged hit spans as word positions, and the items. parts: broadcast phrases."""
+
+    def flush(ids, hashes, texts):
         merged: list[list[list[int]]] = [[] for _ in ids]
         items: list[set[str]] = [set() for _ in ids]
-        if texts:
-            text, doc, place = (np.concatenate(x) for x in (texts, docs, places))
-            at, length, phrase = _shard_hits(text, phrases)
-            mark = np.zeros(len(text) + 1, np.int64)
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + length, -1)
-            edge = np.diff(np.concatenate([[0], (np.cumsum(mark[:-1]) > 0).astype(np.int8), [0]]))
-            for b, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                merged[doc[b]].append([int(place[b]), int(place[b]) + e - b])
-            for d, p in np.unique(np.stack([doc[at], phrase]), axis=1).T.tolist():
-                items[d].update(phrases.items[p])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+        for part in parts:
+            _found(texts, part.value, merged, items)
+        if len(parts) > 1:
+            merged = [_union(x) for x in merged]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
 
     def run(batches):
-        shard, size, get = ([], [], [], [], []), 0, phrases.number.get
+        shard, size = ([], [], []), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words(text)
-                shard[0].append(doc_id)
-                shard[1].append(len(own))
-                if len(own) >= phrases.least > 0:
-                    ids = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-                    if len(kept := _stretches(ids, phrases)):
-                        gaps = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)]) + np.arange(len(kept)) + 1
-                        text, place = np.zeros(gaps[-1] + 2, np.int64), np.zeros(gaps[-1] + 2, np.int64)
-                        text[gaps], place[gaps] = ids[kept], kept
-                        shard[2].append(text)
-                        shard[3].append(np.full(len(text), len(shard[0]) - 1))
-                        shard[4].append(place)
-                        size += len(text)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = words(row[2])
+                for column, value in zip(shard, (row[0], row[1], own), strict=True):
+                    column.append(value)
+                size += len(own)
                 if size >= _SHARD or len(shard[0]) >= 20_000:
-                    yield flush(shard)
-                    shard, size = ([], [], [], [], []), 0
+                    yield flush(*shard)
+                    shard, size = ([], [], []), 0
         if shard[0]:
-            yield flush(shard)
+            yield flush(*shard)
 
     return run
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("h"), F.col(text_col).alias("text"))
+    asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_parts = max(1, -(-n // ITEMS_A_PASS), -(-size // BYTES_A_PASS))
+    parts = []
+    for k in range(n_parts):
+        own = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)) == k) if n_parts > 1 else asked
+        parts.append(docs.sparkSession.sparkContext.broadcast(Phrases([(x.item, x.text) for x in own.collect()], window)))
+    return docs.mapInArrow(_search(parts), "id long, h long, n_words long, spans array<array<bigint>>, items array<string>")
+
+
+def _text_key(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, n_words, spans (merged [begin, end) word positions), items of every document.
+    """id, n_words, spans (merged [begin, end) word positions), items of every row of docs, repeated rows too.
 
-    The benchmark is a stated query set: it is searched in passes of ITEMS_A_PASS items and each pass is joined
-    by document. Null texts and texts without words have no hits; items without words have no phrases. Repeated rows
-    of one pass give a row each; where several passes are needed, rows with the same id are one document. An
-    empty benchmark leaves every document clean.
+    Ids of docs are whole numbers, others become null. Null texts and texts without words have no hits; items without words have no phrases.
+    An empty benchmark leaves every document clean.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null")
-    passes = max(1, -(-asked.count() // ITEMS_A_PASS))
-    schema, found = "id long, n_words long, spans array<array<bigint>>, items array<string>", []
-    for k in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else asked
-        found.append(docs.mapInArrow(_search(Phrases([(x.item, x.text) for x in part.collect()], window)), schema))
-    if passes == 1:
-        return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    joined = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    start = F.array().cast("array<array<bigint>>")
-    last = lambda a: F.element_at(a, -1)
-    merge = lambda a, s: F.when((F.size(a) > 0) & (s[0] <= F.coalesce(F.try_element_at(a, F.lit(-1))[1], F.lit(-1))), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.array(last(a)[0], F.greatest(last(a)[1], s[1]))))).otherwise(F.concat(a, F.array(s)))
-    return joined.withColumn("spans", F.aggregate("spans", start, merge))
+    return _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col).drop("h")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """hits() with the digest columns: n_hit, n_items, items_sha256, contaminated (5 % of the words are hit)."""
-    found = hits(docs, benchmark, window, id_col, text_col)
+def _verdicts(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     found = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).withColumnRenamed("id", id_col)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """hits() with the digest columns: n_hit, n_items, items_sha256, contaminated (5 % of the words are hit)."""
+    return _verdicts(hits(docs, benchmark, window, id_col, text_col)).withColumnRenamed("id", id_col)
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs that are not contaminated, with all their columns. The verdict on a row goes by its id and text, also where ids are null or repeated."""
+    found = _verdicts(_hits(docs, benchmark, window, id_col, text_col, "item_id", "text")).where("contaminated")
+    gone = stored(found.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "contaminated")
+    same = F.col("_gone_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("_gone_h") == _text_key(text_col))
+    return docs.join(small_side(gone), same, "left_anti")

@@ -12,6 +12,7 @@ corpus it is a span too. Redaction removes terms that never stand without the va
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -78,22 +79,23 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_HINT[kind]), F.filter(_found(text, _PATTERN[kind]), lambda s: _holds(kind, s["value"]))).otherwise(none)
 
 
-def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column of spans for each kind, named as the kind."""
-    return docs.withColumns({k: base_spans(F.col(text_col), k) for k in KINDS})
+def _all_base(text: Column) -> Column:
+    """A struct of the spans of each kind."""
+    return F.struct(*[base_spans(text, k).alias(k) for k in KINDS])
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(based: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """term, removed (it tells everything) of the terms beyond the threshold, over documents with their base spans.
+def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+    """term, removed (it tells everything) of the terms beyond the threshold.
 
-    All counts are of rows of based, over whole texts, and are combined before the shuffle.
+    All counts are of rows of docs, over whole texts, and are combined before the shuffle.
     """
-    total = based.count()
-    text, spans = F.coalesce(F.col(text_col), F.lit("")), F.concat(*[F.col(k) for k in KINDS])
+    based = docs.select(F.col(text_col).alias("text"), _all_base(F.col(text_col)).alias("base"))
+    total = docs.count()
+    text, spans = F.coalesce(F.col("text"), F.lit("")), F.concat(*[F.col(f"base.{k}") for k in KINDS])
     mentions = based.where(F.size(spans) > 0).select(F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["value"]))).alias("values"), _terms(text).alias("terms"))
     mentions = stored(mentions, "mentions").select(F.explode("values").alias("value"), "terms")
     values = stored(mentions.groupBy("value").agg(F.count("*").alias("ne")), "values")
@@ -109,28 +111,32 @@ def disclosing_terms(based: DataFrame, text_col: str = "text", disclosure: float
     return best.groupBy("term").agg(F.bool_or(F.col("net") == F.col("nt")).alias("removed"))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """docs with the spans of each kind and `term`: (start, end, removed) of disclosing terms outside base spans.
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prior: float = PRIOR, into: str = "spans") -> DataFrame:
+    """docs with a column `into`, a struct of the spans of each kind and of `term`: (start, end, removed) of disclosing terms outside base spans.
 
-    Rows whose id is null or repeated are rows of their own; documents with the same id share what terms they hold.
-    Null texts have no spans. Columns of docs that are named as a kind is, or term, are replaced.
+    It goes by row and text: rows with null or repeated ids are rows of their own. Null texts have no spans. Other columns
+    pass through, whatever their names; one named as `into` is replaced.
     """
-    based = with_base(docs.drop(*KINDS, "term"), text_col)
-    flagged = stored(disclosing_terms(based.select(text_col, *KINDS), text_col, disclosure, prior), "disclosing")
+    mark = uuid.uuid4().hex
+    key, base, held = f"key_{mark}", f"base_{mark}", f"held_{mark}"
+    flagged = stored(disclosing_terms(docs, text_col, disclosure, prior), "disclosing")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    holding = docs.select(F.col(id_col).alias("_id"), F.explode(_terms(text)).alias("term")).join(small_side(flagged), "term").groupBy("_id").agg(F.collect_set(F.struct("term", "removed")).alias("_held"))
-    holding = stored(holding.where("_id is not null"), "holding")
-    joined = based.join(small_side(holding), based[id_col] == holding["_id"], "left").drop("_id")
-    base = F.concat(*[F.col(k) for k in KINDS])
-    told = lambda s: F.get(F.filter("_held", lambda h: h["term"] == F.lower(s["value"])), F.lit(0))
-    hit = F.filter(F.transform(_kept(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), told(s)["removed"].alias("removed"))), lambda s: s["removed"].isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # the terms that a text holds, by a hash of the text: texts that share a hash only share what is looked for in them
+    words = docs.select(F.xxhash64(text).alias(key), F.explode(_terms(text)).alias("term"))
+    holding = stored(words.join(small_side(flagged), "term").groupBy(key).agg(F.collect_set(F.struct("term", "removed")).alias(held)), "holding")
+    based = docs.withColumns({base: _all_base(F.col(text_col)), key: F.xxhash64(text)})
+    joined = left_join_hot(based, holding, key, id_col)
+    every = F.concat(*[F.col(f"{base}.{k}") for k in KINDS])
+    told = lambda s: F.get(F.filter(held, lambda h: h["term"] == F.lower(s["value"])), F.lit(0))
+    hit = F.filter(F.transform(_kept(text, held), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), told(s)["removed"].alias("removed"))), lambda s: s["removed"].isNotNull() & ~F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return joined.withColumn("term", F.when(F.col("_held").isNotNull(), hit).otherwise(none)).drop("_held")
+    terms = F.when(F.col(held).isNotNull(), hit).otherwise(none)
+    return joined.withColumn(into, F.struct(*[F.col(f"{base}.{k}").alias(k) for k in KINDS], terms.alias("term"))).drop(key, base, held)
 
 
-def _kept(text: Column) -> Column:
+def _kept(text: Column, held: str) -> Column:
     """The words of text that are among the held terms, with their places."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("gaps"), F.transform("_held", lambda h: h["term"]).alias("held"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), F.split(text, TERM, -1).alias("gaps"), F.transform(held, lambda h: h["term"]).alias("held"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def walk(b: Column) -> Column:
@@ -144,21 +150,23 @@ def _kept(text: Column) -> Column:
     return _let(both, walk)
 
 
-def _listed(kinds: tuple[str, ...]) -> Column:
-    of = lambda k: F.transform(F.col(k), lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
+def _listed(spans: str, kinds: tuple[str, ...]) -> Column:
+    of = lambda k: F.transform(F.col(f"{spans}.{k}"), lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
     return F.array_join(F.concat(*[of(k) for k in kinds]), ",")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, the number of spans of each base kind, base_sha256 and spans, one row for each row of docs."""
-    found = with_spans(docs.select(id_col, text_col), id_col, text_col)
-    return found.select(id_col, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed((*KINDS, "term")).alias("spans"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = with_spans(own, "id", "text", into="found")
+    return found.select(F.col("id").alias(id_col), *[F.size(f"found.{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_listed("found", KINDS), 256).alias("base_sha256"), _listed("found", (*KINDS, "term")).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, each span replaced by its kind in angle brackets, terms that tell everything by nothing. Null texts stay null."""
-    found = with_spans(docs, id_col, text_col)
-    tagged = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.when(s["removed"], "").otherwise("<TERM>") if k == "term" else F.lit(f"<{k.upper()}>")).alias("tag")))
+    """docs, each span replaced by its kind in angle brackets, terms that tell everything by nothing. Null texts stay null; only text_col changes."""
+    spans = f"spans_{uuid.uuid4().hex}"
+    found = with_spans(docs, id_col, text_col, into=spans)
+    tagged = lambda k: F.transform(F.col(f"{spans}.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.when(s["removed"], "").otherwise("<TERM>") if k == "term" else F.lit(f"<{k.upper()}>")).alias("tag")))
     every = F.array_sort(F.concat(*[tagged(k) for k in (*KINDS, "term")]))
     text, start = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -116,10 +116,12 @@ OP3 = f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 l AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels GROUP BY 1),
-h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM u LEFT JOIN l USING (page_id) WHERE host <> '' GROUP BY host),
+h0s AS (SELECT regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS host, bad FROM u LEFT JOIN l USING (page_id) WHERE host <> ''),
+h1 AS (SELECT host, string_split(host, '.') AS p, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM h0s GROUP BY host),
+h2 AS (SELECT *, CASE WHEN len(p[-1]) = 2 AND coalesce(p[-2] IN ({', '.join(f"'{x}'" for x in url_filter.SECOND_LEVEL)}), false) THEN 1 ELSE 0 END AS more FROM h1),
+h AS (SELECT host, n, bad, array_to_string(CASE WHEN more = 1 THEN p[-3:] ELSE p[-2:] END, '.') AS domain, array_to_string(CASE WHEN more = 1 THEN p[-2:] ELSE p[-1:] END, '.') AS suffix FROM h2),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END FROM h) AS p FROM d GROUP BY suffix),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + {url_filter.PRIOR_BAD}) / (coalesce(sum(n), 0) + {url_filter.PRIOR_PAGES}) FROM h) AS p FROM d GROUP BY suffix),
 ks AS ({_strength('SELECT n, bad, p FROM s0')}),
 s AS (SELECT suffix, (k * p + bad) / (k + n) AS mean FROM s0, ks),
 d0 AS (SELECT domain, n, bad, s.mean AS p FROM d JOIN s USING (suffix)),
@@ -130,7 +132,7 @@ kh AS ({_strength('SELECT n, bad, p FROM h0')}),
 post AS (SELECT host, (k * p + bad) / (k + n) AS mean, k + n + 1 AS more FROM h0, kh),
 bad AS (SELECT host FROM post WHERE mean - {url_filter.BOUND_SD} * sqrt(mean * (1 - mean) / more) > {url_filter.BAD_LIMIT})
 SELECT page_id, host, path, CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _ORDERED)} END AS rule,
-  CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _ORDERED)} WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+  CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _ORDERED)} WHEN regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM u
 """
 

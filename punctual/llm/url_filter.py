@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import left_join_hot, stored
+from punctual.llm.common import drop_stored, left_join_hot, stored
 
 #: A host is blocked if mean - BOUND_SD * sd of its posterior rate of bad pages exceeds BAD_LIMIT.
 BAD_LIMIT, BOUND_SD = 0.2, 1.0
+#: The overall rate has a beta prior of PRIOR_BAD bad pages in PRIOR_PAGES, so that a few outcomes condemn no one else.
+PRIOR_BAD, PRIOR_PAGES = 1.0, 10.0
+#: Labels under a country's suffix below which domains are registered.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "ne", "net", "or", "org"]
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,39 +50,50 @@ def _strength(rates: DataFrame, parent: str) -> float:
     return min(1000.0, max(1.0, 1 / over - 1 if over > 0 else 1000.0))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user information and port."""
+    return F.regexp_replace(F.regexp_replace(host, F.lit("^.*@"), F.lit("")), F.lit(":[0-9]*$"), F.lit(""))
+
+
 def reputations(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """host, n, bad, mean, sd of every host of pages.
+    """name, n, bad, mean, sd of the name of every host of pages.
 
     pages: id_col, host. outcomes: id_col, bad (1 or 0); pages without an outcome tell nothing about their host.
-    The domain is a host's last two labels, the suffix its last one. Without any outcome all means are 0.
+    The suffix is a name's last label, or its last two where they are a country and one of SECOND_LEVEL; the registered domain
+    is one label more. Without any outcome all means are the prior's.
     """
     known = outcomes.where("bad is not null").groupBy(id_col).agg(F.max("bad").alias("bad"))
     # narrow on both sides; counts by host are made before they move
-    joined = pages.where(F.col("host") != "").select(id_col, "host").join(known, id_col, "left")
-    hosts = joined.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}).persist()
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    joined = pages.where(F.col("host") != "").select(id_col, name_of(F.col("host")).alias("name")).join(known, id_col, "left")
+    hosts = joined.groupBy("name").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    labels = F.split("name", r"\.")
+    two = (F.length(F.element_at(labels, -1)) == 2) & F.coalesce(F.try_element_at(labels, F.lit(-2)).isin(SECOND_LEVEL), F.lit(False))
+    cut = lambda n: F.substring_index("name", ".", -n)
+    hosts = stored(hosts.withColumns({"domain": F.when(two, cut(3)).otherwise(cut(2)), "suffix": F.when(two, cut(2)).otherwise(cut(1))}), "hosts")
+    domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = hosts.agg(F.sum("bad"), F.sum("n")).first()
-    overall = total[0] / total[1] if total[1] else 0.0
+    total = hosts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    overall = (total[0] + PRIOR_BAD) / (total[1] + PRIOR_PAGES)
     posterior = lambda level, parent, k: level.withColumn("mean", (F.lit(k) * F.col(parent) + F.col("bad")) / (F.lit(k) + F.col("n")))
     suffixes = suffixes.withColumn("up", F.lit(overall))
-    suffixes = posterior(suffixes, "up", _strength(suffixes, "up"))
-    domains = domains.join(suffixes.select("suffix", F.col("mean").alias("up")), "suffix")
-    domains = posterior(domains, "up", _strength(domains, "up"))
-    hosts_up = hosts.join(domains.select("domain", F.col("mean").alias("up")), "domain")
+    suffixes = stored(posterior(suffixes, "up", _strength(suffixes, "up")).select("suffix", F.col("mean").alias("up")), "suffixes")
+    domains_up = stored(left_join_hot(domains, suffixes, "suffix", "domain"), "domains-up")
+    ups = stored(posterior(domains_up, "up", _strength(domains_up, "up")).select("domain", F.col("mean").alias("up")), "domain-means")
+    hosts_up = stored(left_join_hot(hosts, ups, "domain", "name"), "hosts-up")
+    for x in (hosts, domains, suffixes, domains_up, ups):
+        drop_stored(x)
     k = _strength(hosts_up, "up")
     out = posterior(hosts_up, "up", k)
-    return out.withColumn("sd", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.lit(k) + F.col("n") + 1))).select("host", "n", "bad", "mean", "sd")
+    return out.withColumn("sd", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.lit(k) + F.col("n") + 1))).select("name", "n", "bad", "mean", "sd")
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, bad_limit: float = BAD_LIMIT, bound_sd: float = BOUND_SD) -> DataFrame:
     """id, host, path, rule, verdict for each row of pages, repeated rows too.
 
-    Pages without a host fall under no rule and are allowed. Extra columns of pages are ignored.
+    A host's reputation goes by its name, without user information and port. Pages without a host fall under no rule and are allowed. Extra columns of pages are ignored.
     """
     pages = with_host(pages.select(id_col, url_col), url_col)
-    bad = stored(reputations(pages, outcomes, id_col).where(F.col("mean") - bound_sd * F.col("sd") > bad_limit).select("host", F.lit(True).alias("bad_host")), "bad-hosts")
+    bad = stored(reputations(pages, outcomes, id_col).where(F.col("mean") - bound_sd * F.col("sd") > bad_limit).select("name", F.lit(True).alias("bad_host")), "bad-hosts")
     name, verdict = _rule(RULES if rules is None else rules)
-    joined = left_join_hot(pages, bad, "host", id_col, "path")
+    joined = left_join_hot(pages.withColumn("name", name_of(F.col("host"))), bad, "name", id_col, "path")
     return joined.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_host"), F.lit("block")), F.lit("allow")).alias("verdict"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punctual.llm.common import drop_stored, small_side, stored
+from punctual.llm.common import drop_stored, join_dealt, small_side, stored
 
 MAGIC = "WARC/1.1\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -34,14 +34,16 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str =
     """A record for each row of pages, in as many archives as pages has partitions.
 
     Of equal payloads of at least min_bytes bytes that with the smallest id is a response, the others are revisits
-    that name it. A null html is an empty payload, a null url a missing target. Rows without an id are left out; rows
-    that repeat an id and payload are responses, or revisits, alike.
+    that name it. A null html is an empty payload, a null url a missing target. Ids are whole numbers. Rows without an id are left out; rows
+    that repeat an id and payload are responses, or revisits, alike; rows that repeat an id with another payload are pages of their own.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     pages = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), F.lit(r"[\x00-\x20]"), F.lit("")).alias("url"), html.cast("binary").alias("html"))
-    keys = pages.where(F.octet_length("html") >= min_bytes).select("id", F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
-    first = keys.groupBy("sha", "n").agg(F.min("id").alias("refers_to"), F.max("id").alias("most")).where("most > refers_to")
-    revisits = stored(keys.join(first, ["sha", "n"]).where("id > refers_to").select("id", "refers_to").distinct(), "revisits")
+    pages = pages.withColumn("sha", F.sha1("html"))
+    keys = pages.where(F.octet_length("html") >= min_bytes).select("id", "sha")
+    first = stored(keys.groupBy("sha").agg(F.min("id").alias("refers_to"), F.max("id").alias("most"), F.count("*").alias("_w")).where("most > refers_to"), "first")
+    several = keys.join(small_side(first.select("sha")), "sha", "left_semi")
+    revisits = stored(join_dealt(several, first.select("sha", "refers_to"), "sha", first.select("sha", "_w"), "id").where("id > refers_to").distinct(), "revisits")
 
     def run(batches):
         for batch in batches:
@@ -55,7 +57,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str =
                 lines.append(MAGIC.encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n")
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
 
-    records = pages.join(small_side(revisits), "id", "left").select("id", "url", "html", "refers_to").mapInArrow(run, "value binary")
+    records = pages.join(small_side(revisits), ["id", "sha"], "left").select("id", "url", "html", "refers_to").mapInArrow(run, "value binary")
     # the writer ends each record with its second line end
     records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").text(out)
 
@@ -160,11 +162,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     record_id, record_type, url, digest and full_length (of the full payload, as the header says), refers_to,
     payload_bytes and payload_sha1 (of the payload that the record holds). Records behind a broken or
-    missing header are not on a chain and are left out, as are look-alikes in payloads.
+    missing header are not on a chain and are left out, as are look-alikes in payloads and a last record that its file cuts short.
     """
     found = stored(_chunks(spark, path).mapInArrow(_candidates, f"{_META}, {_RECORD}"), "candidates")
     sizes = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     begins = stored(sizes.select("file", "block", F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin")), "begins")
+    lengths = stored(sizes.groupBy("file").agg((F.sum("bytes") - len(MAGIC)).alias("file_bytes")), "lengths")
     placed = found.join(small_side(begins), ["file", "block"])
     jumps = placed.where("leaves").select("file", (F.col("begin") + F.col("at")).alias("at"), (F.col("begin") + F.col("jump")).alias("to"))
     starts = placed.where(F.col("begin") + F.col("at") == len(MAGIC)).select("file", F.lit(len(MAGIC)).cast("long").alias("at"))
@@ -174,6 +177,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # a group is one split, so its size is bounded by spark.sql.files.maxPartitionBytes
     real = entered.groupBy("file", "block").applyInPandas(_on_chain, "file string, block long, at long, real boolean").where("real")
     records = stored(placed.join(real.drop("real"), ["file", "block", "at"]).withColumn("abs", F.col("begin") + F.col("at")), "records")
+    records = records.join(small_side(lengths), "file").where(F.col("abs") + F.col("head") + F.col("length") <= F.col("file_bytes"))
     names = [x.split()[0] for x in _RECORD.split(", ")]
     if records.where("payload_bytes is null").isEmpty():
         return records.select(*names)
@@ -189,8 +193,16 @@ def _joined(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame, n
     wanted = stored(own.where("abs <= until").select("file", "block", "at", "abs", "first"), "pieces")
 
     def run(batches):
+        rows, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "value"])
         for (file, block), at, value in _splits(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([at]), pa.array([value], pa.binary())], ["file", "block", "at", "value"])
+            rows.append((file, block, at, value))
+            size += len(value)
+            if size > 4_000_000 or len(rows) >= 1000:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
     texts = _chunks(spark, path).mapInArrow(run, "file string, block long, at long, value binary").join(small_side(wanted), ["file", "block", "at"])
 
