@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -32,6 +33,8 @@ from punctual.llm.token_files import pack, unpack
 ORDER, CLASSES = 6, 64
 #: Characters, and documents, after which a block is closed; a longer text is a block of its own.
 BLOCK, BLOCK_DOCS = 1 << 23, 50_000
+#: Characters that are worked on at once.
+PIECE = 1 << 20
 #: Shards of each model, and rows that are merged, or blocks that are answered, at once.
 SHARDS, FAN = 64, 256
 #: One trusted document in so many, by a hash of its id, sets the threshold instead of being learnt from.
@@ -77,17 +80,32 @@ def classes_of(text: str | None) -> np.ndarray:
     return np.concatenate([np.zeros(ORDER - 1, np.uint8), own])
 
 
-def _codes(packed: bytes, sizes: np.ndarray) -> np.ndarray:
-    """The n-grams of a block's documents, one after another; a document has as many as characters."""
+def _pieces(packed: bytes, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The n-grams of a block's documents, one after another, PIECE at a time; a document has as many as characters."""
     classes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    code = np.zeros(len(classes) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        np.left_shift(code, _BITS, out=code)
-        np.bitwise_or(code, classes[k : k + len(code)], out=code)
-    own = np.ones(len(code), bool)
     between = (np.cumsum(sizes + (ORDER - 1)) - (ORDER - 1))[:-1]
-    own[(between[:, None] + np.arange(ORDER - 1)).ravel()] = False
-    return code[own]
+    between = (between[:, None] + np.arange(ORDER - 1)).ravel()
+    n = len(classes) - ORDER + 1
+    for begin in range(0, n, PIECE):
+        end = min(n, begin + PIECE)
+        code = np.zeros(end - begin, np.int64)
+        for k in range(ORDER):
+            np.left_shift(code, _BITS, out=code)
+            np.bitwise_or(code, classes[begin + k : end + k], out=code)
+        a, b = np.searchsorted(between, (begin, end))
+        yield np.delete(code, between[a:b] - begin)
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes, and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct(packed: bytes, sizes: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.int64), *map(np.unique, _pieces(packed, sizes))]))
 
 
 def _middle(code: np.ndarray) -> np.ndarray:
@@ -180,7 +198,11 @@ def _learnt(blocks: DataFrame, ways: int, pooled: bool) -> DataFrame:
                 if 1 not in roles:
                     continue
                 sizes = np.array(sizes, np.int64)
-                code, n = np.unique(_codes(raw, sizes)[np.repeat(np.array(roles) == 1, sizes)], return_counts=True)
+                learnt, at, own = np.repeat(np.array(roles) == 1, sizes), 0, []
+                for piece in _pieces(raw, sizes):
+                    own.append(np.unique(piece[learnt[at : at + len(piece)]], return_counts=True))
+                    at += len(piece)
+                code, n = _summed(*(np.concatenate(x) for x in zip(*own, strict=True))) if own else (np.empty(0, np.int64),) * 2
                 order, border = _by_shard(code)
                 out = [(m, s, block % ways, _squeezed(code[x]), _numbers(n[x])) for s in range(SHARDS) if border[s] < border[s + 1] for x in [order[border[s] : border[s + 1]]] for m in ([model, _ALL] if pooled and model != _ALL else [model])]
                 if out:
@@ -195,10 +217,7 @@ def _merged(rows: DataFrame, ways: int) -> DataFrame:
     def merge(own: pa.Table) -> pa.Table:
         code = np.concatenate([_spread(x) for x in own["codes"].to_pylist()])
         n = np.concatenate([_counts(x) for x in own["n"].to_pylist()])
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order]
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        code, n = code[first], np.add.reduceat(n, first)
+        code, n = _summed(code, n)
         by = np.argsort(_middle(code).astype(np.uint16), kind="stable")
         return pa.table({**{k: own[k].slice(0, 1) for k in ("model", "shard", "way")}, "codes": pa.array([_squeezed(code[by])], pa.binary()), "n": pa.array([_numbers(n[by])], pa.binary())})
 
@@ -280,7 +299,7 @@ def _answered(blocks: DataFrame, shards: DataFrame, low: DataFrame, ways: int) -
     def ask(batches):
         for batch in batches:
             for block, model, sizes, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                code = np.unique(_codes(raw, np.array(sizes, np.int64)))
+                code = _distinct(raw, np.array(sizes, np.int64))
                 order, border = _by_shard(code)
                 out = [(block, model, s, block % ways, _squeezed(code[order[border[s] : border[s + 1]]])) for s in range(SHARDS) if border[s] < border[s + 1]]
                 if out:
@@ -315,13 +334,20 @@ def _scored(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         found = {s: np.frombuffer(x, "<u2") * step for s, step, x in zip(*(values[c].to_pylist() for c in ("shard", "step", "logp")), strict=True)}
         for model, ids, hashes, langs, roles, sizes, packed in zip(*(own[c].to_pylist() for c in ("model", "ids", "texts", "langs", "roles", "sizes", "packed")), strict=True):
             sizes = np.array(sizes, np.int64)
-            code, place = np.unique(_codes(packed, sizes), return_inverse=True)
+            code = _distinct(packed, sizes)
             order, _ = _by_shard(code)
             logp = np.empty(len(code))
             logp[order] = np.concatenate([found[s] for s in sorted(found)]) if found else []
-            total = np.concatenate([[0.0], np.cumsum(logp[place])])
-            ends = np.cumsum(sizes)
-            nll = [float(t) / n if n else None for t, n in zip(total[ends] - total[ends - sizes], sizes.tolist(), strict=True)]
+            ends, at = np.cumsum(sizes), 0
+            total = np.zeros(len(sizes))
+            for piece in _pieces(packed, sizes):
+                # sums of the part of each document that lies in the piece
+                first, last = np.searchsorted(ends, (at, at + len(piece) - 1), side="right")
+                upto = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(code, piece)])])
+                cut = np.clip(np.concatenate([ends[first : last + 1] - sizes[first : last + 1], [at + len(piece)]]) - at, 0, len(piece))
+                total[first : last + 1] += np.diff(upto[cut])
+                at += len(piece)
+            nll = [float(t) / n if n else None for t, n in zip(total, sizes.tolist(), strict=True)]
             columns = [ids, hashes, langs, [model] * len(ids), roles, sizes, nll]
             out.append(pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds], names)

@@ -153,6 +153,7 @@ def test_quality_model(spark, docs, rows, monkeypatch, least, fan):
     """Every perplexity, threshold and verdict against plain dictionaries, with models by language and with one of all, merged at once and in steps."""
     monkeypatch.setattr(quality_model, "LEAST", least)
     monkeypatch.setattr(quality_model, "FAN", fan)
+    monkeypatch.setattr(quality_model, "PIECE", 1 << 20 if fan > 2 else 1000)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     trusted = labels.where("quality = 1").select("doc_id")
     found = quality_model.judged(docs, trusted).collect()
