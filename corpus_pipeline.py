@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import decontaminate, near_dups, pii, quality_model, trie_bpe
-from punctual.llm.common import small_side, stored, table
+from punctual.llm.common import stored, table
 from punctual.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,9 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than 5 % of the words stand in benchmark windows."""
-    found = decontaminate.judged(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
