@@ -60,6 +60,19 @@ def last_complete_week_end(day: Column) -> Column:
     return F.date_sub(day, F.dayofweek(day))
 
 
+def short_stop_name(name: Column) -> Column:
+    """A stop's name without the street that all share, kinds of street and what stands in brackets."""
+    out = F.regexp_replace(name, F.lit(r" \([^)]*\)"), F.lit(""))
+    # fixed values: replacements, in order
+    for old, new in (("Broadway & ", ""), ("8th St & Broadway", "8th"), ("College Av & Broadway", "College"), ("W MacArthur Blvd", "MacArthur"), ("W Grand Av", "Grand Av"), (" St", ""), (" Av", "")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(name.contains("(20th St)"), "20th").otherwise(out)
+
+
+def zero_to_null(x: Column) -> Column:
+    return F.nullif(x, F.lit(0).cast("double"))
+
+
 def rounded(x: Column, digits: int) -> Column:
     """Half away from zero, by arithmetic alone."""
     scale = 10**digits
@@ -77,7 +90,9 @@ def percentile(x: str, p: float, kind: str = "bigint") -> Column:
 
 
 def quarter_hour(day: Column, ts: Column, tz: str = TZ) -> Column:
-    return F.floor((F.unix_micros(ts) - F.unix_micros(midnight(day, tz))) / 60_000_000 / 15).cast("int")
+    """Quarter of an hour since local midnight, by whole minutes cut toward zero: the minute before midnight counts to the first quarter."""
+    minutes = ((F.unix_micros(ts) - F.unix_micros(midnight(day, tz))) / 60_000_000).cast("long")
+    return F.floor(minutes / 15).cast("int")
 
 
 def delay_minute(delay: Column) -> Column:
@@ -114,9 +129,10 @@ def route_group(route: Column) -> Column:
     return F.when(route.isin(EARLY_BIRD), "Early Bird").when(route.isin(ALL_NIGHTER), "All Nighter").when(school, "School").when(route.isin(TRANSBAY), "Transbay").otherwise("Local / other")
 
 
-def study_period(day: Column) -> Column:
+def study_period(day: Column, periods: list[tuple[str, str, str]] | None = None) -> Column:
+    """The period that day falls in, null if none; periods: (name, first day, last day)."""
     out = F.lit(None).cast("string")
-    for name, first, last in PERIODS:
+    for name, first, last in PERIODS if periods is None else periods:
         out = F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), name).otherwise(out)
     return out
 

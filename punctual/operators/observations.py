@@ -44,19 +44,28 @@ def with_legs(obs: DataFrame, position_m: Column) -> DataFrame:
 
 def _punctuality() -> list[Column]:
     d = F.col("delay_seconds")
-    bands = {"on_time_pct": d.between(0, 180), "within_5_pct": d.between(0, 300), "within_7_pct": d.between(0, 420), "early_pct": d < 0, "late_pct": d > 180}
+    bands = {"on_time_pct": d.between(0, 180), "within_5_pct": d.between(0, 300), "within_7_pct": d.between(0, 420), "early_pct": d < 0, "late_pct": d > 180, "very_late_pct": d > 420}
     return [F.coalesce(c.rounded(c.share(x), 1), F.lit(0.0)).alias(k) for k, x in bands.items()]
 
 
+def _speed() -> Column:
+    return c.rounded(F.avg(F.when(F.col("leg_avg_speed_mps").between(0, 35), F.col("leg_avg_speed_mps"))) * 2.2369, 1).alias("avg_speed_mph")
+
+
 def system_stats(obs: DataFrame) -> DataFrame:
-    trips = F.count_distinct("service_date", "trip_id").alias("trips")
-    speed = c.rounded(F.avg(F.when(F.col("leg_avg_speed_mps").between(0, 35), F.col("leg_avg_speed_mps"))) * 2.2369, 1).alias("avg_speed_mph")
-    return fresh(obs).agg(trips, F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentile("delay_seconds", 0.5).alias("p50_delay_s"), c.percentile("delay_seconds", 0.95).alias("p95_delay_s"), speed)
+    """One row. Trips count with any arrival, stale ones too; all else goes by fresh arrivals."""
+    own = _system(fresh(obs))
+    every = arrived(obs).agg(F.count_distinct("service_date", "trip_id").alias("trips"))
+    return every.crossJoin(own)  # one row each
+
+
+def _system(own: DataFrame) -> DataFrame:
+    return own.agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentile("delay_seconds", 0.5).alias("p50_delay_s"), c.percentile("delay_seconds", 0.95).alias("p95_delay_s"), _speed())
 
 
 def route_stats(obs: DataFrame) -> DataFrame:
     quantiles = [c.percentile("delay_seconds", p / 100).alias(f"p{p}_delay_s") for p in (5, 25, 50, 75, 95)]
-    return fresh(obs).groupBy("service_date", "route_id").agg(F.count_distinct("trip_id").alias("trips"), F.count("*").alias("observations"), *_punctuality(), *quantiles)
+    return fresh(obs).groupBy("service_date", "route_id").agg(F.count_distinct("trip_id").alias("trips"), F.count("*").alias("observations"), *_punctuality(), *quantiles, _speed()).orderBy("service_date", F.desc("trips"), F.desc("observations"), "route_id")
 
 
 def delay_minute_histogram(obs: DataFrame) -> DataFrame:
@@ -69,12 +78,14 @@ def volume_15min(obs: DataFrame) -> DataFrame:
 
 
 def volume_top_n(volume: DataFrame, limited: DataFrame, n: int = 10) -> DataFrame:
-    """Volume of the n busiest routes of each day, limited ones left out, the rest as Other."""
+    """Volume of the n busiest routes of each day, limited ones left out, the rest as Other if there is any: all 96 quarters of an hour of each."""
     open_ = volume.join(limited.select("service_date", "route_id"), ["service_date", "route_id"], "left_anti")
     totals = open_.groupBy("service_date", "route_id").agg(F.sum("n").alias("total"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("service_date").orderBy(F.desc("total"), "route_id")))
-    named = open_.join(ranked.select("service_date", "route_id", "rank"), ["service_date", "route_id"])
-    return named.groupBy("service_date", F.when(F.col("rank") <= n, F.col("route_id")).otherwise("Other").alias("route_id"), "bucket").agg(F.sum("n").alias("n"))
+    shown = ranked.select("service_date", "route_id", F.when(F.col("rank") <= n, F.col("route_id")).otherwise("Other").alias("series"))
+    named = open_.join(shown, ["service_date", "route_id"]).groupBy("service_date", F.col("series").alias("route_id"), "bucket").agg(F.sum("n").alias("n"))
+    spine = shown.select("service_date", F.col("series").alias("route_id")).distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    return spine.join(named, ["service_date", "route_id", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def delay_heatmap(obs: DataFrame, least: int = 10) -> DataFrame:
@@ -104,23 +115,34 @@ def trip_progress(obs: DataFrame) -> DataFrame:
 def audit_daily(raw: DataFrame, deduped: DataFrame) -> DataFrame:
     has = F.col("actual_arrival").isNotNull()
     a = raw.groupBy("service_date").agg(F.count("*").alias("raw_rows"))
-    b = deduped.groupBy("service_date").agg(F.count("*").alias("rows"), F.count_if(has).alias("arrivals"), F.count_distinct(F.when(has, F.col("route_id"))).alias("routes"), F.count_distinct(F.when(has, F.col("trip_id"))).alias("trips"), F.count_distinct(F.when(has, F.col("vehicle_id"))).alias("vehicles"))
-    return a.join(b, "service_date").withColumn("duplicate_pct", c.rounded(100.0 * (F.col("raw_rows") - F.col("rows")) / F.col("raw_rows"), 3))
+    b = deduped.groupBy("service_date").agg(F.count("*").alias("rows"), F.count_distinct("route_id").alias("routes"), F.count_distinct(F.when(has, F.col("trip_id"))).alias("trips"), F.count_distinct(F.when(has, F.col("vehicle_id"))).alias("vehicles"), F.count_if(has).alias("arrivals"), F.count_if(has & ~F.col("is_stale")).alias("fresh_arrivals"))
+    return a.join(b, "service_date").withColumns({"duplicates": F.col("raw_rows") - F.col("rows"), "duplicate_pct": c.rounded(100.0 * (F.col("raw_rows") - F.col("rows")) / F.col("raw_rows"), 1)})
+
+
+def _delivery(*quantiles: int) -> list[Column]:
+    """What the study counts of stop rows, observed or not."""
+    d, has = F.col("delay_seconds"), F.col("actual_arrival").isNotNull()
+    bands = {"delivered": d.between(-60, 420), "on_time": d.between(0, 180), "early": d < 0, "late": d > 180, "very_late": d > 420}
+    return [
+        F.count_distinct("service_date").alias("service_days"), F.count("*").alias("scheduled_stop_rows"), F.count_distinct(F.when(has, F.struct("service_date", "trip_id"))).alias("observed_trips"), F.count_if(has).alias("arrivals"),
+        *[F.count_if(has & x).alias(k) for k, x in bands.items()], *[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY CASE WHEN actual_arrival IS NOT NULL THEN delay_seconds END)").cast("bigint").alias(f"p{p}_delay_s") for p in quantiles],
+    ]
+
+
+def exclude_dates(rows: DataFrame, dates: list[str]) -> DataFrame:
+    """Rows of days other than those named; days that were only partly recorded distort shares."""
+    return rows.where(~F.col("service_date").cast("string").isin(dates)) if dates else rows
 
 
 def period_route_rollup(obs: DataFrame, periods: Column) -> DataFrame:
-    """Group and route by study period, as two grains of one pass."""
-    d = F.col("delay_seconds")
-    own = arrived(obs).select(periods.alias("period"), c.route_group(F.col("route_id")).alias("route_group"), "route_id", "delay_seconds", in_rider_window(d).alias("delivered")).where("period is not null")
-    own.createOrReplaceTempView("_period_rows")
-    return obs.sparkSession.sql("""SELECT period, route_group, route_id, CASE WHEN grouping(route_id) = 1 THEN 'group' ELSE 'route' END AS grain, count(*) AS arrivals, count_if(delivered) AS delivered,
-      CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY delay_seconds) AS BIGINT) AS p50_delay_s, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY delay_seconds) AS BIGINT) AS p95_delay_s
-      FROM _period_rows GROUP BY GROUPING SETS ((period, route_group), (period, route_group, route_id))""")
+    """Group and route by study period, as two grains of one pass, over stop rows with and without an arrival."""
+    own = obs.withColumns({"period": periods, "route_group": c.route_group(F.col("route_id"))}).where("period is not null")
+    sets = own.groupingSets([["period", "route_group"], ["period", "route_group", "route_id"]], "period", "route_group", "route_id")
+    return sets.agg(F.when(F.grouping("route_id") == 1, "group").otherwise("route").alias("grain"), *_delivery(5, 50, 95))
 
 
 def weekly_group_rollup(obs: DataFrame) -> DataFrame:
-    d = F.col("delay_seconds")
-    return arrived(obs).groupBy(c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group")).agg(F.count("*").alias("arrivals"), F.count_if(in_rider_window(d)).alias("delivered"), F.count_if(d < 0).alias("early"), F.count_if(d > 420).alias("very_late"))
+    return obs.groupBy(c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group")).agg(*_delivery(50, 95))
 
 
 def route_on_time_rate(obs: DataFrame, last_day: Column, days: int = 7) -> DataFrame:
@@ -128,9 +150,18 @@ def route_on_time_rate(obs: DataFrame, last_day: Column, days: int = 7) -> DataF
     return recent.groupBy("route_id").agg(c.rounded(c.share(F.col("delay_seconds") <= 60), 3).alias("on_time_pct"), c.percentile("delay_seconds", 0.95).alias("p95_delay_s"))
 
 
-def segments(obs: DataFrame) -> DataFrame:
-    """Runs between consecutive stops of a trip at both of which it arrived."""
+def segments(rows: DataFrame, position_m: Column) -> DataFrame:
+    """Runs from each stop row of a trip to the next one, if that is the next in sequence: distance, scheduled and actual time, speed.
+
+    rows have all planned stops; the times are null where either arrival is.
+    """
     w = Window.partitionBy("service_date", "trip_id").orderBy("stop_sequence")
-    after = F.lead(F.struct("stop_sequence", "stop_id", "actual_arrival", "delay_seconds")).over(w)
-    own = arrived(obs).withColumn("next", after).where(F.col("next.stop_sequence") == F.col("stop_sequence") + 1)
-    return own.select("service_date", "route_id", "trip_id", "stop_sequence", F.col("stop_id").alias("from_stop"), F.col("next.stop_id").alias("to_stop"), c.seconds_between(F.col("actual_arrival"), F.col("next.actual_arrival")).alias("runtime_s"))
+    own = rows.withColumn("_m", position_m.cast("double"))
+    own = own.withColumn("next", F.lead(F.struct("stop_sequence", "stop_id", "scheduled_arrival", "actual_arrival", "_m")).over(w)).where(F.col("next.stop_sequence") == F.col("stop_sequence") + 1)
+    run = c.seconds_between(F.col("actual_arrival"), F.col("next.actual_arrival"))
+    own = own.withColumns({"to_stop": F.col("next.stop_id"), "distance_m": F.col("next._m") - F.col("_m"), "scheduled_s": c.seconds_between(F.col("scheduled_arrival"), F.col("next.scheduled_arrival")), "runtime_s": run})
+    return own.withColumn("speed_mph", F.try_divide(F.col("distance_m"), F.col("runtime_s")) * 2.236936).withColumnRenamed("stop_id", "from_stop").drop("next", "_m")
+
+
+def runtime_valid(segs: DataFrame) -> DataFrame:
+    return segs.where(F.col("runtime_s").between(10, 1800) & (F.col("distance_m") > 0))

@@ -34,7 +34,9 @@ def stop_plan(plan: DataFrame) -> DataFrame:
 
 
 def scheduled_runs(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("service_date", "route_id", "direction_id", "trip_id").agg(F.min("scheduled_arrival").alias("starts")).where("starts is not null")
+    """The first scheduled instant of each trip, by departure where a stop has no arrival time; trips without any time are left out."""
+    at = F.coalesce("scheduled_arrival", "scheduled_departure") if "scheduled_departure" in plan.columns else F.col("scheduled_arrival")
+    return plan.groupBy("service_date", "route_id", "direction_id", "trip_id").agg(F.min(at).alias("starts")).where("starts is not null")
 
 
 def route_stop_delivery(plan: DataFrame, obs: DataFrame) -> DataFrame:
@@ -68,6 +70,13 @@ def daily_service_delivered(trips: DataFrame, obs: DataFrame) -> DataFrame:
     return trips.join(seen, TRIP, "left").groupBy("service_date", "route_id").agg(F.count("*").alias("scheduled"), F.count("ran").alias("ran")).withColumn("delivered_pct", c.rounded(100.0 * F.col("ran") / F.col("scheduled"), 1))
 
 
+def week_days(daily: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """daily on all seven days of each week and key: the values of days without a row are null."""
+    own = daily.withColumn("week_start", c.week_start(F.col("service_date")))
+    spine = own.select("week_start", *keys).distinct().withColumn("service_date", F.explode(F.sequence("week_start", F.date_add("week_start", 6))))
+    return spine.join(own.select("service_date", *keys, *values), ["service_date", *keys], "left")
+
+
 def gap_windows(runs: DataFrame, obs: DataFrame) -> DataFrame:
     """Scheduled runs that, like the run before them in their direction, were not observed, by day and route."""
     seen = arrived(obs).select(*TRIP, F.lit(True).alias("seen")).distinct()
@@ -77,12 +86,22 @@ def gap_windows(runs: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def trips_not_completed(plan: DataFrame, obs: DataFrame) -> DataFrame:
-    """Trips that arrived somewhere but not at their last boarding stop, with the share of positions reached and its bucket."""
-    ends = stop_plan(plan).groupBy("service_date", "route_id", "trip_id").agg(F.max("last_boarding").alias("last_boarding"), F.max(F.when(F.col("stop_sequence") == F.col("last_boarding"), F.col("position"))).alias("of"))
-    own = trip_progress(obs).join(ends, TRIP).where("last_sequence < last_boarding")
-    at = stop_plan(plan).select(*TRIP, F.col("stop_sequence").alias("last_sequence"), "position")
-    out = own.join(at, [*TRIP, "last_sequence"]).withColumn("pct", 100.0 * F.col("position") / F.col("of"))
-    return out.select("service_date", "route_id", "trip_id", "last_sequence", c.rounded(F.col("pct"), 1).alias("completed_pct"), F.least((F.col("pct") / 10).cast("int"), F.lit(9)).alias("bucket"))
+    """Trips that arrived somewhere but not at their last boarding stop, with the share of positions reached and its bucket. One pass over the plan."""
+    last = trip_progress(obs)
+    own = stop_plan(plan).select(*TRIP, "route_id", "stop_sequence", "position", "last_boarding").join(last, TRIP)
+    at = lambda x: F.max(F.when(F.col("stop_sequence") == F.col(x), F.col("position")))
+    ends = own.where("last_sequence < last_boarding").groupBy(*TRIP, "route_id", "last_sequence").agg(at("last_sequence").alias("position"), at("last_boarding").alias("of"))
+    out = ends.where("position is not null").withColumn("pct", 100.0 * F.col("position") / F.col("of"))
+    return out.select("service_date", "route_id", "trip_id", "last_sequence", "pct", c.rounded(F.col("pct"), 1).alias("completed_pct"), F.least((F.col("pct") / 10).cast("int"), F.lit(9)).alias("bucket"))
+
+
+def completion_distribution(cut_short: DataFrame) -> DataFrame:
+    """By day: trips cut short, quantiles of how far they came, and how many came to each tenth."""
+    counts = cut_short.groupBy("service_date").agg(F.count("*").alias("trips"), *[F.count_if(F.col("bucket") == k).alias(f"bucket_{k}") for k in range(10)])
+    out = counts
+    for p in (5, 25, 50, 75, 95):
+        out = out.join(floor_percentile(cut_short, ["service_date"], "pct", p / 100).select("service_date", c.rounded(F.col("pct"), 1).alias(f"p{p}_pct")), "service_date")
+    return out
 
 
 def distortion(plan: DataFrame, obs: DataFrame) -> DataFrame:
@@ -100,22 +119,69 @@ def distortion_histogram(distorted: DataFrame) -> DataFrame:
 
 
 def floor_percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The value at index min(int(n p), n - 1) of each sorted group."""
+    """The value at index min(int(n p), n - 1) of each sorted group. Equal values are counted before they move, so a group is as large as its distinct values."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
-    own = rows.withColumns({"_k": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    return own.where(F.col("_k") == F.least((F.col("_n") * p).cast("int"), F.col("_n") - 1)).select(*keys, value)
+    own = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    at = F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1)
+    return own.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, value)
+
+
+def completion_rollup(obs: DataFrame, periods: Column) -> DataFrame:
+    """By route group, once by study period and once by week: trips that ran, reached their last stop, fell short, and came less than 80 % of the way."""
+    trips = obs.groupBy("service_date", "route_id", "trip_id").agg(F.max("stop_sequence").alias("final"), F.max(F.when(F.col("actual_arrival").isNotNull(), F.col("stop_sequence"))).alias("last"))
+    own = trips.where("last is not null and final > 0").select(periods.alias("period"), c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group"), "last", "final", (100.0 * F.col("last") / F.col("final")).alias("pct"))
+    sets = own.groupingSets([["period", "route_group"], ["week_start", "route_group"]], "period", "week_start", "route_group")
+    counts = {"reached": "last >= final", "incomplete": "last < final", "below_80": "pct < 80"}
+    return sets.agg(F.when(F.grouping("period") == 1, "week").otherwise("period").alias("grain"), F.count("*").alias("ran"), *[F.count_if(F.expr(x)).alias(k) for k, x in counts.items()], *[c.rounded(c.percentile("pct", p / 100, "double"), 3).alias(f"p{p}_pct") for p in (5, 50)])
+
+
+def route_week_grid(daily: DataFrame, gaps: DataFrame, delays: DataFrame) -> DataFrame:
+    """By week and route, worst median delay first: delivery on the seven days, runs per active day, limited, and gap windows if every active day has them.
+
+    daily: daily_service_delivered(), gaps: gap_windows(), delays: week_start, route_id, p50_delay_s.
+    """
+    joined = daily.join(gaps, ["service_date", "route_id"], "left").withColumn("week_start", c.week_start(F.col("service_date")))
+    of_day = [F.max(F.when(F.dayofweek("service_date") == k + 1, F.col("delivered_pct"))).alias(f"{d[:3]}_pct") for k, d in enumerate(DAYS)]
+    active = F.count_if(F.expr("scheduled > 0"))
+    own = joined.groupBy("week_start", "route_id").agg(F.sum("scheduled").alias("scheduled"), F.sum("ran").alias("ran"), active.alias("active_days"), *of_day, F.when(F.count("gap_windows") == active, F.sum("gap_windows")).alias("gap_windows"))
+    per_day = c.rounded(F.col("scheduled") / F.col("active_days"), 1)
+    out = own.withColumns({"runs_per_day": per_day, "limited": c.is_limited(F.col("route_id"), per_day)}).join(delays, ["week_start", "route_id"], "left")
+    return out.orderBy("week_start", F.desc_nulls_last("p50_delay_s"), "route_id")
+
+
+def routes_full(stats: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """Route-day statistics with rows for routes that were scheduled but not observed at all: their counts are 0."""
+    out = stats.join(scheduled, ["service_date", "route_id"], "full")
+    return out.fillna(0, ["observations", "trips", "scheduled", "ran"])
+
+
+def weekly_compliance(trips: DataFrame, stops: DataFrame, short: DataFrame) -> DataFrame:
+    """By week, sums over days and the ratios of sums. trips: scheduled and ran, stops: scored and delivered, by day and route; short: trips_not_completed()."""
+    week = c.week_start(F.col("service_date")).alias("week_start")
+    a = trips.groupBy(week).agg(F.sum("scheduled").alias("scheduled"), F.sum("ran").alias("ran"))
+    b = stops.groupBy(week).agg(F.sum("scored").alias("scored"), F.sum("delivered").alias("delivered"))
+    d = short.groupBy(week).agg(F.count("*").alias("not_completed"))
+    own = a.join(b, "week_start", "left").join(d, "week_start", "left").fillna(0, ["scored", "delivered", "not_completed"]).withColumn("dropped", F.col("scheduled") - F.col("ran"))
+    share = lambda x, y: c.rounded(F.try_divide(100.0 * F.col(x), F.col(y)), 1)
+    return own.withColumns({"trips_pct": share("ran", "scheduled"), "stops_pct": share("delivered", "scored")})
+
+
+def compliance_ratios(weekly: DataFrame) -> DataFrame:
+    """Dropped trips as a share of scheduled ones, trips cut short as a share of those that ran."""
+    share = lambda x, y: c.rounded(F.try_divide(100.0 * F.col(x), F.col(y)), 1)
+    return weekly.select("week_start", share("dropped", "scheduled").alias("dropped_pct"), share("not_completed", "ran").alias("not_completed_pct"))
 
 
-def completion_rollup(plan: DataFrame, obs: DataFrame) -> DataFrame:
-    """By week and route: trips that ran, reached their last stop, fell short, and came less than 80 % of the way."""
-    ends = plan.groupBy("service_date", "route_id", "trip_id").agg(F.max("stop_sequence").alias("final"))
-    own = trip_progress(obs).join(ends, TRIP).withColumn("pct", 100.0 * F.col("last_sequence") / F.col("final"))
-    return own.groupBy(c.week_start(F.col("service_date")).alias("week_start"), "route_id").agg(F.count("*").alias("ran"), F.count_if(F.expr("last_sequence >= final")).alias("reached"), F.count_if(F.expr("last_sequence < final")).alias("incomplete"), F.count_if(F.expr("pct < 80")).alias("below_80"), c.percentile("last_sequence", 0.05).alias("p5_last"), c.percentile("last_sequence", 0.5).alias("p50_last"))
+def unscheduled_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
+    """Observed trips that no schedule has."""
+    return obs.select(*TRIP, "route_id").distinct().join(trips, TRIP, "left_anti")
 
 
-def route_week_grid(trips: DataFrame, obs: DataFrame) -> DataFrame:
-    """By week and route: scheduled and ran over seven days, runs per active day, and whether it is a limited route."""
-    daily = daily_service_delivered(trips, obs)
-    own = daily.groupBy(c.week_start(F.col("service_date")).alias("week_start"), "route_id").agg(F.sum("scheduled").alias("scheduled"), F.sum("ran").alias("ran"), F.count_if(F.expr("scheduled > 0")).alias("active_days"))
-    per_day = F.col("scheduled") / F.col("active_days")
-    return own.withColumns({"runs_per_day": c.rounded(per_day, 1), "limited": c.is_limited(F.col("route_id"), per_day), "delivered_pct": c.rounded(100.0 * F.col("ran") / F.col("scheduled"), 1)})
+def schedule_obs_merge(plan: DataFrame, obs: DataFrame) -> DataFrame:
+    """Each planned stop with its observation, if any, and whether its trip was observed anywhere. A key that either side repeats is an error."""
+    key = [*TRIP, "stop_sequence", "stop_id"]
+    checked = lambda df: df.withColumn("_copies", F.count("*").over(Window.partitionBy(*key))).withColumn("_ok", F.when(F.col("_copies") > 1, F.raise_error(F.lit("a planned stop or its observation is repeated"))).otherwise(True))
+    seen = checked(obs).where("_ok").select(*key, "vehicle_id", "actual_arrival", "delay_seconds", "is_stale")
+    own = checked(plan).where("_ok").drop("_copies", "_ok").join(seen, key, "left")
+    return own.withColumn("trip_observed", F.count("actual_arrival").over(Window.partitionBy(*TRIP)) > 0)

@@ -29,26 +29,32 @@ def screenline(plan: DataFrame, obs: DataFrame, stops: dict[int, str]) -> DataFr
 
 
 def intervals(screen: DataFrame, holidays: list[str] | None = None) -> DataFrame:
-    """Minutes between arrivals in a row, 1 to 180, the scheduled slots missed between them, and the median spacing scheduled in that band."""
+    """Seconds and minutes between arrivals in a row, 1 to 180 minutes, the scheduled slots missed between them, and the median spacing scheduled in that band."""
     day = c.day_type3(F.col("service_date"), holidays).alias("day_type")
     w = Window.partitionBy("service_date", *LINE).orderBy("actual_arrival", "trip_id")
-    came = screen.where(F.col("actual_arrival").isNotNull()).select("*", day, c.time_band(c.local_hour(F.col("actual_arrival"))).alias("time_band"))
-    gap = c.seconds_between(F.lag("actual_arrival").over(w), F.col("actual_arrival")) / 60
-    own = came.select("service_date", *LINE, "trip_id", "day_type", "time_band", gap.alias("headway_min"), (F.col("schedule_index") - F.lag("schedule_index").over(w) - 1).alias("missed_slots")).where(F.col("headway_min").between(1, 180))
-    due = screen.where(F.col("scheduled_headway_min").between(1, 180)).select(*LINE, day, c.time_band(c.local_hour(F.col("scheduled_arrival"))).alias("time_band"), "scheduled_headway_min")
-    usual = due.groupBy(*LINE, "day_type", "time_band").agg(F.percentile("scheduled_headway_min", F.lit(0.5)).alias("usual_min"))
-    return own.join(usual, [*LINE, "day_type", "time_band"], "left")
+    came = screen.where(F.col("actual_arrival").isNotNull()).select("*", day, c.time_band(c.local_hour(F.col("actual_arrival"))).alias("time_band"), c.local_hour(F.col("actual_arrival")).alias("hour"))
+    gap = c.seconds_between(F.lag("actual_arrival").over(w), F.col("actual_arrival"))
+    own = came.select("service_date", *LINE, "trip_id", "day_type", "time_band", "hour", gap.alias("headway_s"), (gap / 60).alias("headway_min"), (F.col("schedule_index") - F.lag("schedule_index").over(w) - 1).alias("missed_slots")).where(F.col("headway_s").between(60, 10_800))
+    due = screen.where(F.col("scheduled_headway_min").between(1, 180)).select(*LINE, day, c.time_band(c.local_hour(F.col("scheduled_arrival"))).alias("time_band"), F.round(F.col("scheduled_headway_min") * 60).alias("s"))
+    usual = due.groupBy(*LINE, "day_type", "time_band").agg(F.percentile("s", F.lit(0.5)).alias("usual_s"))
+    return own.join(usual, [*LINE, "day_type", "time_band"], "left").withColumn("usual_min", F.col("usual_s") / 60)
 
 
 def headway_summary(gaps: DataFrame) -> DataFrame:
-    """By line, day type and band: quantiles (linear) of the gaps, their unevenness, riders' mean wait, bunching and gaps against the usual spacing."""
-    h, usual = F.col("headway_min"), F.col("usual_min")
-    at = lambda p: c.rounded(F.percentile("headway_min", F.lit(p)), 3)
-    part = lambda x: c.rounded(100 * F.avg(F.coalesce(x, F.lit(False)).cast("double")), 3)
+    """By line, day type and band: quantiles (linear) of the gaps, their unevenness, riders' mean wait, bunching and gaps against the usual spacing.
+
+    Sums are of whole seconds, so that they do not depend on the order of rows.
+    """
+    h, usual, n = F.col("headway_s"), F.col("usual_s"), F.count("*")
+    s, q = F.sum(h).cast("double"), F.sum(h * h).cast("double")
+    at = lambda p: c.rounded(F.percentile("headway_s", F.lit(p)) / 60, 3)
+    part = lambda x: c.rounded(100.0 * F.count_if(F.coalesce(x, F.lit(False))) / n, 3)
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))) / (s / n))
     return gaps.groupBy(*LINE, "day_type", "time_band").agg(
-        F.count("*").alias("n"), F.count_distinct("service_date").alias("service_days"), c.rounded(F.max(usual), 3).alias("usual_min"),
-        at(0.5).alias("median_min"), at(0.9).alias("p90_min"), c.rounded(F.max(h), 3).alias("max_min"), c.rounded(F.avg(h), 3).alias("mean_min"), c.rounded(F.stddev_samp(h) / F.avg(h), 3).alias("cv"),
-        c.rounded(F.sum(h * h) / (2 * F.sum(h)), 3).alias("mean_wait_min"), part(h < 0.5 * usual).alias("bunching_pct"), part(h > 1.5 * usual).alias("gap_1_5x_pct"), part(h > 2 * usual).alias("gap_2x_pct"), part(F.col("missed_slots") > 0).alias("missed_pct"),
+        n.alias("n"), F.count_distinct("service_date").alias("service_days"), c.rounded(F.max(usual) / 60, 3).alias("usual_min"),
+        *[at(p).alias(f"{name}_min") for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))],
+        c.rounded(F.max(h) / 60, 3).alias("max_min"), c.rounded(s / n / 60, 3).alias("mean_min"), c.rounded(spread, 3).alias("cv"), c.rounded(q / (2 * s) / 60, 3).alias("mean_wait_min"),
+        part(h < 0.5 * usual).alias("bunching_pct"), part(h > 1.5 * usual).alias("gap_1_5x_pct"), part(h > 2 * usual).alias("gap_2x_pct"), part(F.col("missed_slots") > 0).alias("missed_pct"),
     )
 
 

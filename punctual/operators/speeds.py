@@ -29,7 +29,18 @@ def binned_summary(hist: DataFrame, keys: list[str], ps: tuple[float, ...] = (0.
 
 
 def speed_summary(obs: DataFrame) -> DataFrame:
-    return binned_summary(leg_speed_hist(obs, "route_id", "direction_id"), ["route_id", "direction_id", "day_type"])
+    return binned_summary(leg_speed_hist(obs, "route_id", "direction_id"), ["route_id", "direction_id", "day_type"], (0.05, 0.5, 0.95, 0.99))
+
+
+def speed_by_hour(obs: DataFrame, least: int = 10) -> DataFrame:
+    """speed_summary() by local hour; hours with fewer than `least` legs are left out here, but count in speed_summary()."""
+    return binned_summary(leg_speed_hist(obs, "route_id", "direction_id"), ["route_id", "direction_id", "day_type", "hour"], (0.05, 0.5, 0.95, 0.99)).where(F.col("n") >= least)
+
+
+def with_directions(hist: DataFrame, directions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trip-level histogram rows with the direction of their trip, and how many rows have none: those are left out. directions: trip_id, direction_id."""
+    known = directions.dropDuplicates(["trip_id"])
+    return hist.join(known, "trip_id"), hist.join(known, "trip_id", "left_anti").agg(F.count("*").alias("missing"))
 
 
 def segment_speed(obs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
@@ -11,18 +11,32 @@ STALE_S, TOLERANCE_M = 20 * 60, 150.0
 
 
 def reconstruct_trips(positions: DataFrame) -> DataFrame:
-    """Fixes (vehicle_id, trip_id, ts, ...) without repeats of an instant, with the trip's first and last instant."""
-    trip = Window.partitionBy("vehicle_id", "trip_id")
-    rest = [x for x in positions.columns if x not in ("vehicle_id", "trip_id", "ts")]
-    own = positions.withColumn("_n", F.row_number().over(Window.partitionBy("vehicle_id", "trip_id", "ts").orderBy(*rest))).where("_n = 1").drop("_n")
-    return own.withColumns({"first_seen": F.min("ts").over(trip), "last_seen": F.max("ts").over(trip)})
+    """Fixes (vehicle_id, trip_id, ts, ...) without repeats of an instant, with the trip's first and last instant, and route and service date as of its first fix."""
+    key = ["vehicle_id", "trip_id"]
+    rest = [x for x in positions.columns if x not in (*key, "ts")]
+    # one shuffle: both windows are within a vehicle's trip
+    own = positions.repartition(*key).withColumn("_n", F.row_number().over(Window.partitionBy(*key, "ts").orderBy(*rest))).where("_n = 1").drop("_n")
+    trip = Window.partitionBy(*key).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = {x: F.first(x).over(trip) for x in ("route_id", "service_date") if x in positions.columns}
+    return own.withColumns({"first_seen": F.first("ts").over(trip), "last_seen": F.last("ts").over(trip), **first})
 
 
 def sessions(positions: DataFrame, gap_s: int = STALE_S) -> DataFrame:
-    """positions with session: a vehicle's fixes without a gap of more than gap_s seconds."""
-    w = Window.partitionBy("vehicle_id").orderBy("ts")
-    new = F.when(c.seconds_between(F.lag("ts").over(w), F.col("ts")) > gap_s, 1).otherwise(0)
-    return positions.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    """positions with session: a vehicle's fixes without a gap of more than gap_s seconds, numbered from 0.
+
+    Fixes are ordered within a vehicle's day; the last fix before the day and the sessions begun before it come from one row a
+    day, so that no task sorts a vehicle's whole history.
+    """
+    day, us = F.col("ts").cast("date"), F.unix_micros("ts")
+    own = positions.withColumn("_day", day)
+    days = own.groupBy("vehicle_id", "_day").agg(F.max(us).alias("_last"))
+    ends = days.withColumn("_carried", F.lag("_last").over(Window.partitionBy("vehicle_id").orderBy("_day"))).drop("_last")
+    w = Window.partitionBy("vehicle_id", "_day").orderBy("ts")
+    before = F.coalesce(F.lag(us).over(w), F.col("_carried"))
+    new = F.when(((us - before) / 1_000_000).cast("long") > gap_s, 1).otherwise(0)
+    marked = own.join(ends, ["vehicle_id", "_day"]).withColumn("_new", new).withColumn("_within", F.sum("_new").over(w))
+    upto = marked.groupBy("vehicle_id", "_day").agg(F.sum("_new").alias("_begun")).withColumn("_ahead", F.coalesce(F.sum("_begun").over(Window.partitionBy("vehicle_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return marked.join(upto.select("vehicle_id", "_day", "_ahead"), ["vehicle_id", "_day"]).withColumn("session", F.col("_within") + F.col("_ahead")).drop("_day", "_carried", "_new", "_within", "_ahead")
 
 
 def shape_segments(points: DataFrame) -> DataFrame:
@@ -37,7 +51,7 @@ def shape_segments(points: DataFrame) -> DataFrame:
 def project_points(points: DataFrame, segments: DataFrame, key: str = "point_id") -> DataFrame:
     """key, shape_id, dist_m along the shape and off_m from it, by the nearest segment (the first of equals).
 
-    points: key, shape_id, plat, plon. Distances are in a plane that touches at the latitude of the shape's first point.
+    points: key, shape_id, plat, plon. A shape of fewer than two points, or none, gives 0 and 0. Distances are in a plane that touches at the latitude of the shape's first point.
     """
     k, east = F.lit(111_194.92664455873), F.cos(F.radians("lat0"))
     x = lambda lon, lat: ((F.col(lon) - F.col("lon")) * east * k, (F.col(lat) - F.col("lat")) * k)
@@ -45,23 +59,26 @@ def project_points(points: DataFrame, segments: DataFrame, key: str = "point_id"
     squared = sx * sx + sy * sy
     t = F.when(squared > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * sx + py * sy) / squared))).otherwise(0.0)
     off2 = (px - t * sx) * (px - t * sx) + (py - t * sy) * (py - t * sy)
-    near = points.join(segments, "shape_id").select(key, "shape_id", F.struct(off2.alias("off2"), F.col("seg"), (F.col("along_m") + t * F.col("length_m")).alias("dist_m")).alias("s"))
-    return near.groupBy(key, "shape_id").agg(F.min("s").alias("s")).select(key, "shape_id", F.col("s.dist_m").alias("dist_m"), F.sqrt("s.off2").alias("off_m"))
+    near = points.join(segments, "shape_id", "left").select(key, "shape_id", F.when(F.col("seg").isNotNull(), F.struct(off2.alias("off2"), F.col("seg"), (F.col("along_m") + t * F.col("length_m")).alias("dist_m"))).alias("s"))
+    own = near.groupBy(key, "shape_id").agg(F.min("s").alias("s"))
+    return own.select(key, "shape_id", F.coalesce("s.dist_m", F.lit(0.0)).alias("dist_m"), F.coalesce(F.sqrt("s.off2"), F.lit(0.0)).alias("off_m"))
 
 
 def detect_arrivals(probes: DataFrame, stops: DataFrame) -> DataFrame:
     """trip_key, stop_sequence, arrived_us: when a trip passed each stop, if a fix from before it was seen.
 
     probes: trip_key, ts, dist_m. stops: trip_key, stop_sequence, stop_m. The first fix at or past the stop and the one before it
-    are interpolated in whole microseconds.
+    are interpolated in whole microseconds. A fix meets only stops between the furthest fix before it and itself, so a stop
+    comes out of the join once.
     """
     w = Window.partitionBy("trip_key").orderBy("ts")
     us = F.unix_micros("ts")
-    own = probes.select("trip_key", us.alias("us"), "dist_m", F.lag("dist_m").over(w).alias("d0"), F.lag(us).over(w).alias("us0"))
-    first = own.join(stops, "trip_key").where("dist_m >= stop_m").groupBy("trip_key", "stop_sequence", "stop_m").agg(F.min_by(F.struct("us", "dist_m", "d0", "us0"), "us").alias("p"))
-    p = lambda x: F.col(f"p.{x}")
-    at = p("us0") + F.floor((p("us") - p("us0")) * ((F.col("stop_m") - p("d0")) / (p("dist_m") - p("d0"))))
-    return first.where("p.d0 is not null").select("trip_key", "stop_sequence", at.cast("long").alias("arrived_us"))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = probes.select("trip_key", us.alias("us"), "dist_m", F.lag("dist_m").over(w).alias("d0"), F.lag(us).over(w).alias("us0"), F.max("dist_m").over(earlier).alias("furthest"))
+    own = own.where("d0 is not null and dist_m > furthest")
+    crossed = own.join(stops, "trip_key").where((F.col("stop_m") > F.col("furthest")) & (F.col("stop_m") <= F.col("dist_m")))
+    at = F.col("us0") + F.floor((F.col("us") - F.col("us0")) * ((F.col("stop_m") - F.col("d0")) / (F.col("dist_m") - F.col("d0"))))
+    return crossed.select("trip_key", "stop_sequence", at.cast("long").alias("arrived_us"))
 
 
 def trailing_fallback(probes: DataFrame, stops: DataFrame, arrivals: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
@@ -74,3 +91,80 @@ def trailing_fallback(probes: DataFrame, stops: DataFrame, arrivals: DataFrame,
     ok = F.when(F.col("known").isNull() & (F.abs(F.col("stop_m") - F.col("far.dist_m")) <= tolerance_m), 1).otherwise(0)
     back = Window.partitionBy("trip_key").orderBy(F.desc("stop_sequence"))
     return own.withColumn("run", F.min(ok).over(back)).where("run = 1").select("trip_key", "stop_sequence", F.col("far.us").alias("arrived_us"))
+
+
+def project_stops(stops: DataFrame, segments: DataFrame) -> DataFrame:
+    """stops (shape_id, stop_id, plat, plon, ...) with stop_m along their shape; each shape and stop is projected once, however many trips have them."""
+    once = stops.select("shape_id", "stop_id", "plat", "plon").dropDuplicates(["shape_id", "stop_id"])
+    found = project_points(once, segments, "stop_id").select("shape_id", "stop_id", F.col("dist_m").alias("stop_m"))
+    return stops.join(found, ["shape_id", "stop_id"])
+
+
+def nearest_stop(fixes: DataFrame, stops: DataFrame, key: str = "point_id") -> DataFrame:
+    """key, nearest_stop_seq: the stop of the fix's trip that is nearest along the shape, the first of equals."""
+    gap = F.abs(F.col("stop_m") - F.col("dist_m"))
+    near = fixes.select(key, "trip_key", "dist_m").join(stops.select("trip_key", "stop_sequence", "stop_m"), "trip_key")
+    return near.groupBy(key).agg(F.min(F.struct(gap.alias("gap"), "stop_m", "stop_sequence"))["stop_sequence"].alias("nearest_stop_seq"))
+
+
+def project_probes(fixes: DataFrame, trips: DataFrame, segments: DataFrame, stops: DataFrame, key: str = "point_id") -> DataFrame:
+    """fixes (key, trip_key, plat, plon) with dist_m and nearest_stop_seq, null for trips that have no known shape.
+
+    trips: trip_key, shape_id. stops: trip_key, stop_sequence, stop_m.
+    """
+    known = segments.select("shape_id").distinct().join(trips, "shape_id")
+    placed = project_points(fixes.select(key, "trip_key", "plat", "plon").join(known, "trip_key"), segments, key).select(key, "dist_m")
+    own = fixes.join(placed, key, "left")
+    return own.join(nearest_stop(own.where("dist_m is not null"), stops, key), key, "left")
+
+
+def observation_rows(stops: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """A row for each planned stop of the trips in arrivals' table: arrival, delay and the leg since the last stop with an arrival.
+
+    stops: trip_key, stop_sequence, stop_m, scheduled_us. arrivals: trip_key, stop_sequence, arrived_us. Trips that the plan doesn't know give no rows.
+    """
+    own = stops.join(arrivals, ["trip_key", "stop_sequence"], "left")
+    before = Window.partitionBy("trip_key").orderBy("stop_sequence").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("arrived_us").isNotNull(), F.struct("stop_m", "arrived_us")), ignorenulls=True).over(before)
+    own = own.withColumn("_last", F.when(F.col("arrived_us").isNotNull(), last))
+    d, s = F.col("stop_m") - F.col("_last.stop_m"), (F.col("arrived_us") - F.col("_last.arrived_us")) / 1_000_000
+    ok = (d > 0) & (s > 0)
+    delay = ((F.col("arrived_us") - F.col("scheduled_us")) / 1_000_000).cast("long")
+    return own.withColumns({"delay_seconds": delay, "leg_distance_m": F.when(ok, d), "leg_duration_s": F.when(ok, s), "leg_avg_speed_mps": F.when(ok, d / s)}).drop("_last")
+
+
+def probe_rows(fixes: DataFrame, ingested_at: Column) -> DataFrame:
+    """Fixes as they are stored: a bearing, speed or nearest stop of 0 is not known."""
+    return fixes.withColumns({"bearing_deg": c.zero_to_null(F.col("bearing_deg")), "reported_speed_mps": c.zero_to_null(F.col("reported_speed_mps")), "nearest_stop_seq": F.nullif("nearest_stop_seq", F.lit(0)), "ingested_at": ingested_at})
+
+
+def trip_end_reason(seen: DataFrame, last_stops: DataFrame, stale_s: int = STALE_S) -> DataFrame:
+    """seen (vehicle_id, trip_key, first_us, last_us) with reason and is_stale.
+
+    completed: the last stop has an arrival (last_stops: trip_key). Else preempted, if the vehicle's next trip begins within
+    stale_s of the last fix, else stale.
+    """
+    after = F.lead("first_us").over(Window.partitionBy("vehicle_id").orderBy("first_us", "trip_key"))
+    own = seen.withColumn("_next", after).join(last_stops.select("trip_key", F.lit(True).alias("_done")).distinct(), "trip_key", "left")
+    reason = F.when(F.col("_done"), "completed").when(F.col("_next") - F.col("last_us") <= stale_s * 1_000_000, "preempted").otherwise("stale")
+    return own.withColumn("reason", reason).withColumn("is_stale", F.col("reason") == "stale").drop("_next", "_done")
+
+
+def finalized(fixes: DataFrame, trips: DataFrame, segments: DataFrame, stops: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
+    """Observation rows from fixes (trip_key, vehicle_id, ts, plat, plon): projected, crossings found, last stops filled in, with the trip's end.
+
+    trips: trip_key, shape_id. stops: trip_key, stop_sequence, stop_m, scheduled_us.
+    """
+    numbered = fixes.withColumn("point_id", F.struct("trip_key", "ts"))
+    placed = project_probes(numbered, trips, segments, stops).where("dist_m is not null").select("trip_key", "vehicle_id", "ts", "dist_m")
+    found = detect_arrivals(placed, stops)
+    arrivals = found.unionByName(trailing_fallback(placed, stops, found, tolerance_m))
+    seen = placed.groupBy("vehicle_id", "trip_key").agg(F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us"))
+    last = stops.groupBy("trip_key").agg(F.max("stop_sequence").alias("stop_sequence")).join(arrivals, ["trip_key", "stop_sequence"], "left_semi")
+    ended = trip_end_reason(seen, last).select("trip_key", "vehicle_id", "is_stale")
+    return observation_rows(stops.join(seen.select("trip_key").distinct(), "trip_key", "left_semi"), arrivals).join(ended, "trip_key")
+
+
+def replay_trip(probes: DataFrame, trip: Column) -> DataFrame:
+    """The fixes of one trip in time order."""
+    return probes.where(F.col("trip_key") == trip).orderBy("ts")

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from punctual.functions import columns as c
 from punctual.operators import observations, trips
+from punctual.plans.storage import new_folder
+from punctual.sources import sinks
 
 ROUTES = ["1", "6", "12", "51A", "72", "99", "600", "F", "NL", "800", "701", "1T"]
 STOP_M, LAT, STOPS = 352, 37.8, 7
 TIES = ["l_partkey", "l_suppkey", "l_extendedprice"]
+#: The study's periods, laid into the 28 days of the derived tables.
+PERIODS = [("Baseline", "2026-05-17", "2026-05-30"), ("Summer", "2026-05-31", "2026-06-06"), ("Post-shift", "2026-06-07", "2026-06-13")]
+HOLIDAYS = ["2026-05-25"]
+#: Versions of the schedule, by first and last day.
+FEEDS = [("F1", "2026-05-17", "2026-05-30"), ("F2", "2026-05-31", "2026-06-13")]
+M_PER_LON = 111_194.92664455873 * math.cos(math.radians(LAT))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,18 +59,119 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("service_date", "route_id", "direction_id", "trip_id", "vehicle_id", "stop_sequence", "stop_id", "scheduled_arrival", "actual_arrival", "delay_seconds", "is_stale", "ingested_at", *TIES)
 
 
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = observations.dedup_observations(raw_observations(spark, sf_dir), TIES).drop(*TIES, "ingested_at")
+def derived_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated observations with legs. One shuffle by trip serves both windows."""
+    raw = raw_observations(spark, sf_dir).repartition("service_date", "trip_id")
+    own = observations.dedup_observations(raw, TIES).drop(*TIES, "ingested_at")
     return observations.with_legs(own, F.col("stop_sequence") * STOP_M)
 
 
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored observations, partitioned by service date. An application writes them once for each input, as finalized trips are, and then only reads them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        own, path = derived_observations(spark, sf_dir), new_folder(spark, "observations")
+        sinks.append_finalized(own.repartitionByRange("service_date", "route_id", "trip_id"), path)
+        _STORED[key] = path, own.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes from events, time 60 times as fast; a vehicle's sessions are its trips, 1.5 m/s on from the user's offset."""
+    """Fixes from events, time 60 times as fast; a vehicle's sessions are its trips, 1.5 m/s on from the user's offset, on a street that runs east."""
     ts = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 60).cast("long"))
     own = trips.sessions(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("vehicle_id"), ts.alias("ts"), F.col("user_id").alias("u")))
     own = own.withColumn("trip_key", F.concat_ws("-", "vehicle_id", "session"))
     start = F.min(F.unix_micros("ts")).over(Window.partitionBy("trip_key"))
-    return own.withColumn("dist_m", F.col("u") % 40 + 1.5 * ((F.unix_micros("ts") - start) / 1e6)).select("trip_key", "vehicle_id", "ts", "dist_m")
+    return own.withColumn("dist_m", F.col("u") % 40 + 1.5 * ((F.unix_micros("ts") - start) / 1e6)).select("trip_key", "vehicle_id", "ts", "dist_m", "u")
+
+
+def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """probes() as GPS fixes, some metres off the street."""
+    return probes(spark, sf_dir).select("trip_key", "vehicle_id", "ts", (LAT + F.col("u") % 7 * 1e-4).alias("plat"), (F.lit(-122.0) + F.col("dist_m") / M_PER_LON).alias("plon"), "u")
+
+
+def street(spark: SparkSession) -> DataFrame:
+    """The shape EW: a point at each of 42 stops along the street, from west to east."""
+    return spark.range(42).select(F.lit("EW").alias("shape_id"), F.col("id").alias("seq"), F.lit(LAT).alias("lat"), (F.lit(-122.0) + F.col("id") * STOP_M / M_PER_LON).alias("lon"))
+
+
+def probe_trips(probes: DataFrame) -> DataFrame:
+    """trip_key, shape_id; the trips of one vehicle in five have no known shape."""
+    return probes.where("u % 5 <> 0").select("trip_key", F.lit("EW").alias("shape_id")).distinct()
+
+
+def probe_plan(probes: DataFrame, stops: int = 10) -> DataFrame:
+    """Planned stops of the trips with a shape: 200 seconds from one to the next, from the trip's first fix on."""
+    own = probes.where("u % 5 <> 0").groupBy("trip_key").agg(F.min(F.unix_micros("ts")).alias("t0")).withColumn("stop_sequence", F.explode(F.sequence(F.lit(1), F.lit(stops))))
+    return own.select("trip_key", "stop_sequence", (F.col("stop_sequence") * float(STOP_M)).alias("stop_m"), (F.col("t0") + F.col("stop_sequence") * 200_000_000).alias("scheduled_us"))
+
+
+def stop_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k")).distinct()
+    name = F.when(F.col("k") <= 6, F.concat(F.lit("Broadway & "), F.col("k"), F.lit("th St"))).otherwise("College Av & Main (far side)")
+    return own.select(F.concat(F.lit("S"), "k").alias("stop_id"), name.alias("stop_name"), (37.79 + 0.004 * F.col("k")).alias("lat"))
+
+
+def targets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, "S3", "S4", "third crossing"), (1, "S4", "S5", "fourth crossing")], "direction_id long, from_stop string, to_stop string, target_label string")
+
+
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of the timetable in both versions of the schedule: feed, trip_id, route, direction, service and shape."""
+    own = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 500).alias("t")).distinct().withColumn("feed", F.explode(F.array(*[F.lit(f[0]) for f in FEEDS]))).where("feed = 'F1' or t % 5 <> 0")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("t") % n + 1).cast("int"))
+    return own.select("feed", "t", F.concat(F.lit("T"), "t").alias("trip_id"), pick(ROUTES, 12).alias("route_id"), (F.col("t") % 2).alias("direction_id"), pick(["WKDY", "SAT", "SUN"], 3).alias("service_id"), F.concat(F.lit("H"), F.floor(F.col("t") / 12) % 4).alias("shape_id"))
+
+
+def stop_times(templates: DataFrame) -> DataFrame:
+    """Trips of three in seven end a stop early."""
+    own = templates.withColumn("stop_sequence", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(STOPS).cast("long")))).where("stop_sequence < 7 or t % 7 > 2")
+    return own.select("feed", "trip_id", "stop_sequence", F.concat(F.lit("S"), "stop_sequence").alias("stop_id"), (18_000 + F.col("t") * 7919 % 72_000 + (F.col("stop_sequence") - 1) * 300).alias("scheduled_s"))
+
+
+def calendar(templates: DataFrame) -> DataFrame:
+    own = templates.select("feed", "service_id").distinct()
+    days = {"WKDY": range(1, 6), "SAT": [6], "SUN": [0]}
+    flag = lambda k: F.when(F.col("service_id").isin([s for s, on in days.items() if k in on]), 1).otherwise(0)
+    return own.withColumns({**{d: flag(k) for k, d in enumerate(["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"])}, "start_date": F.lit("2026-05-17").cast("date"), "end_date": F.lit("2026-06-13").cast("date")})
+
+
+def calendar_exceptions(templates: DataFrame) -> DataFrame:
+    """On the holiday weekday service is removed and Sunday service added."""
+    own = templates.where("service_id in ('WKDY', 'SUN')").select("feed", "service_id").distinct()
+    return own.withColumns({"service_date": F.lit(HOLIDAYS[0]).cast("date"), "exception_type": F.when(F.col("service_id") == "WKDY", 2).otherwise(1)})
+
+
+def feeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FEEDS, "feed string, first_day string, last_day string").withColumns({x: F.col(x).cast("date") for x in ("first_day", "last_day")})
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive (a month), member, sha256: schedule files change twice a year, fare files with the month's orders."""
+    own = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("archive"), (F.col("o_orderkey") % 5).alias("k"))
+    member = F.element_at(F.array(*[F.lit(f"{x}.txt") for x in ("stops", "trips", "stop_times", "fare_rules", "fare_attributes")]), (F.col("k") + 1).cast("int"))
+    month = F.substring("archive", 5, 2).cast("int")
+    counted = own.groupBy("archive", "k").agg(F.count("*").alias("n")).withColumn("member", member)
+    content = F.when(F.col("k") < 3, F.concat(F.substring("archive", 1, 4), F.lit("/"), F.floor((month - 1) / 6))).otherwise(F.concat(F.lit("fares "), F.floor(F.col("n") % 4 / 3)))
+    return counted.select("archive", "member", F.sha2(content, 256).alias("sha256"))
+
+
+def feed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feed, is_current, archived, service_date, services: the current version has none on weekends."""
+    own = _trips(table(spark, sf_dir, "orders")).withColumn("f", F.col("o_orderkey") % 4)
+    runs = F.count_if((F.col("vehicle_id").cast("long") % 3 == 0) & ((F.col("f") < 3) | ~F.dayofweek("service_date").isin(1, 7)))
+    return own.groupBy("f", "service_date").agg(runs.alias("services")).select(F.concat(F.lit("V"), "f").alias("feed"), (F.col("f") == 3).alias("is_current"), F.col("f").alias("archived"), "service_date", "services")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feed, fetched_at (an hour), vehicle_id, route_id of events; one vehicle in seven names no route."""
+    own = table(spark, sf_dir, "events")
+    route = F.when(F.col("user_id") % 7 == 0, "").otherwise(F.element_at(F.array(*map(F.lit, ROUTES)), (F.col("user_id") % 12 + 1).cast("int")))
+    return own.select(F.concat(F.lit("feed"), F.col("user_id") % 3).alias("feed"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("fetched_at"), F.col("user_id").cast("string").alias("vehicle_id"), route.alias("route_id"))
 
 
 def probe_stops(probes: DataFrame) -> DataFrame:
@@ -81,3 +193,4 @@ obs AS (SELECT *, CASE WHEN (stop_sequence - prev.m) > 0 AND act_s - prev.t > 0
   CASE WHEN route_id IN ('701', '702', '703') THEN 'Early Bird' WHEN route_id IN ('800', '801', '802', '805', '840', '851') THEN 'All Nighter' WHEN regexp_full_match(route_id, '[0-9]+') AND try_cast(route_id AS BIGINT) BETWEEN 600 AND 699 THEN 'School' WHEN route_id IN ('E', 'F', 'FS', 'G', 'J', 'L', 'NL', 'NX', 'NX3', 'O', 'P', 'U', 'V', 'W') THEN 'Transbay' ELSE 'Local / other' END AS route_group FROM leg0),
 arr AS (SELECT * FROM obs WHERE act_s IS NOT NULL), fresh AS (SELECT * FROM arr WHERE NOT is_stale)
 """
+SQL_PERIOD = "CASE " + " ".join(f"WHEN service_date BETWEEN date '{a}' AND date '{b}' THEN '{name}'" for name, a, b in PERIODS) + " END"

@@ -32,7 +32,7 @@ def query(sql: str):
     return add
 
 
-_BANDS = {"on_time_pct": "delay_seconds BETWEEN 0 AND 180", "within_5_pct": "delay_seconds BETWEEN 0 AND 300", "within_7_pct": "delay_seconds BETWEEN 0 AND 420", "early_pct": "delay_seconds < 0", "late_pct": "delay_seconds > 180"}
+_BANDS = {"on_time_pct": "delay_seconds BETWEEN 0 AND 180", "within_5_pct": "delay_seconds BETWEEN 0 AND 300", "within_7_pct": "delay_seconds BETWEEN 0 AND 420", "early_pct": "delay_seconds < 0", "late_pct": "delay_seconds > 180", "very_late_pct": "delay_seconds > 420"}
 _PUNCTUAL = ", ".join(f"coalesce({r(pct(x))}, 0) AS {k}" for k, x in _BANDS.items())
 q = lambda p, x="delay_seconds": f"quantile_disc({x}, {p})"
 
@@ -48,12 +48,12 @@ def finalization_copies(spark, sf_dir):
     return o.finalization_copies(fx.raw_observations(spark, sf_dir)).select(*o.KEY, "copies")
 
 
-@query(f"SELECT count(DISTINCT (service_date, trip_id)) AS trips, count(*) AS observations, count(DISTINCT vehicle_id) AS vehicles, {_PUNCTUAL}, {q(0.5)} AS p50_delay_s, {q(0.95)} AS p95_delay_s, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh")
+@query(f"SELECT (SELECT count(DISTINCT (service_date, trip_id)) FROM arr) AS trips, count(*) AS observations, count(DISTINCT vehicle_id) AS vehicles, {_PUNCTUAL}, {q(0.5)} AS p50_delay_s, {q(0.95)} AS p95_delay_s, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh")
 def system_stats(spark, sf_dir):
     return o.system_stats(fx.observed(spark, sf_dir))
 
 
-@query(f"SELECT service_date, route_id, count(DISTINCT trip_id) AS trips, count(*) AS observations, {_PUNCTUAL}, {', '.join(f'{q(p / 100)} AS p{p}_delay_s' for p in (5, 25, 50, 75, 95))} FROM fresh GROUP BY ALL")
+@query(f"SELECT service_date, route_id, count(DISTINCT trip_id) AS trips, count(*) AS observations, {_PUNCTUAL}, {', '.join(f'{q(p / 100)} AS p{p}_delay_s' for p in (5, 25, 50, 75, 95))}, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh GROUP BY ALL")
 def route_stats(spark, sf_dir):
     return o.route_stats(fx.observed(spark, sf_dir))
 
@@ -63,7 +63,7 @@ def delay_minute_histogram(spark, sf_dir):
     return o.delay_minute_histogram(fx.observed(spark, sf_dir))
 
 
-_VOLUME = "SELECT service_date, route_id, bucket, count(*) AS n FROM (SELECT *, floor((act_s - epoch(service_date::TIMESTAMP)::BIGINT - 25200) / 900)::INT AS bucket FROM fresh) WHERE bucket BETWEEN 0 AND 95 GROUP BY 1, 2, 3"
+_VOLUME = "SELECT service_date, route_id, bucket, count(*) AS n FROM (SELECT *, floor(trunc((act_s - epoch(service_date::TIMESTAMP)::BIGINT - 25200) / 60.0) / 15)::INT AS bucket FROM fresh) WHERE bucket BETWEEN 0 AND 95 GROUP BY 1, 2, 3"
 
 
 @query(_VOLUME)
@@ -72,8 +72,9 @@ def volume_15min(spark, sf_dir):
 
 
 @query(f""", vol AS ({_VOLUME}), lim AS (SELECT service_date, route_id FROM trips GROUP BY 1, 2 HAVING count(*) < 10 AND regexp_matches(route_id, '[^A-Za-z]')),
-op AS (SELECT * FROM vol ANTI JOIN lim USING (service_date, route_id)), rk AS (SELECT service_date, route_id, row_number() OVER (PARTITION BY service_date ORDER BY t DESC, route_id) AS k FROM (SELECT service_date, route_id, sum(n) AS t FROM op GROUP BY 1, 2))
-SELECT service_date, CASE WHEN k <= 5 THEN route_id ELSE 'Other' END AS route_id, bucket, sum(n)::BIGINT AS n FROM op JOIN rk USING (service_date, route_id) GROUP BY 1, 2, 3""")
+op AS (SELECT * FROM vol ANTI JOIN lim USING (service_date, route_id)), rk AS (SELECT service_date, route_id, row_number() OVER (PARTITION BY service_date ORDER BY t DESC, route_id) AS k FROM (SELECT service_date, route_id, sum(n) AS t FROM op GROUP BY 1, 2)),
+sh AS (SELECT service_date, route_id, CASE WHEN k <= 5 THEN route_id ELSE 'Other' END AS series FROM rk), nm AS (SELECT service_date, series, bucket, sum(n)::BIGINT AS n FROM op JOIN sh USING (service_date, route_id) GROUP BY 1, 2, 3)
+SELECT service_date, series AS route_id, b::INT AS bucket, coalesce(n, 0) AS n FROM (SELECT DISTINCT service_date, series, b AS bucket, b FROM sh, unnest(range(96)) AS u(b)) LEFT JOIN nm USING (service_date, series, bucket)""")
 def volume_top_n(spark, sf_dir):
     planned = fx.scheduled_trips(spark, sf_dir).groupBy("service_date", "route_id").agg(F.count("*").alias("runs"))
     return o.volume_top_n(o.volume_15min(fx.observed(spark, sf_dir)), planned.where(c.is_limited(F.col("route_id"), F.col("runs"))), 5)
@@ -105,20 +106,35 @@ def trip_progress(spark, sf_dir):
     return o.trip_progress(fx.observed(spark, sf_dir))
 
 
-@query(f""", a AS (SELECT service_date, count(*) AS raw_rows FROM raw GROUP BY 1), b AS (SELECT service_date, count(*) AS rows, count(act_s) AS arrivals, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN route_id END) AS routes, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN trip_id END) AS trips, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN vehicle_id END) AS vehicles FROM dedup GROUP BY 1)
-SELECT *, {r('100.0::DOUBLE * (raw_rows - rows) / raw_rows', 3)} AS duplicate_pct FROM a JOIN b USING (service_date)""")
+_AUDIT = f""", a AS (SELECT service_date, count(*) AS raw_rows FROM raw GROUP BY 1), b AS (SELECT service_date, count(*) AS rows, count(DISTINCT route_id) AS routes, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN trip_id END) AS trips, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN vehicle_id END) AS vehicles, count(act_s) AS arrivals, count(*) FILTER (act_s IS NOT NULL AND NOT is_stale) AS fresh_arrivals FROM dedup GROUP BY 1),
+au AS (SELECT *, raw_rows - rows AS duplicates, {r('100.0::DOUBLE * (raw_rows - rows) / raw_rows')} AS duplicate_pct FROM a JOIN b USING (service_date))"""
+
+
+@query(_AUDIT + " SELECT * FROM au")
 def audit_daily(spark, sf_dir):
     raw = fx.raw_observations(spark, sf_dir)
     return o.audit_daily(raw, o.dedup_observations(raw, fx.TIES))
 
 
-@query(f""", own AS (SELECT *, CASE WHEN service_date BETWEEN date '2026-05-17' AND date '2026-06-13' THEN 'Baseline' END AS period FROM arr)
-SELECT period, route_group, route_id, CASE WHEN grouping(route_id) = 1 THEN 'group' ELSE 'route' END AS grain, count(*) AS arrivals, count(*) FILTER (delay_seconds BETWEEN -60 AND 420) AS delivered, {q(0.5)} AS p50_delay_s, {q(0.95)} AS p95_delay_s FROM own GROUP BY GROUPING SETS ((period, route_group), (period, route_group, route_id))""")
+_BAND_COUNTS = {"delivered": "BETWEEN -60 AND 420", "on_time": "BETWEEN 0 AND 180", "early": "< 0", "late": "> 180", "very_late": "> 420"}
+_DELIVERY = "count(DISTINCT service_date) AS service_days, count(*) AS scheduled_stop_rows, count(DISTINCT CASE WHEN act_s IS NOT NULL THEN service_date::VARCHAR || '|' || trip_id END) AS observed_trips, count(act_s) AS arrivals, " + ", ".join(f"count(*) FILTER (act_s IS NOT NULL AND delay_seconds {x}) AS {k}" for k, x in _BAND_COUNTS.items())
+_PERIOD_ROUTES = f""", pr0 AS (SELECT *, {fx.SQL_PERIOD} AS period FROM obs WHERE service_date NOT IN (date '2026-06-03')), prr AS (SELECT CASE WHEN grouping(route_id) = 1 THEN 'group' ELSE 'route' END AS grain, period, route_group, route_id, {_DELIVERY}, {', '.join(f'{q(p / 100)} AS p{p}_delay_s' for p in (5, 50, 95))} FROM pr0 WHERE period IS NOT NULL GROUP BY GROUPING SETS ((period, route_group), (period, route_group, route_id)))"""
+
+
+def _study_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o.exclude_dates(fx.observed(spark, sf_dir), ["2026-06-03"])
+
+
+def _period(day: str = "service_date"):
+    return c.study_period(F.col(day), fx.PERIODS)
+
+
+@query(_PERIOD_ROUTES + " SELECT * FROM prr")
 def period_route_rollup(spark, sf_dir):
-    return o.period_route_rollup(fx.observed(spark, sf_dir), c.study_period(F.col("service_date")))
+    return o.period_route_rollup(_study_obs(spark, sf_dir), _period())
 
 
-@query("SELECT week_start, route_group, count(*) AS arrivals, count(*) FILTER (delay_seconds BETWEEN -60 AND 420) AS delivered, count(*) FILTER (delay_seconds < 0) AS early, count(*) FILTER (delay_seconds > 420) AS very_late FROM arr GROUP BY ALL")
+@query(f"SELECT week_start, route_group, {_DELIVERY}, {', '.join(f'{q(p / 100)} AS p{p}_delay_s' for p in (50, 95))} FROM obs GROUP BY 1, 2")
 def weekly_group_rollup(spark, sf_dir):
     return o.weekly_group_rollup(fx.observed(spark, sf_dir))
 
@@ -128,9 +144,13 @@ def route_on_time_rate(spark, sf_dir):
     return o.route_on_time_rate(fx.observed(spark, sf_dir), F.lit("2026-06-13").cast("date"))
 
 
-@query(", s AS (SELECT *, lead({'q': stop_sequence, 'id': stop_id, 't': act_s}) OVER (PARTITION BY service_date, trip_id ORDER BY stop_sequence) AS nx FROM arr) SELECT service_date, route_id, trip_id, stop_sequence, stop_id AS from_stop, nx.id AS to_stop, nx.t - act_s AS runtime_s FROM s WHERE nx.q = stop_sequence + 1")
+_SEGMENTS = ", sg0 AS (SELECT *, lead({'q': stop_sequence, 'id': stop_id, 't': act_s, 's': sched_s}) OVER (PARTITION BY service_date, trip_id ORDER BY stop_sequence) AS nx FROM obs), sg AS (SELECT service_date, route_id, trip_id, stop_sequence, stop_id AS from_stop, nx.id AS to_stop, 352.0::DOUBLE AS distance_m, nx.s - sched_s AS scheduled_s, nx.t - act_s AS runtime_s FROM sg0 WHERE nx.q = stop_sequence + 1)"
+
+
+@query(_SEGMENTS + f" SELECT *, {r('CASE WHEN runtime_s <> 0 THEN distance_m / runtime_s END * 2.236936', 3)} AS speed_mph FROM sg")
 def segments(spark, sf_dir):
-    return o.segments(fx.observed(spark, sf_dir))
+    own = o.segments(fx.observed(spark, sf_dir), F.col("stop_sequence") * fx.STOP_M)
+    return own.select("service_date", "route_id", "trip_id", "stop_sequence", "from_stop", "to_stop", "distance_m", "scheduled_s", "runtime_s", c.rounded(F.col("speed_mph"), 3).alias("speed_mph"))
 
 
 _STOPS = ", st AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY service_date, trip_id) AS stops, max(CASE WHEN pickup_type <> 1 THEN stop_sequence END) OVER (PARTITION BY service_date, trip_id) AS last_boarding FROM plan WINDOW w AS (PARTITION BY service_date, trip_id ORDER BY stop_sequence))"
@@ -179,23 +199,48 @@ def week_stop_delivery(spark, sf_dir):
     return schedule.week_stop_delivery(schedule.route_stop_delivery(fx.plan(spark, sf_dir), fx.observed(spark, sf_dir)))
 
 
-@query(_SEEN + f", wk AS (SELECT service_date - dayofweek(service_date)::INT AS week_start, route_id, sum(scheduled)::BIGINT AS scheduled, sum(ran)::BIGINT AS ran, count(*) AS active_days FROM daily GROUP BY 1, 2) SELECT *, {r('scheduled::DOUBLE / active_days')} AS runs_per_day, scheduled::DOUBLE / active_days < 10 AND regexp_matches(route_id, '[^A-Za-z]') AS limited, {r('100.0::DOUBLE * ran / scheduled')} AS delivered_pct FROM wk")
-def route_week_grid(spark, sf_dir):
-    return schedule.route_week_grid(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir))
+_GAPS_SEEN = _SEEN + ", runs AS (SELECT service_date, route_id, direction_id, trip_id, min(sched_s) AS s FROM plan GROUP BY ALL), g AS (SELECT r.*, coalesce(ran, 0) AS ok, lag(coalesce(ran, 0)) OVER (PARTITION BY service_date, route_id, direction_id ORDER BY s, trip_id) AS before FROM runs r LEFT JOIN seen USING (service_date, trip_id)), gw AS (SELECT service_date, route_id, count(*) FILTER (ok = 0 AND before = 0) AS gap_windows FROM g GROUP BY ALL)"
 
 
-@query(_SEEN + ", runs AS (SELECT service_date, route_id, direction_id, trip_id, min(sched_s) AS s FROM plan GROUP BY ALL), g AS (SELECT r.*, coalesce(ran, 0) AS ok, lag(coalesce(ran, 0)) OVER (PARTITION BY service_date, route_id, direction_id ORDER BY s, trip_id) AS before FROM runs r LEFT JOIN seen USING (service_date, trip_id)) SELECT service_date, route_id, count(*) FILTER (ok = 0 AND before = 0) AS gap_windows FROM g GROUP BY ALL")
+@query(_GAPS_SEEN + " SELECT * FROM gw")
 def gap_windows(spark, sf_dir):
     return schedule.gap_windows(schedule.scheduled_runs(fx.plan(spark, sf_dir)), fx.observed(spark, sf_dir))
 
 
-@query(_STOPS + f""", e AS (SELECT service_date, route_id, trip_id, max(last_boarding) AS lb, max(CASE WHEN stop_sequence = last_boarding THEN pos END) AS of FROM st GROUP BY ALL),
-p AS (SELECT service_date, trip_id, max(stop_sequence) AS last_sequence FROM arr GROUP BY ALL), f AS (SELECT e.service_date, e.route_id, e.trip_id, last_sequence, 100.0::DOUBLE * pos / of AS pct FROM p JOIN e USING (service_date, trip_id) JOIN st ON st.service_date = e.service_date AND st.trip_id = e.trip_id AND st.stop_sequence = last_sequence WHERE last_sequence < lb)
-SELECT service_date, route_id, trip_id, last_sequence, {r('pct')} AS completed_pct, least(trunc(pct / 10), 9)::INT AS bucket FROM f""")
-def trips_not_completed(spark, sf_dir):
+_GRID_DAYS = ", ".join(f"max(CASE WHEN dayofweek(service_date) = {k} THEN {r('100.0::DOUBLE * ran / scheduled')} END) AS {d}_pct" for k, d in enumerate(("sun", "mon", "tue", "wed", "thu", "fri", "sat")))
+
+
+@query(_GAPS_SEEN + f""", wk AS (SELECT service_date - dayofweek(service_date)::INT AS week_start, route_id, sum(scheduled)::BIGINT AS scheduled, sum(ran)::BIGINT AS ran, count(*) FILTER (scheduled > 0) AS active_days, {_GRID_DAYS}, CASE WHEN count(gap_windows) = count(*) FILTER (scheduled > 0) THEN sum(gap_windows)::BIGINT END AS gap_windows FROM daily LEFT JOIN gw USING (service_date, route_id) GROUP BY 1, 2),
+w2 AS (SELECT *, {r('scheduled::DOUBLE / active_days')} AS runs_per_day FROM wk), dl AS (SELECT week_start, route_id, {q(0.5)} AS p50_delay_s FROM fresh GROUP BY 1, 2) SELECT w2.*, runs_per_day < 10 AND regexp_matches(route_id, '[^A-Za-z]') AS limited, p50_delay_s FROM w2 LEFT JOIN dl USING (week_start, route_id)""")
+def route_week_grid(spark, sf_dir):
+    obs = fx.observed(spark, sf_dir)
+    delays = o.fresh(obs).groupBy(c.week_start(F.col("service_date")).alias("week_start"), "route_id").agg(c.percentile("delay_seconds", 0.5).alias("p50_delay_s"))
+    gaps = schedule.gap_windows(schedule.scheduled_runs(fx.plan(spark, sf_dir)), obs)
+    return schedule.route_week_grid(schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), obs), gaps, delays)
+
+
+_SHORT = _STOPS + f""", p AS (SELECT service_date, trip_id, max(stop_sequence) AS last_sequence FROM arr GROUP BY ALL), f AS (SELECT service_date, st.route_id, trip_id, last_sequence, max(CASE WHEN st.stop_sequence = last_sequence THEN pos END) AS a, max(CASE WHEN st.stop_sequence = last_boarding THEN pos END) AS b FROM st JOIN p USING (service_date, trip_id) WHERE last_sequence < last_boarding GROUP BY ALL),
+ns AS (SELECT service_date, route_id, trip_id, last_sequence, 100.0::DOUBLE * a / b AS pct FROM f WHERE a IS NOT NULL), nc AS (SELECT service_date, route_id, trip_id, last_sequence, pct, {r('pct')} AS completed_pct, least(trunc(pct / 10), 9)::INT AS bucket FROM ns)"""
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.trips_not_completed(fx.plan(spark, sf_dir), fx.observed(spark, sf_dir))
 
 
+@query(_SHORT + " SELECT * EXCLUDE (pct) FROM nc")
+def trips_not_completed(spark, sf_dir):
+    return _short(spark, sf_dir).drop("pct")
+
+
+def _floor_at(x: str, p: float) -> str:
+    return f"list_sort(list({x}))[least(trunc(count(*) * {p}), count(*) - 1)::INT + 1]"
+
+
+@query(_SHORT + f" SELECT service_date, count(*) AS trips, {', '.join(f'count(*) FILTER (bucket = {k}) AS bucket_{k}' for k in range(10))}, {', '.join(f'{r(_floor_at("pct", p / 100))} AS p{p}_pct' for p in (5, 25, 50, 75, 95))} FROM nc GROUP BY 1")
+def completion_distribution(spark, sf_dir):
+    return schedule.completion_distribution(_short(spark, sf_dir))
+
+
 _DISTORTION = """, inst AS (SELECT service_date, route_id, stop_id, sched_s, count(*) AS k FROM plan GROUP BY ALL), near AS (SELECT *, sched_s - lag(sched_s) OVER w AS b, CASE WHEN k > 1 THEN 0 ELSE lead(sched_s) OVER w - sched_s END AS a FROM inst WINDOW w AS (PARTITION BY service_date, route_id, stop_id ORDER BY sched_s)),
 dist AS (SELECT service_date, route_id, trip_id, stop_sequence, 100.0::DOUBLE * delay_seconds / CASE WHEN delay_seconds > 0 THEN b ELSE a END AS percent FROM fresh JOIN near USING (service_date, route_id, stop_id, sched_s) WHERE delay_seconds <> 0 AND CASE WHEN delay_seconds > 0 THEN b ELSE a END > 0)"""
 
@@ -211,15 +256,25 @@ def distortion_p95(spark, sf_dir):
     return own.select("route_id", c.rounded(F.col("percent"), 1).alias("p95_pct"))
 
 
-@query(f""", e AS (SELECT service_date, route_id, trip_id, max(stop_sequence) AS f FROM plan GROUP BY ALL), p AS (SELECT service_date, trip_id, max(stop_sequence) AS l FROM arr GROUP BY ALL)
-SELECT service_date - dayofweek(service_date)::INT AS week_start, route_id, count(*) AS ran, count(*) FILTER (l >= f) AS reached, count(*) FILTER (l < f) AS incomplete, count(*) FILTER (100.0 * l / f < 80) AS below_80, {q(0.05, 'l')} AS p5_last, {q(0.5, 'l')} AS p50_last FROM p JOIN e USING (service_date, trip_id) GROUP BY 1, 2""")
+_COMPLETION = f""", ct AS (SELECT service_date, route_id, route_group, week_start, {fx.SQL_PERIOD} AS period, trip_id, max(stop_sequence) AS f, max(CASE WHEN act_s IS NOT NULL THEN stop_sequence END) AS l FROM obs GROUP BY ALL), cr AS (SELECT *, 100.0::DOUBLE * l / f AS pct FROM ct WHERE l IS NOT NULL AND f > 0),
+cp AS (SELECT period, week_start, route_group, CASE WHEN grouping(period) = 1 THEN 'week' ELSE 'period' END AS grain, count(*) AS ran, count(*) FILTER (l >= f) AS reached, count(*) FILTER (l < f) AS incomplete, count(*) FILTER (pct < 80) AS below_80, {r(q(0.05, 'pct'), 3)} AS p5_pct, {r(q(0.5, 'pct'), 3)} AS p50_pct FROM cr GROUP BY GROUPING SETS ((period, route_group), (week_start, route_group)))"""
+
+
+@query(_COMPLETION + " SELECT * FROM cp")
 def completion_rollup(spark, sf_dir):
-    return schedule.completion_rollup(fx.plan(spark, sf_dir), fx.observed(spark, sf_dir))
+    return schedule.completion_rollup(fx.observed(spark, sf_dir), _period())
 
 
 _LEAD = ", hw0 AS (SELECT *, lead(act_s) OVER (PARTITION BY route_id, stop_id, service_date ORDER BY act_s, trip_id) - act_s AS s FROM fresh), hw AS (SELECT *, s / 60 AS h FROM hw0 WHERE s BETWEEN 30 AND 5400)"
 _LAG = ", lg0 AS (SELECT *, act_s - lag(act_s) OVER (PARTITION BY service_date, route_id, stop_id ORDER BY act_s, trip_id) AS headway_s FROM arr), lg AS (SELECT * FROM lg0 WHERE headway_s BETWEEN 60 AND 7200)"
-_BINS = _LAG + ", bins AS (SELECT week_start, route_group, (60 * floor(headway_s / 60 + 0.5))::BIGINT AS bin_s, count(*) AS n FROM lg GROUP BY ALL)"
+_BINS = _LAG + f""", bn AS (SELECT {fx.SQL_PERIOD} AS period, week_start, route_group, route_id, (60 * floor(headway_s / 60 + 0.5))::BIGINT AS bin_s FROM lg),
+bins AS (SELECT period, week_start, route_group, route_id, bin_s, CASE WHEN grouping(period) = 1 THEN 'week_group' WHEN grouping(route_id) = 1 THEN 'period_group' ELSE 'period_route' END AS grain, count(*) AS n FROM bn GROUP BY GROUPING SETS ((period, route_group, bin_s), (week_start, route_group, bin_s), (period, route_group, route_id, bin_s)))"""
+_GRAIN = "grain, period, week_start, route_group, route_id"
+# the shortest whole second by which p of the riders have waited, by trying all of them around the answer
+_WAIT_AT = "(SELECT min(w) FROM unnest(range(0, 7201)) AS u(w) WHERE list_sum(list_transform(hs, lambda x: x.n * least(w, x.h))) >= {p} * mass)"
+_DISTRIBUTION = _BINS + f""", cm AS (SELECT *, sum(n) OVER (PARTITION BY {_GRAIN} ORDER BY bin_s) AS cum, sum(n) OVER (PARTITION BY {_GRAIN}) AS al FROM bins),
+dq AS (SELECT {_GRAIN}, sum(n)::BIGINT AS n, min(CASE WHEN cum >= 0.5 * al THEN bin_s END) AS p50_headway_s, min(CASE WHEN cum >= 0.9 * al THEN bin_s END) AS p90_headway_s, {r('sum(n * bin_s * bin_s)::DOUBLE / (2 * sum(n * bin_s))::DOUBLE')} AS mean_wait_s, list({{'n': n, 'h': bin_s}}) AS hs, sum(n * bin_s)::DOUBLE AS mass FROM cm GROUP BY {_GRAIN}),
+dw AS (SELECT {_GRAIN}, n, p50_headway_s, p90_headway_s, mean_wait_s, {_WAIT_AT.format(p=0.5)}::BIGINT AS p50_wait_s, {_WAIT_AT.format(p=0.9)}::BIGINT AS p90_wait_s FROM dq)"""
 
 
 @query(_LAG + " SELECT service_date, route_id, stop_id, trip_id, headway_s FROM lg")
@@ -227,14 +282,23 @@ def headways_lag(spark, sf_dir):
     return waits.headways_lag(fx.observed(spark, sf_dir))
 
 
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waits.headway_bins(waits.headways_lag(fx.observed(spark, sf_dir)), _period())
+
+
 @query(_BINS + " SELECT * FROM bins")
 def headway_bins(spark, sf_dir):
-    return waits.headway_bins(waits.headways_lag(fx.observed(spark, sf_dir)))
+    return _bins(spark, sf_dir)
 
 
-@query(_BINS + f", cm AS (SELECT *, sum(n) OVER (PARTITION BY week_start, route_group ORDER BY bin_s) AS cum, sum(n) OVER (PARTITION BY week_start, route_group) AS al FROM bins) SELECT week_start, route_group, sum(n)::BIGINT AS n, min(CASE WHEN cum >= 0.5 * al THEN bin_s END) AS p50_headway_s, min(CASE WHEN cum >= 0.9 * al THEN bin_s END) AS p90_headway_s, {r('sum(n * bin_s * bin_s)::DOUBLE / (2 * sum(n * bin_s))::DOUBLE')} AS mean_wait_s FROM cm GROUP BY 1, 2")
+@query(_DISTRIBUTION + " SELECT * FROM dw")
 def headway_distribution(spark, sf_dir):
-    return waits.weighted_headways(waits.headway_bins(waits.headways_lag(fx.observed(spark, sf_dir))))
+    return waits.weighted_headways(_bins(spark, sf_dir))
+
+
+@query(_DISTRIBUTION + " SELECT route_group, " + ", ".join(f"max(CASE WHEN period = '{p}' THEN mean_wait_s END) AS {p.lower().replace('-', '_')}_wait_s" for p, _, _ in fx.PERIODS) + " FROM dw WHERE grain = 'period_group' AND n >= 500 GROUP BY 1")
+def wait_by_group(spark, sf_dir):
+    return waits.wait_by_group(waits.weighted_headways(_bins(spark, sf_dir)))
 
 
 @query(_LAG + " SELECT service_date, route_id, stop_id, trip_id, headway_s FROM lg ORDER BY headway_s DESC, service_date, route_id, stop_id, trip_id LIMIT 25")
@@ -252,6 +316,20 @@ def wait_histogram(spark, sf_dir):
     return waits.wait_histogram(waits.headways_lead(fx.observed(spark, sf_dir)))
 
 
+_DENSITY = _LEAD + f", ms AS (SELECT route_id, day_type, b::INT AS bin, sum(greatest(0, least(b + 1, h) - b)) AS mass FROM hw, unnest(range(90)) AS u(b) GROUP BY ALL HAVING mass > 0), dn AS (SELECT route_id, day_type, bin, {r('mass / sum(mass) OVER (PARTITION BY route_id, day_type)', 3)} AS density FROM ms), dk AS (SELECT *, round(density * 1000)::BIGINT AS k FROM dn), dc AS (SELECT *, sum(k) OVER (PARTITION BY route_id, day_type ORDER BY bin) AS cum FROM dk)"
+_CROSS = lambda p: r(f"coalesce(min(CASE WHEN cum >= {p * 10} THEN {{'bin': bin, 'x': bin + ({p * 10}::DOUBLE - (cum - k)) / k}} END).x, 89.0)")
+
+
+@query(_DENSITY + f" SELECT route_id, day_type, {', '.join(f'{_CROSS(p)} AS p{p}_min' for p in (50, 95, 99))} FROM dc GROUP BY 1, 2")
+def wait_quantiles(spark, sf_dir):
+    return waits.wait_quantiles(waits.wait_histogram(waits.headways_lead(fx.observed(spark, sf_dir))), ["route_id", "day_type"])
+
+
+@query(_LEAD + f", hh AS (SELECT *, count(*) OVER (PARTITION BY route_id, day_type, hour) AS gaps FROM hw), ms AS (SELECT route_id, day_type, hour::INT AS hour, b::INT AS bin, sum(greatest(0, least((b + 1) * 60, s) - b * 60))::BIGINT AS mass_s FROM hh, unnest(range(90)) AS u(b) WHERE gaps >= 5 GROUP BY 1, 2, 3, 4 HAVING mass_s > 0) SELECT *, {r('mass_s::DOUBLE / sum(mass_s) OVER (PARTITION BY route_id, day_type, hour)', 3)} AS density FROM ms")
+def wait_histogram_hourly(spark, sf_dir):
+    return waits.wait_histogram_hourly(waits.headways_lead(fx.observed(spark, sf_dir)))
+
+
 @query(_LEAD + f""", ct AS (SELECT route_id, day_type, act_s AS a, act_s + s AS b, k FROM hw, unnest(range(act_s // 3600, (act_s + s - 1) // 3600 + 1)) AS u(k)), sl AS (SELECT *, greatest(a, k * 3600) AS lo, least(b, (k + 1) * 3600) AS hi FROM ct)
 SELECT route_id, day_type, ((k - 7) % 24)::INT AS hour, count(*) AS n, sum(hi - lo)::DOUBLE AS covered_s, {r('sum((b - lo) * (b - lo) - (b - hi) * (b - hi))::DOUBLE / 2 / sum(hi - lo)::DOUBLE / 60', 3)} AS expected_wait_min FROM sl GROUP BY 1, 2, 3""")
 def expected_wait_by_hour(spark, sf_dir):
@@ -272,11 +350,16 @@ def _summary(hist: str, keys: str, ps: tuple[int, ...]) -> str:
     SELECT {keys}, sum(n)::BIGINT AS n, {r('sum(n * mid) / sum(n)')} AS mean_mph, CASE WHEN sum(n) > 1 THEN {r('sqrt(greatest(0, sum(n * mid * mid) / sum(n) - (sum(n * mid) / sum(n)) * (sum(n * mid) / sum(n))))')} END AS stddev_mph, {', '.join(f'{at(p)} AS p{p}_mph' for p in ps)} FROM cm GROUP BY {keys}"""
 
 
-@query(_summary(_HIST, "route_id, direction_id, day_type", (5, 50, 95)))
+@query(_summary(_HIST, "route_id, direction_id, day_type", (5, 50, 95, 99)))
 def speed_summary(spark, sf_dir):
     return speeds.speed_summary(fx.observed(spark, sf_dir))
 
 
+@query(_summary(_HIST, "route_id, direction_id, day_type, hour", (5, 50, 95, 99)) + " HAVING sum(n) >= 10")
+def speed_by_hour(spark, sf_dir):
+    return speeds.speed_by_hour(fx.observed(spark, sf_dir))
+
+
 @query(", pr AS (SELECT service_date, trip_id, stop_sequence, lag(stop_id) OVER (PARTITION BY service_date, trip_id ORDER BY stop_sequence) AS from_stop, stop_id AS to_stop FROM plan)" + _summary("SELECT route_id, direction_id, from_stop, to_stop, floor(v * 2.2369 / 0.5)::INT AS bin, count(*) AS n FROM fresh JOIN pr USING (service_date, trip_id, stop_sequence) WHERE from_stop IS NOT NULL AND v BETWEEN 0 AND 35 GROUP BY ALL HAVING bin BETWEEN 0 AND 139", "route_id, direction_id, from_stop, to_stop", (50,)))
 def segment_speed(spark, sf_dir):
     return speeds.segment_speed(fx.observed(spark, sf_dir), fx.plan(spark, sf_dir))
@@ -313,13 +396,60 @@ ok AS (SELECT st.trip_key, st.stop_sequence, fu, min(CASE WHEN ar.arrived_us IS
 SELECT trip_key, stop_sequence::INT AS stop_sequence, fu AS arrived_us FROM ok WHERE run = 1"""
 
 
-@query(_DISTORTION + f""", a AS (SELECT route_id, count(*) AS observations, {pct('delay_seconds BETWEEN -60 AND 420')} AS dp, {pct('delay_seconds BETWEEN 0 AND 180')} AS op, avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369 / 13.0 * 100 AS sp FROM fresh GROUP BY 1), b AS (SELECT route_id, 100 - avg(abs(percent)) AS hp FROM dist GROUP BY 1),
-w AS (SELECT route_id, observations, (coalesce(least(100, dp) * 60, 0) + coalesce(least(100, op) * 15, 0) + coalesce(least(100, sp) * 15, 0) + coalesce(greatest(0, hp) * 10, 0)) / (CASE WHEN dp IS NULL THEN 0 ELSE 60 END + CASE WHEN op IS NULL THEN 0 ELSE 15 END + CASE WHEN sp IS NULL THEN 0 ELSE 15 END + CASE WHEN hp IS NULL THEN 0 ELSE 10 END) AS x FROM a LEFT JOIN b USING (route_id)), s AS (SELECT route_id, observations, {r('x')} AS score FROM w)
-SELECT *, CASE {' '.join(f"WHEN score >= {k} THEN '{g}'" for g, k in reportcard.LETTERS)} END AS grade FROM s""")
+_ROUTE_DAYS = _DISTORTION + _SEEN + _STOPS + f""", rs AS (SELECT service_date, route_id, count(DISTINCT trip_id) AS trips, count(*) AS observations, {r(pct('delay_seconds BETWEEN 0 AND 180'))} AS on_time_pct, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph, {q(0.95)} AS p95_delay_s FROM fresh GROUP BY 1, 2),
+ds AS (SELECT service_date, route_id, {r(_floor_at('percent', 0.5))} AS p50_distortion_pct FROM dist GROUP BY 1, 2), sd AS (SELECT service_date, route_id, count(*) AS scored, count(x.trip_id) AS delivered FROM st LEFT JOIN (SELECT service_date, trip_id, stop_sequence FROM arr WHERE delay_seconds BETWEEN -60 AND 420) x USING (service_date, trip_id, stop_sequence) WHERE pos > 1 AND pos < stops AND pickup_type <> 1 GROUP BY ALL),
+rd AS (SELECT service_date, route_id, coalesce(trips, 0) AS trips, coalesce(observations, 0) AS observations, on_time_pct, avg_speed_mph, p95_delay_s, coalesce(scheduled, 0) AS scheduled, coalesce(ran, 0) AS ran, scored, delivered, p50_distortion_pct FROM rs FULL JOIN daily USING (service_date, route_id) LEFT JOIN sd USING (service_date, route_id) LEFT JOIN ds USING (service_date, route_id))"""
+
+
+def _route_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, plan = fx.observed(spark, sf_dir), fx.plan(spark, sf_dir)
+    return reportcard.route_days(o.route_stats(obs), schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), obs), schedule.route_stop_delivery(plan, obs), schedule.distortion(plan, obs))
+
+
+@query(_ROUTE_DAYS + " SELECT * FROM rd")
+def routes_full(spark, sf_dir):
+    return _route_days(spark, sf_dir)
+
+
+_KNOWN = lambda x: f"CASE WHEN {x} IS NOT NULL AND observations > 0 THEN observations END"
+_MEAN = lambda x: f"sum(round({x} * 10)::BIGINT * ({_KNOWN(x)}))::DOUBLE / sum({_KNOWN(x)})::DOUBLE / 10 AS {x}"
+_PARTS = {"delivered_pct": (60, "delivered_pct"), "on_time_pct": (15, "on_time_pct"), "avg_speed_mph": (15, "avg_speed_mph / 13.0 * 100"), "p50_distortion_pct": (10, "100 - abs(p50_distortion_pct)")}
+_SCORE = r("(" + " + ".join(f"coalesce(greatest(0, least(100, {x})) * {w}, 0)" for w, x in _PARTS.values()) + ") / nullif(" + " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, (w, _) in _PARTS.items()) + ", 0)")
+_GRADE = "CASE " + " ".join(f"WHEN score >= {k} THEN '{g}'" for g, k in reportcard.LETTERS) + " END AS grade"
+
+
+def _card(days: str, by: str) -> str:
+    return f"""SELECT *, {_GRADE}, coalesce(runs_per_day < 10 AND regexp_matches(route_id, '[^A-Za-z]'), false) AS limited FROM (SELECT *, {_SCORE} AS score FROM (SELECT {by}route_id, sum(trips)::BIGINT AS trips, sum(observations)::BIGINT AS observations, count(*) FILTER (observations > 0) AS days, sum(scheduled)::BIGINT AS scheduled, coalesce(sum(scored), 0)::BIGINT AS scored, coalesce(sum(scheduled)::DOUBLE / nullif(count(*) FILTER (scheduled > 0), 0), 0.0) AS runs_per_day, 100.0::DOUBLE * sum(delivered) / nullif(sum(scored), 0) AS delivered_pct, {', '.join(map(_MEAN, reportcard.WEIGHED))} FROM {days} GROUP BY ALL))"""
+
+
+def _agency(card: str, by: str) -> str:
+    mean = lambda x: f"sum({x} * observations) / sum(CASE WHEN {x} IS NOT NULL THEN observations END)::DOUBLE AS {x}"
+    return f"SELECT *, {_GRADE} FROM (SELECT *, {_SCORE} AS score FROM (SELECT {by}count(*) AS routes, sum(trips)::BIGINT AS trips, sum(observations)::BIGINT AS observations, {', '.join(map(mean, ('delivered_pct', *reportcard.WEIGHED)))} FROM {card} WHERE NOT limited AND score IS NOT NULL AND observations > 0 GROUP BY ALL))"
+
+
+_SHOWN = ["delivered_pct", *reportcard.WEIGHED]
+_ROUNDED = lambda names: ", ".join(f"{r(x, 3)} AS {x}" for x in names)
+
+
+def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({x: c.rounded(F.col(x), 3) for x in names})
+
+
+@query(_ROUTE_DAYS + f", rc AS ({_card('rd', '')}) SELECT * REPLACE ({_ROUNDED([*_SHOWN, 'runs_per_day'])}) FROM rc")
 def report_card(spark, sf_dir):
-    obs = fx.observed(spark, sf_dir)
-    metrics = reportcard.route_metrics(obs, schedule.distortion(fx.plan(spark, sf_dir), obs))
-    return reportcard.composite_score(metrics).select("route_id", "observations", "score", "grade")
+    return _rounded(reportcard.report_card_routes(_route_days(spark, sf_dir)), [*_SHOWN, "runs_per_day"])
+
+
+@query(_ROUTE_DAYS + f", rc AS ({_card('rd', '')}), ag AS ({_agency('rc', '')}) SELECT * REPLACE ({_ROUNDED(_SHOWN)}) FROM ag")
+def agency_score(spark, sf_dir):
+    return _rounded(reportcard.agency_score(reportcard.report_card_routes(_route_days(spark, sf_dir))), _SHOWN)
+
+
+@query(_ROUTE_DAYS + f""", rk AS (SELECT service_date, row_number() OVER (ORDER BY service_date DESC) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT service_date FROM rd)), en AS (SELECT service_date AS end_date, k AS e FROM rk WHERE k % 7 = 0 AND k + 14 <= n), wd AS (SELECT end_date, rd.* FROM rd JOIN rk USING (service_date) JOIN en ON rk.k BETWEEN en.e AND en.e + 13),
+hc AS (SELECT * FROM ({_card('wd', 'end_date, ')}) WHERE score IS NOT NULL), ha AS ({_agency('hc', 'end_date, ')}), tp AS (SELECT route_id FROM hc WHERE end_date = (SELECT max(end_date) FROM hc) ORDER BY scheduled DESC, route_id LIMIT 10)
+SELECT end_date, route_id, score FROM hc WHERE route_id IN (FROM tp) UNION ALL SELECT end_date, NULL, score FROM ha""")
+def grade_history(spark, sf_dir):
+    return reportcard.grade_history(_route_days(spark, sf_dir), window=14)
 
 
 _BAND = "CASE WHEN h < 5 THEN 'Late night' WHEN h < 6 THEN 'Early AM' WHEN h < 9 THEN 'AM peak' WHEN h < 15 THEN 'Midday' WHEN h < 19 THEN 'PM peak' ELSE 'Evening' END AS time_band"
@@ -328,9 +458,10 @@ _SCREEN = f""", sc AS (SELECT p.service_date, p.route_id, p.direction_id, p.trip
   CASE WHEN a.act_s IS NOT NULL THEN '{screenline.HERE}' WHEN e.trip_id IS NOT NULL THEN '{screenline.ELSEWHERE}' ELSE '{screenline.NOWHERE}' END AS status
   FROM plan p LEFT JOIN arr a ON a.service_date = p.service_date AND a.trip_id = p.trip_id AND a.stop_sequence = p.stop_sequence LEFT JOIN (SELECT DISTINCT service_date, trip_id FROM arr) e ON e.service_date = p.service_date AND e.trip_id = p.trip_id
   WHERE p.stop_id = CASE p.direction_id WHEN 0 THEN 'S4' ELSE 'S3' END WINDOW w AS (PARTITION BY p.service_date, p.route_id, p.direction_id ORDER BY p.sched_s, p.trip_id))"""
-_GAPS = _SCREEN + f""", g0 AS (SELECT *, {_DAY3}, {_BAND}, (act_s - lag(act_s) OVER w) / 60.0::DOUBLE AS headway_min, schedule_index - lag(schedule_index) OVER w - 1 AS missed_slots FROM (SELECT *, ((act_s - 25200) // 3600) % 24 AS h FROM sc WHERE act_s IS NOT NULL) WINDOW w AS (PARTITION BY service_date, route_id, direction_id ORDER BY act_s, trip_id)),
-us AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(scheduled_headway_min, 0.5) AS usual_min FROM (SELECT *, {_DAY3}, {_BAND} FROM (SELECT *, ((sched_s - 25200) // 3600) % 24 AS h FROM sc WHERE scheduled_headway_min BETWEEN 1 AND 180)) GROUP BY ALL),
-gp AS (SELECT g0.*, usual_min FROM g0 LEFT JOIN us USING (route_id, direction_id, day_type, time_band) WHERE headway_min BETWEEN 1 AND 180)"""
+_GAPS = _SCREEN + f""", g0 AS (SELECT *, {_DAY3}, {_BAND}, act_s - lag(act_s) OVER w AS headway_s, schedule_index - lag(schedule_index) OVER w - 1 AS missed_slots FROM (SELECT *, ((act_s - 25200) // 3600) % 24 AS h FROM sc WHERE act_s IS NOT NULL) WINDOW w AS (PARTITION BY service_date, route_id, direction_id ORDER BY act_s, trip_id)),
+us AS (SELECT route_id, direction_id, day_type, time_band, quantile_cont(round(scheduled_headway_min * 60), 0.5) AS usual_s FROM (SELECT *, {_DAY3}, {_BAND} FROM (SELECT *, ((sched_s - 25200) // 3600) % 24 AS h FROM sc WHERE scheduled_headway_min BETWEEN 1 AND 180)) GROUP BY ALL),
+gp AS (SELECT g0.*, headway_s / 60.0::DOUBLE AS headway_min, usual_s, usual_s / 60.0::DOUBLE AS usual_min FROM g0 LEFT JOIN us USING (route_id, direction_id, day_type, time_band) WHERE headway_s BETWEEN 60 AND 10800)"""
+_CV = "CASE WHEN count(*) > 1 THEN sqrt(greatest(0.0::DOUBLE, (sum(headway_s * headway_s)::DOUBLE - sum(headway_s)::DOUBLE * sum(headway_s)::DOUBLE / count(*)) / (count(*) - 1))) / (sum(headway_s)::DOUBLE / count(*)) END"
 
 
 def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,16 +475,19 @@ def screenline_runs(spark, sf_dir):
 
 @query(_GAPS + f" SELECT service_date, route_id, direction_id, trip_id, day_type, time_band, {r('headway_min', 3)} AS headway_min, missed_slots, {r('usual_min', 3)} AS usual_min FROM gp")
 def screenline_intervals(spark, sf_dir):
-    return screenline.intervals(_screen(spark, sf_dir)).withColumns({x: c.rounded(F.col(x), 3) for x in ("headway_min", "usual_min")})
+    return screenline.intervals(_screen(spark, sf_dir)).drop("hour", "headway_s", "usual_s").withColumns({x: c.rounded(F.col(x), 3) for x in ("headway_min", "usual_min")})
 
 
 def _part(x: str) -> str:
-    return r(f"100 * avg(CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 3)
+    return r(f"100.0::DOUBLE * count(*) FILTER ({x}) / count(*)", 3)
+
+
+_GAP_AT = ", ".join(f"{r(f'quantile_cont(headway_s, {p}) / 60.0::DOUBLE', 3)} AS {name}_min" for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
 
 
-@query(_GAPS + f""" SELECT route_id, direction_id, day_type, time_band, count(*) AS n, count(DISTINCT service_date) AS service_days, {r('max(usual_min)', 3)} AS usual_min, {r('quantile_cont(headway_min, 0.5)', 3)} AS median_min, {r('quantile_cont(headway_min, 0.9)', 3)} AS p90_min,
-  {r('max(headway_min)', 3)} AS max_min, {r('avg(headway_min)', 3)} AS mean_min, {r('stddev_samp(headway_min) / avg(headway_min)', 3)} AS cv, {r('sum(headway_min * headway_min) / (2 * sum(headway_min))', 3)} AS mean_wait_min,
-  {_part('headway_min < 0.5 * usual_min')} AS bunching_pct, {_part('headway_min > 1.5 * usual_min')} AS gap_1_5x_pct, {_part('headway_min > 2 * usual_min')} AS gap_2x_pct, {_part('missed_slots > 0')} AS missed_pct FROM gp GROUP BY ALL""")
+@query(_GAPS + f""" SELECT route_id, direction_id, day_type, time_band, count(*) AS n, count(DISTINCT service_date) AS service_days, {r('max(usual_s) / 60.0::DOUBLE', 3)} AS usual_min, {_GAP_AT},
+  {r('max(headway_s) / 60.0::DOUBLE', 3)} AS max_min, {r('sum(headway_s)::DOUBLE / count(*) / 60', 3)} AS mean_min, {r(_CV, 3)} AS cv, {r('sum(headway_s * headway_s)::DOUBLE / (2 * sum(headway_s)::DOUBLE) / 60', 3)} AS mean_wait_min,
+  {_part('headway_s < 0.5 * usual_s')} AS bunching_pct, {_part('headway_s > 1.5 * usual_s')} AS gap_1_5x_pct, {_part('headway_s > 2 * usual_s')} AS gap_2x_pct, {_part('missed_slots > 0')} AS missed_pct FROM gp GROUP BY ALL""")
 def headway_summary(spark, sf_dir):
     return screenline.headway_summary(screenline.intervals(_screen(spark, sf_dir)))
 

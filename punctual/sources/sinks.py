@@ -2,23 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from zoneinfo import ZoneInfo
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctual.functions.columns import TZ, sanitize_key
+
 
 def append_finalized(rows: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("route_id", "trip_id").write.mode("append").partitionBy("service_date").parquet(path)
 
 
-def overwrite_service_dates(rows: DataFrame, path: str) -> None:
-    """Replaces exactly the dates that rows has; running it again changes nothing. No rows is an error."""
-    if rows.isEmpty():
+def overwrite_service_dates(rows: DataFrame, path: str, today: dt.date | None = None, force: bool = False) -> None:
+    """Replaces exactly the dates that rows has; running it again changes nothing.
+
+    No rows is an error, and so is a date from today on, whose trips are still coming in, unless force says so.
+    """
+    last = rows.agg(F.max("service_date")).first()[0]
+    if last is None:
         raise ValueError("refusing to replace a date with no rows")
+    if not force and last >= (today or dt.datetime.now(ZoneInfo(TZ)).date()):
+        raise ValueError(f"refusing to replace {last}, which is not over")
     rows.sortWithinPartitions("route_id", "trip_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path)
 
 
+def replace_day(observations: DataFrame, probes: DataFrame, observations_path: str, probes_path: str, today: dt.date | None = None, force: bool = False) -> dict[str, int]:
+    """Replaces the dates of both tables, after both have been found fit; returns how many rows each has."""
+    counts = {"observations": observations.count(), "probes": probes.count()}
+    if not all(counts.values()):
+        raise ValueError(f"refusing to replace a date with no rows: {counts}")
+    overwrite_service_dates(observations, observations_path, today, force)
+    overwrite_service_dates(probes, probes_path, today, force)
+    return counts
+
+
+def _value(spark: SparkSession, path: str, column: str):
+    """The greatest value of a small published table; None if it isn't there yet."""
+    try:
+        return spark.read.parquet(path).agg(F.max(column)).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def publish_rollup(rows: DataFrame, path: str, day: dt.date) -> bool:
+    """Writes the dated archive of rows, keeps the index of dates, and moves `latest` if day is not before it; says whether it did.
+
+    Publishing a date again replaces it. path holds archive/rollup_date=..., latest and index (dates, newest first).
+    """
+    spark = rows.sparkSession
+    dated = rows.withColumn("rollup_date", F.lit(day))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rollup_date").parquet(f"{path}/archive")
+    dates = spark.read.parquet(f"{path}/archive").select("rollup_date").distinct().orderBy(F.desc("rollup_date"))
+    dates.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")  # a row a date
+    current = _value(spark, f"{path}/latest", "rollup_date")
+    if current is not None and day < current:
+        return False
+    dated.write.mode("overwrite").parquet(f"{path}/latest")
+    return True
+
+
+def processed_routes(shapes: DataFrame, stops: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """A document for each route: its shapes, stops and trips, as maps by id; lists are in order. A route's timetable is one row.
+
+    shapes: shape_id, seq, lat, lon, along_m. stops: stop_id, stop_name, lat, lon. trips: trip_id, route_id, shape_id, direction_id.
+    stop_times: trip_id, stop_sequence, stop_id, stop_m, arrival_time.
+    """
+    line = lambda *x: F.sort_array(F.collect_list(F.struct(*x)))
+    by_id = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), value))))
+    points = shapes.groupBy("shape_id").agg(line("seq", "lat", "lon", "along_m").alias("points"))
+    a = trips.select("route_id", "shape_id").distinct().join(points, "shape_id").groupBy("route_id").agg(by_id("shape_id", F.col("points")).alias("shapes"))
+    b = trips.join(stop_times, "trip_id").select("route_id", "stop_id").distinct().join(stops, "stop_id").groupBy("route_id").agg(by_id("stop_id", F.struct("stop_name", "lat", "lon")).alias("stops"))
+    calls = stop_times.groupBy("trip_id").agg(line("stop_sequence", "stop_id", "stop_m", "arrival_time").alias("stop_times"))
+    d = trips.join(calls, "trip_id").groupBy("route_id").agg(by_id("trip_id", F.struct("shape_id", "direction_id", "stop_times")).alias("trips"))
+    return d.join(a, "route_id", "left").join(b, "route_id", "left")
+
+
+def export_processed_routes(documents: DataFrame, path: str) -> None:
+    """One JSON folder a route."""
+    documents.withColumn("route_key", sanitize_key(F.col("route_id"))).write.mode("overwrite").partitionBy("route_key").json(path)
+
+
 def write_per_route(rows: DataFrame, path: str) -> None:
     """One folder a route, its name made of letters, digits, _ and -."""
-    from punctual.functions.columns import sanitize_key
-
     rows.withColumn("route_key", sanitize_key(F.col("route_id"))).write.mode("overwrite").partitionBy("route_key").parquet(path)

@@ -1,0 +1,142 @@
+"""Arrivals at stops from a stream of fixes: the plan is joined before the state, crossings are found inside it."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+STALE_MS, TOLERANCE_M, WATERMARK = 20 * 60 * 1000, 150.0, "20 minutes"
+_STATE = "trip_key string, first_us long, last_us long, last_m double, far_us long, far_m double, fixes long, done boolean, arrived array<bigint>, sequences array<bigint>, stops array<double>"
+OUTPUT = "vehicle_id string, trip_key string, stop_sequence long, arrived_us long, first_us long, last_us long, fixes long, reason string"
+_NAMES = [x.split()[0] for x in OUTPUT.split(", ")]
+
+
+def positions_stream(spark: SparkSession, path: str, schema: str, files: int = 10) -> DataFrame:
+    """Snapshots as they land in a folder, `files` of them at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def along(lat: Column, lon: Column, segments: str) -> Column:
+    """Distance along a shape of the point nearest to a fix, from an array of the shape's segments: a projection without a shuffle."""
+    k = 111_194.92664455873
+
+    def of(s: Column) -> Column:
+        east = F.cos(F.radians(s["lat0"]))
+        px, py = (lon - s["lon"]) * east * k, (lat - s["lat"]) * k
+        sx, sy = (s["lon2"] - s["lon"]) * east * k, (s["lat2"] - s["lat"]) * k
+        squared = sx * sx + sy * sy
+        t = F.when(squared > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * sx + py * sy) / squared))).otherwise(0.0)
+        off2 = (px - t * sx) * (px - t * sx) + (py - t * sy) * (py - t * sy)
+        return F.struct(off2.alias("off2"), s["seg"].alias("seg"), (s["along_m"] + t * s["length_m"]).alias("dist_m"))
+
+    return F.array_min(F.transform(segments, of))["dist_m"]
+
+
+def with_plan(fixes: DataFrame, trips: DataFrame, segments: DataFrame, stops: DataFrame) -> DataFrame:
+    """fixes (vehicle_id, trip_key, ts, plat, plon) with dist_m and the stops of their trip; fixes of unknown trips are left out.
+
+    trips: trip_key, shape_id. segments: shape_segments(). stops: trip_key, stop_sequence, stop_m. All but fixes are tables; a shape and a trip's stops are a row each.
+    """
+    shapes = segments.groupBy("shape_id").agg(F.collect_list(F.struct("seg", "lat", "lon", "lat2", "lon2", "lat0", "length_m", "along_m")).alias("_segments"))
+    planned = stops.groupBy("trip_key").agg(F.sort_array(F.collect_list(F.struct(F.col("stop_sequence").cast("long").alias("q"), F.col("stop_m").cast("double").alias("m")))).alias("_stops"))
+    known = trips.join(planned, "trip_key").join(shapes, "shape_id").select("trip_key", "_segments", F.transform("_stops", lambda x: x["q"]).alias("sequences"), F.transform("_stops", lambda x: x["m"]).alias("stops"))
+    own = fixes.join(known, "trip_key")
+    return own.select("vehicle_id", "trip_key", "ts", along(F.col("plat"), F.col("plon"), "_segments").alias("dist_m"), "sequences", "stops")
+
+
+class Tracker(StatefulProcessor):
+    """One vehicle's trip in progress. A stop's arrival is found once and kept; a finished trip's later fixes are ignored until another trip begins."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.trip = handle.getValueState("trip", _STATE)
+
+    def _advance(self, s: dict, us: int, m: float) -> None:
+        for k, at in enumerate(s["stops"]):
+            if s["arrived"][k] < 0 and s["far_m"] < at <= m:
+                s["arrived"][k] = s["last_us"] + int((us - s["last_us"]) * ((at - s["last_m"]) / (m - s["last_m"])) // 1)
+        if m > s["far_m"]:
+            s["far_m"], s["far_us"] = m, us
+        s["last_us"], s["last_m"], s["fixes"] = us, m, s["fixes"] + 1
+
+    def _end(self, key: str, s: dict, reason: str) -> list[tuple]:
+        arrived = list(s["arrived"])
+        for k in range(len(arrived) - 1, -1, -1):  # the last stops, if the trip came near them
+            if arrived[k] >= 0 or abs(s["stops"][k] - s["far_m"]) > TOLERANCE_M:
+                break
+            arrived[k] = s["far_us"]
+        head = (s["first_us"], s["last_us"], s["fixes"], reason)
+        return [(key, s["trip_key"], q, a if a >= 0 else None, *head) for q, a in zip(s["sequences"], arrived, strict=True)]
+
+    def _wake_at(self, ms: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+
+    def _load(self) -> dict | None:
+        if not self.trip.exists():
+            return None
+        names = [x.split()[0] for x in _STATE.split(", ")]
+        s = dict(zip(names, self.trip.get(), strict=True))
+        return s | {k: list(s[k]) for k in ("arrived", "sequences", "stops")}
+
+    def _save(self, s: dict) -> None:
+        self.trip.update(tuple(s.values()))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        s, out = self._load(), []
+        for row in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            us, m = row.ts.value // 1000, float(row.dist_m)
+            if s is not None and us <= s["last_us"]:
+                continue
+            if s is not None and row.trip_key == s["trip_key"]:
+                if not s["done"]:
+                    self._advance(s, us, m)
+                    if s["arrived"][-1] >= 0:
+                        out += self._end(key[0], s, "completed")
+                        s["done"] = True
+                else:
+                    s["last_us"] = us
+                continue
+            if s is not None and not s["done"]:
+                out += self._end(key[0], s, "preempted")
+            stops = [float(x) for x in row.stops]
+            s = {"trip_key": row.trip_key, "first_us": us, "last_us": us, "last_m": m, "far_us": us, "far_m": m, "fixes": 1, "done": False, "arrived": [-1] * len(stops), "sequences": [int(x) for x in row.sequences], "stops": stops}
+        if s is not None:
+            self._save(s)
+            self._wake_at(max(s["last_us"] // 1000 + STALE_MS, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        s = self._load()
+        self.trip.clear()
+        yield pd.DataFrame(self._end(key[0], s, "stale") if s is not None and not s["done"] else [], columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_arrivals(planned: DataFrame) -> DataFrame:
+    """Stops of finished trips with their arrivals, of a stream of with_plan(): completed at the last stop, preempted by another trip of the vehicle, or stale after 20 minutes.
+
+    Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    """
+    own = planned.withWatermark("ts", WATERMARK)
+    return own.groupBy("vehicle_id").transformWithStateInPandas(statefulProcessor=Tracker(), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Append", timeMode="EventTime")
+
+
+def finalized_stream_sink(arrivals: DataFrame, path: str, checkpoint: str):
+    """Starts the query that appends finished trips to path, once each: a batch that is tried again replaces its own folder."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+
+
+def live_gauges(arrivals: DataFrame, name: str = "trips") -> DataFrame:
+    """arrivals with metrics of each batch as observed by listeners: finished trips' stops, and those that went stale."""
+    return arrivals.observe(name, F.count("*").alias("rows"), F.count_if(F.col("reason") == "stale").alias("stale_rows"), F.count_if(F.col("arrived_us").isNotNull()).alias("arrivals"))

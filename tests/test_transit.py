@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
-from punctual.operators import schedule, trips, waits
-from punctual.plans import queries
+from punctual.operators import feeds, reportcard, schedule, trips, waits
+from punctual.plans import backfill, more_queries, queries
 from punctual.sources import schedule_files, sinks
-from punctual.streaming import live
+from punctual.streaming import arrivals, live
 
 SF = "/root/testdata/sf0.001"
+assert more_queries.QUERIES is queries.QUERIES  # one table of queries
 
 
 def one(spark, column):
@@ -72,17 +73,138 @@ def test_expected_wait(spark):
     assert {x.hour: (x.n, x.covered_s, x.expected_wait_min) for x in got.collect()} == {0: (1, 300.0, 12.5), 1: (4, 3600.0, 11.667), 2: (1, 600.0, 5.0)}
 
 
-@pytest.mark.parametrize("name", ["route_stats", "gap_windows", "speed_summary", "wait_histogram", "detect_arrivals", "screenline_runs", "screenline_intervals", "headway_summary", "headway_survival", "gap_calendar", "boxplot_stats", "scheduled_runs_per_day", "week_stop_delivery", "delivery_status_share", "delivery_by_hour", "prior_same_dow", "sched_expected_wait", "obs_vs_sched_wait"])
-def test_sql(spark, name):
+@pytest.fixture(scope="module")
+def small():
     db = duckdb.connect()
     for t in ("orders", "lineitem", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = db.execute(queries.SQL[name]).df()
-    got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    shown = lambda df: sorted(str([str(v)[:10] if isinstance(v, (dt.date, pd.Timestamp)) else round(float(v), 6) if isinstance(v, (int, float)) else v for v in r]) for r in df.astype(object).itertuples(index=False))
+    return db
+
+
+def _plain(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
+        return ""
+    if isinstance(v, (dt.date, pd.Timestamp)):
+        return str(v)[:10]
+    return str(round(float(v), 6)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_sql(spark, small, name):
+    """Every query against its SQL."""
+    want = small.execute(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    assert set(got.columns) == set(want.columns)
+    shown = lambda df: sorted(str([_plain(v) for v in r]) for r in df[list(want.columns)].astype(object).itertuples(index=False))
     assert shown(got) == shown(want)
 
 
+def test_known_answers(spark):
+    """Values of small fixtures by hand."""
+    day = F.lit("2026-05-17").cast("date")
+    assert one(spark, c.quarter_hour(day, F.to_timestamp(F.lit("2026-05-17 06:59:30")))) == 0 and one(spark, c.quarter_hour(day, F.to_timestamp(F.lit("2026-05-17 06:58:30")))) == -1
+    assert [one(spark, c.short_stop_name(F.lit(x))) for x in ("Broadway & 14th St", "Broadway & W Grand Av (far side)", "Broadway & Thomas (20th St)")] == ["14th", "Grand", "20th"]
+    assert one(spark, c.sanitize_key(F.lit("1/R x"))) == "1_R_x"
+    assert one(spark, c.last_complete_week_end(F.lit("2026-06-13").cast("date"))) == dt.date(2026, 6, 6)
+    rows = spark.createDataFrame([("a", float(x)) for x in range(10)] + [("b", 5.0)] * 3 + [("c", x) for x in (1.0, 2.0, 3.0)], "k string, x double")
+    assert {x.k: x.x for x in schedule.floor_percentile(rows, ["k"], "x", 0.5).collect()} == {"a": 5.0, "b": 5.0, "c": 2.0}
+    assert {x.k: x.x for x in schedule.floor_percentile(rows, ["k"], "x", 1.0).collect()} == {"a": 9.0, "b": 5.0, "c": 3.0}
+    bins = spark.createDataFrame([("g", None, None, "x", None, 300, 3), ("g", None, None, "x", None, 1800, 1)], "grain string, period string, week_start date, route_group string, route_id string, bin_s long, n long")
+    got = waits.weighted_headways(bins).first()
+    assert (got.n, got.p50_headway_s, got.p90_headway_s, got.mean_wait_s, got.p50_wait_s, got.p90_wait_s) == (4, 300, 1800, 650.0, 450, 1530)
+    plan = spark.createDataFrame([("t", None, 10), ("t", 20, None), ("u", None, None)], "trip_id string, a int, d int").select(day.alias("service_date"), F.lit("1").alias("route_id"), F.lit(0).alias("direction_id"), "trip_id", F.timestamp_seconds("a").alias("scheduled_arrival"), F.timestamp_seconds("d").alias("scheduled_departure"))
+    assert [(x.trip_id, x.s) for x in schedule.scheduled_runs(plan).select("trip_id", F.unix_seconds("starts").alias("s")).collect()] == [("t", 10)]
+    with pytest.raises(Exception, match="repeated"):
+        schedule.schedule_obs_merge(plan.withColumns({"stop_sequence": F.lit(1), "stop_id": F.lit("s")}), plan.withColumns({"stop_sequence": F.lit(1), "stop_id": F.lit("s"), "vehicle_id": F.lit("v"), "actual_arrival": F.lit(None).cast("timestamp"), "delay_seconds": F.lit(0), "is_stale": F.lit(False)})).collect()
+
+
+def test_score(spark):
+    own = spark.createDataFrame([("a", 90.0, 80.0, 13.0, 10.0), ("b", None, 100.0, 26.0, None), ("c", None, None, None, None)], "route_id string, delivered_pct double, on_time_pct double, avg_speed_mph double, p50_distortion_pct double")
+    assert {x.route_id: (x.score, x.grade) for x in reportcard.composite_score(own).collect()} == {"a": (90.0, "A-"), "b": (100.0, "A+"), "c": (None, None)}
+
+
+def test_sessions_across_days(spark):
+    at = [dt.datetime(2026, 1, 1, 23, 50), dt.datetime(2026, 1, 2, 0, 5), dt.datetime(2026, 1, 2, 0, 40), dt.datetime(2026, 1, 4, 3, 0), dt.datetime(2026, 1, 4, 3, 20)]
+    got = trips.sessions(spark.createDataFrame([("v", a) for a in at], "vehicle_id string, ts timestamp")).orderBy("ts").collect()
+    assert [x.session for x in got] == [0, 0, 1, 2, 2]
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    for k, fare in ((1, "1"), (2, "1"), (3, "2"), (4, "2")):
+        with zipfile.ZipFile(tmp_path / f"2026010{k}.zip", "w") as z:
+            z.writestr("routes.txt", "\ufeffroute_id, route_long_name\n" + ("1, Main St\n" if k < 4 else "1, High St\n2\n"))
+            z.writestr("fare_rules.txt", fare)
+    path = str(tmp_path / "*.zip")
+    rows = [tuple(x) for x in schedule_files.read_archives(spark, path, "routes").orderBy("archive", "route_id").collect()]
+    assert rows[0] == ("20260101.zip", "1", "Main St", "", "") and rows[-1] == ("20260104.zip", "2", "", "", "") and len(rows) == 5
+    members = schedule_files.read_archive_members(spark, path)
+    assert [(x.archive[6:8], x.changed, x.change_scope) for x in feeds.feed_change_timeline(members).orderBy("archive").collect()] == [("01", 0, feeds.INITIAL), ("02", 0, feeds.IDENTICAL), ("03", 1, feeds.FARES), ("04", 1, feeds.SCHEDULE)]
+    assert [x.archive[6:8] for x in feeds.feed_versions(feeds.archive_hashes(members)).orderBy("archive").collect()] == ["01", "03", "04"]
+    with pytest.raises(Exception, match="no feed"):
+        cover = spark.createDataFrame([("F", True, 1, dt.date(2026, 1, 1), 0)], "feed string, is_current boolean, archived int, service_date date, services int")
+        feeds.resolve_feed_for_date(cover.select("service_date"), cover, strict=True).collect()
+
+
+def test_sinks(spark, tmp_path):
+    rows = lambda d: spark.createDataFrame([(dt.date(2026, 1, d), "1/A", f"t{d}")], "service_date date, route_id string, trip_id string")
+    for d in (1, 2, 1):
+        sinks.append_finalized(rows(d), str(tmp_path / "obs"))
+    assert schedule_files.obs_for_range(spark, str(tmp_path / "obs"), F.lit("2026-01-01"), F.lit("2026-01-01")).count() == 2
+    with pytest.raises(ValueError, match="not over"):
+        sinks.overwrite_service_dates(rows(2), str(tmp_path / "obs"), today=dt.date(2026, 1, 2))
+    sinks.overwrite_service_dates(rows(2), str(tmp_path / "obs"), today=dt.date(2026, 1, 2), force=True)
+    with pytest.raises(ValueError, match="no rows"):
+        sinks.replace_day(rows(1), rows(1).where("false"), str(tmp_path / "obs"), str(tmp_path / "pr"), today=dt.date(2026, 2, 1))
+    assert sinks.replace_day(rows(1), rows(1), str(tmp_path / "obs"), str(tmp_path / "pr"), today=dt.date(2026, 2, 1)) == {"observations": 1, "probes": 1}
+    assert spark.read.parquet(str(tmp_path / "obs")).count() == 2
+    moved = [sinks.publish_rollup(rows(d), str(tmp_path / "roll"), dt.date(2026, 1, d)) for d in (2, 1, 3, 3)]
+    assert moved == [True, False, True, True]
+    assert [x[0].day for x in spark.read.parquet(str(tmp_path / "roll/index")).collect()] == [3, 2, 1] and spark.read.parquet(str(tmp_path / "roll/latest")).first().trip_id == "t3"
+    sinks.write_per_route(rows(1), str(tmp_path / "per"))
+    assert (tmp_path / "per" / "route_key=1_A").exists()
+
+
+def test_processed_routes(spark, tmp_path):
+    shapes = spark.createDataFrame([("H", k, 37.8, -122.0 + k, 10.0 * k) for k in (1, 0)], "shape_id string, seq int, lat double, lon double, along_m double")
+    stops = spark.createDataFrame([("A", "First", 37.8, -122.0), ("B", "Other", 37.8, -121.0)], "stop_id string, stop_name string, lat double, lon double")
+    runs = spark.createDataFrame([("t", "1", "H", 0)], "trip_id string, route_id string, shape_id string, direction_id int")
+    calls = spark.createDataFrame([("t", 2, "B", 10.0, "8:05:00"), ("t", 1, "A", 0.0, "8:00:00")], "trip_id string, stop_sequence int, stop_id string, stop_m double, arrival_time string")
+    documents = sinks.processed_routes(shapes, stops, runs, calls)
+    own = documents.first()
+    assert [p.seq for p in own.shapes["H"]] == [0, 1] and own.stops["B"].stop_name == "Other" and [x.stop_id for x in own.trips["t"].stop_times] == ["A", "B"]
+    sinks.export_processed_routes(documents, str(tmp_path / "routes"))
+    assert (tmp_path / "routes" / "route_key=1").exists()
+
+
+def _street(spark):
+    points = spark.createDataFrame([("H", k, 0.0, k * 0.001) for k in range(6)], "shape_id string, seq int, lat double, lon double")
+    return trips.shape_segments(points)
+
+
+def test_backfill_day(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    start = 1_767_283_200  # 2026-01-01 08:00 local time
+    head = "idx,trip_id,route_id,lon,lat,bearing,speed,timestamp,vehicle_id,start_date\n"
+    for k in range(6):
+        rows = [f"0,t,1,{k * 0.001},0.0,0,3,{start + 60 * k},v,20260101", f"1,,1,0,0,0,0,{start},w,20260101", f"2,t2,1,x,0,0,0,{start},w,20260101", f"3,t3,1,0,0,0,0,{start},w,20260102"]
+        (source / f"{start + 60 * k}.csv").write_text(head + "\n".join(rows) + "\n")
+    (source / "1000.csv").write_text(head + f"0,t,1,0.004,0.0,0,3,{start + 5},v,20260101\n")
+    assert schedule_files.read_positions_csv(spark, str(source), "2026-01-01").count() == 6
+    shapes = _street(spark).withColumn("trip_id", F.lit("t"))
+    plan = spark.createDataFrame([("t", k, f"S{k}", "1", 111.19 * k, f"08:0{k}:00") for k in range(1, 5)] + [("t", 5, "S5", "1", 600.0, "08:05:00")], "trip_id string, stop_sequence int, stop_id string, route_id string, stop_m double, arrival_time string")
+    counts = backfill.backfill_day(spark, str(source), "2026-01-01", shapes, plan, str(tmp_path / "out"))
+    assert counts == {"observations": 5, "probes": 6}
+    own = {x.stop_sequence: x for x in spark.read.parquet(str(tmp_path / "out/observations")).collect()}
+    assert all(abs(own[k].delay_seconds) <= 1 for k in range(1, 5)) and own[5].delay_seconds == 0 and own[3].leg_avg_speed_mps == pytest.approx(111.19 / 60, rel=0.02) and not own[5].is_stale
+    probe = spark.read.parquet(str(tmp_path / "out/probes")).orderBy("observed_at").collect()
+    assert probe[0].bearing_deg is None and probe[2].nearest_stop_seq == 2 and probe[2].dist_along_route_m == pytest.approx(222.4, abs=0.2)
+    backfill.backfill_day(spark, str(source), "2026-01-01", shapes, plan, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/observations")).count() == 5
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "stops.txt").write_text("﻿stop_id,stop_name,stop_lat\nA, Main,37.8\nB,,37.9,x\n")
     assert [tuple(x) for x in schedule_files.read_schedule_table(spark, str(tmp_path), "stops").collect()] == [("A", "Main", "37.8", ""), ("B", "", "37.9", "")]
@@ -114,3 +236,36 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == {(v, *x) for v in "ab" for x in ((f"{v}0", 8, "preempted"), (f"{v}1", 4, "preempted"), (f"{v}2", 4, "stale"))}
     got = {(x.vehicle_id, x.probes) for x in run(live.session_trips(source), "sessions")}
     assert got == {("a", 12), ("b", 12), ("a", 4), ("b", 4)}
+
+
+def test_live_arrivals_equal_batch(spark, tmp_path):
+    """Arrivals of a stream that ends trips in all three ways, against those found in batch; a second start of the sink adds nothing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = dt.datetime(2026, 1, 1)
+    at = lambda v, t, m, x: (v, t, start + dt.timedelta(minutes=m), 0.0, x * 0.001)
+    rows = [at("v", "a", m, m) for m in range(6)] + [at("v", "a", 6, 5.2), at("v", "b", 10, 0.5), at("v", "b", 11, 2.5), at("v", "c", 12, 0.2), at("v", "c", 13, 3.9), at("w", "d", 0, 1.5), at("w", "d", 1, 2.2), at("w", "zz", 2, 0), at("w", "d", 2, 2.1), at("w", "d", 3, 3.5), at("y", "e", 24 * 60, 0)]
+    schema = "vehicle_id string, trip_key string, ts timestamp, plat double, plon double"
+    own = spark.createDataFrame(rows, schema)
+    plan = spark.createDataFrame([(t, k, 111.19 * k) for t in "abcde" for k in range(1, 5)], "trip_key string, stop_sequence int, stop_m double")
+    of_trip = plan.select("trip_key", F.lit("H").alias("shape_id")).distinct()
+    own.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = arrivals.with_plan(arrivals.positions_stream(spark, str(tmp_path / "in"), schema), of_trip, _street(spark), plan)
+    for _ in range(2):
+        sink = arrivals.finalized_stream_sink(arrivals.live_gauges(arrivals.stateful_arrivals(stream)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        sink.trigger(availableNow=True).start().awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out")).where("trip_key <> 'e'").collect()
+    assert {(x.trip_key, x.reason) for x in got} == {("a", "completed"), ("b", "preempted"), ("c", "stale"), ("d", "stale")} and len(got) == 16
+    placed = trips.project_probes(own.withColumn("point_id", F.struct("trip_key", "ts")), of_trip, _street(spark), plan.withColumn("scheduled_us", F.lit(0))).where("dist_m is not null").select("trip_key", "ts", "dist_m")
+    found = trips.detect_arrivals(placed, plan)
+    want = {(x.trip_key, x.stop_sequence): x.arrived_us for x in found.unionByName(trips.trailing_fallback(placed, plan, found)).collect()}
+    assert {(x.trip_key, x.stop_sequence): x.arrived_us for x in got if x.arrived_us is not None} == {k: v for k, v in want.items() if k[0] != "e"}
+
+
+def test_live_volume_equals_batch(spark, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    own = spark.createDataFrame([(f"r{k % 2}", start + dt.timedelta(minutes=7 * k)) for k in range(30)] + [("r9", start + dt.timedelta(days=2))], "route_id string, ts timestamp")
+    own.write.parquet(str(tmp_path / "in"))
+    query = live.live_volume_15min(spark.readStream.schema("route_id string, ts timestamp").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("volume").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = {(x.route_id, x.w.start, x["count"]) for x in own.where("route_id <> 'r9'").groupBy("route_id", F.window("ts", "15 minutes").alias("w")).count().collect()}
+    assert {(x.route_id, x.start, x.n) for x in spark.table("volume").collect()} == want
