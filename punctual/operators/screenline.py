@@ -47,7 +47,8 @@ def headway_summary(gaps: DataFrame) -> DataFrame:
     """
     h, usual, n = F.col("headway_s"), F.col("usual_s"), F.count("*")
     s, q = F.sum(h).cast("double"), F.sum(h * h).cast("double")
-    at = lambda p: c.rounded(F.percentile("headway_s", F.lit(p)) / 60, 3)
+    # a quantile of whole seconds has two decimals at most, so hundredths are whole numbers in any engine
+    at = lambda p: c.rounded(F.floor(F.percentile("headway_s", F.lit(p)) * 100 + 0.5) / 6000, 3)
     part = lambda x: c.rounded(100.0 * F.count_if(F.coalesce(x, F.lit(False))) / n, 3)
     spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))) / (s / n))
     return gaps.groupBy(*LINE, "day_type", "time_band").agg(

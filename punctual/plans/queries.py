@@ -482,7 +482,7 @@ def _part(x: str) -> str:
     return r(f"100.0::DOUBLE * count(*) FILTER ({x}) / count(*)", 3)
 
 
-_GAP_AT = ", ".join(f"{r(f'quantile_cont(headway_s, {p}) / 60.0::DOUBLE', 3)} AS {name}_min" for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
+_GAP_AT = ", ".join(f"{r(f'floor(quantile_cont(headway_s, {p}) * 100 + 0.5) / 6000.0::DOUBLE', 3)} AS {name}_min" for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
 
 
 @query(_GAPS + f""" SELECT route_id, direction_id, day_type, time_band, count(*) AS n, count(DISTINCT service_date) AS service_days, {r('max(usual_s) / 60.0::DOUBLE', 3)} AS usual_min, {_GAP_AT},
