@@ -65,6 +65,11 @@ def dropped_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
     return trips.join(arrived(obs).select(*TRIP).distinct(), TRIP, "left_anti")
 
 
+def dropped_sample(dropped: DataFrame, n: int = 20) -> DataFrame:
+    """The first n dropped trips by day and id, for a report."""
+    return dropped.select("service_date", "trip_id").orderBy("service_date", "trip_id").limit(n)
+
+
 def daily_service_delivered(trips: DataFrame, obs: DataFrame) -> DataFrame:
     seen = arrived(obs).select(*TRIP, F.lit(1).alias("ran")).distinct()
     return trips.join(seen, TRIP, "left").groupBy("service_date", "route_id").agg(F.count("*").alias("scheduled"), F.count("ran").alias("ran")).withColumn("delivered_pct", c.rounded(100.0 * F.col("ran") / F.col("scheduled"), 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
-from punctual.operators import feeds, rollups, schedule, study, trips
+from punctual.operators import feeds, rollups, schedule, speeds, study, trips
 from punctual.operators import observations as o
 from punctual.plans import fixtures as fx
 from punctual.plans import queries as base
@@ -362,6 +362,24 @@ def last_complete_week(spark, sf_dir):
     return rollups.snap_to_week(dates.select(F.col("service_date").alias("day")), rollups.available_weeks(dates.where("service_date <> date '2026-06-01'")))
 
 
+@query("SELECT service_date, trip_id FROM trips ANTI JOIN arr USING (service_date, trip_id) ORDER BY service_date, trip_id LIMIT 20")
+def dropped_sample(spark, sf_dir):
+    return schedule.dropped_sample(schedule.dropped_trips(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir)))
+
+
+@query("SELECT d.direction_id, h.day_type, h.hour::INT AS hour, h.bin, sum(n)::BIGINT AS n FROM (SELECT trip_id, day_type, hour, floor(v * 2.2369 / 0.5)::INT AS bin, count(*) AS n FROM fresh WHERE v BETWEEN 0 AND 35 GROUP BY 1, 2, 3, 4 HAVING bin BETWEEN 0 AND 139) h JOIN (SELECT trip_id, direction_id FROM trips WHERE o_orderkey % 10 <> 3) d USING (trip_id) GROUP BY 1, 2, 3, 4")
+def trip_direction_lookup(spark, sf_dir):
+    known = fx.scheduled_trips(spark, sf_dir).where(F.col("trip_id").cast("long") % 10 != 3).select("trip_id", "direction_id")
+    found, _ = speeds.with_directions(speeds.leg_speed_hist(fx.observed(spark, sf_dir), "trip_id"), known)
+    return found.groupBy("direction_id", "day_type", "hour", "bin").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT DISTINCT service_date FROM fresh INTERSECT SELECT DISTINCT service_date + 7 FROM fresh")
+def dates_with_week_before(spark, sf_dir):
+    dates = o.fresh(fx.observed(spark, sf_dir)).select("service_date").distinct()
+    return dates.intersect(dates.select(F.date_add("service_date", 7)))
+
+
 # ---- the corridor
 _SHORTENED = "replace(replace(replace(regexp_replace(stop_name, ' \\([^)]*\\)', '', 'g'), 'Broadway & ', ''), ' St', ''), ' Av', '')"
 _CORRIDOR = f""", sn AS (SELECT DISTINCT 'S' || l_linenumber AS stop_id, CASE WHEN l_linenumber <= 6 THEN 'Broadway & ' || l_linenumber || 'th St' ELSE 'College Av & Main (far side)' END AS stop_name, 37.79 + 0.004::DOUBLE * l_linenumber AS lat FROM lineitem), ins AS (SELECT stop_id, lat, {_SHORTENED} AS name FROM sn WHERE contains(stop_name, 'Broadway') AND lat >= 37.797),
