@@ -530,12 +530,50 @@ def test_one_bad_page_condemns_no_other_host(spark):
 
 
 def test_pipeline(spark):
+    """Stage by stage on the small table with null, empty and repeated rows and ids: what each does against its operator's brute-force version."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = docs
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    line = " ".join(f"plain{k} word{k}" for k in range(40))
+    odd = [(9000, None), (9001, ""), (None, line), (9002, line), (9002, line), (9003, bench), (9003, "short text of its own for this id"), (None, None), (9004, "write to a.b@mail.org " + " ".join(f"only{k}" for k in range(30)))]
+    docs = own.unionByName(spark.createDataFrame([(i, t, "en", "x", None) for i, t in odd], own.schema))
+    left = docs.persist()
+    seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, left = left, stage(spark, left, SF).persist()
         assert left.columns == corpus_pipeline.COLUMNS and 0 < left.count() <= before.count(), name
-        assert left.join(before, "doc_id", "left_anti").isEmpty()
-    assert corpus_pipeline.run(spark, SF).count() == left.count()
+        seen[name] = [(x.doc_id, x.text) for x in left.collect()]
+        if name != "privacy":
+            assert not Counter(seen[name]) - Counter((x.doc_id, x.text) for x in before.select("doc_id", "text").collect())
+    assert not {t for _, t in seen["quality"]} & {None, ""}
+    sets = {k: {tuple(t.encode().lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for k, (_, t) in enumerate(seen["quality"])}
+    up = _components(sets)
+    kept = []
+    for root in set(up.values()):
+        kept.append(min((seen["quality"][k][0] is None, seen["quality"][k][0] or 0) for k in up if up[k] == root))
+    assert sorted((i is None, i or 0) for i, _ in seen["near_duplicates"]) == sorted(kept)
+    windows = {tuple(w[k : k + 13]) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := decontaminate.words(x.text)) for k in range(max(1, len(w) - 12))}
+    sizes = {len(w) for w in windows}
+
+    def clean(text):
+        w = decontaminate.words(text)
+        hit = {j for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(k, k + n)}
+        return not hit or 20 * len(hit) < len(w)
+
+    assert Counter(seen["decontamination"]) == Counter(x for x in seen["near_duplicates"] if clean(x[1]))
+    assert (9003, bench) not in seen["decontamination"]
+    addresses = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    assert len(seen["privacy"]) == len(seen["decontamination"]) and not any(re.search(addresses, t) for _, t in seen["privacy"])
+    found = corpus_pipeline.STAGES[-1][1](spark, left, SF).collect()
+    tok = Tokenizer.from_file(tokenizer_path())
+    assert Counter((x.doc_id, x.n_tokens) for x in found) == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in seen["privacy"])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
