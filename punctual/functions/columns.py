@@ -89,6 +89,11 @@ def percentile(x: str, p: float, kind: str = "bigint") -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").cast(kind)
 
 
+def percentiles(x: str, ps: tuple[float, ...]) -> Column:
+    """percentile() at several shares, as an array: the group's values are kept once."""
+    return F.expr(f"percentile_disc(array({', '.join(map(str, ps))})) WITHIN GROUP (ORDER BY {x})").cast("array<bigint>")
+
+
 def quarter_hour(day: Column, ts: Column, tz: str = TZ) -> Column:
     """Quarter of an hour since local midnight, by whole minutes cut toward zero: the minute before midnight counts to the first quarter."""
     minutes = ((F.unix_micros(ts) - F.unix_micros(midnight(day, tz))) / 60_000_000).cast("long")

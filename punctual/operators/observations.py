@@ -60,12 +60,24 @@ def system_stats(obs: DataFrame) -> DataFrame:
 
 
 def _system(own: DataFrame) -> DataFrame:
-    return own.agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentile("delay_seconds", 0.5).alias("p50_delay_s"), c.percentile("delay_seconds", 0.95).alias("p95_delay_s"), _speed())
+    stats = own.agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentiles("delay_seconds", (0.5, 0.95)).alias("_q"), _speed())
+    return _spread_out(stats, (50, 95))
+
+
+def _spread_out(stats: DataFrame, ps: tuple[int, ...]) -> DataFrame:
+    """The array `_q` of percentiles as columns."""
+    return stats.select("*", *[F.get("_q", F.lit(k)).alias(f"p{p}_delay_s") for k, p in enumerate(ps)]).drop("_q")
 
 
 def route_stats(obs: DataFrame) -> DataFrame:
-    quantiles = [c.percentile("delay_seconds", p / 100).alias(f"p{p}_delay_s") for p in (5, 25, 50, 75, 95)]
-    return fresh(obs).groupBy("service_date", "route_id").agg(F.count_distinct("trip_id").alias("trips"), F.count("*").alias("observations"), *_punctuality(), *quantiles, _speed()).orderBy("service_date", F.desc("trips"), F.desc("observations"), "route_id")
+    ps = (5, 25, 50, 75, 95)
+    own = fresh(obs).groupBy("service_date", "route_id").agg(F.count_distinct("trip_id").alias("trips"), F.count("*").alias("observations"), *_punctuality(), c.percentiles("delay_seconds", tuple(p / 100 for p in ps)).alias("_q"), _speed())
+    return _spread_out(own, ps)
+
+
+def busiest_first(stats: DataFrame) -> DataFrame:
+    """Routes of each day in the order of reports: by trips, then observations."""
+    return stats.orderBy("service_date", F.desc("trips"), F.desc("observations"), "route_id")
 
 
 def delay_minute_histogram(obs: DataFrame) -> DataFrame:
@@ -125,7 +137,7 @@ def _delivery(*quantiles: int) -> list[Column]:
     bands = {"delivered": d.between(-60, 420), "on_time": d.between(0, 180), "early": d < 0, "late": d > 180, "very_late": d > 420}
     return [
         F.count_distinct("service_date").alias("service_days"), F.count("*").alias("scheduled_stop_rows"), F.count_distinct(F.when(has, F.struct("service_date", "trip_id"))).alias("observed_trips"), F.count_if(has).alias("arrivals"),
-        *[F.count_if(has & x).alias(k) for k, x in bands.items()], *[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY CASE WHEN actual_arrival IS NOT NULL THEN delay_seconds END)").cast("bigint").alias(f"p{p}_delay_s") for p in quantiles],
+        *[F.count_if(has & x).alias(k) for k, x in bands.items()], c.percentiles("CASE WHEN actual_arrival IS NOT NULL THEN delay_seconds END", tuple(p / 100 for p in quantiles)).alias("_q"),
     ]
 
 
@@ -138,11 +150,11 @@ def period_route_rollup(obs: DataFrame, periods: Column) -> DataFrame:
     """Group and route by study period, as two grains of one pass, over stop rows with and without an arrival."""
     own = obs.withColumns({"period": periods, "route_group": c.route_group(F.col("route_id"))}).where("period is not null")
     sets = own.groupingSets([["period", "route_group"], ["period", "route_group", "route_id"]], "period", "route_group", "route_id")
-    return sets.agg(F.when(F.grouping("route_id") == 1, "group").otherwise("route").alias("grain"), *_delivery(5, 50, 95))
+    return _spread_out(sets.agg(F.when(F.grouping("route_id") == 1, "group").otherwise("route").alias("grain"), *_delivery(5, 50, 95)), (5, 50, 95))
 
 
 def weekly_group_rollup(obs: DataFrame) -> DataFrame:
-    return obs.groupBy(c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group")).agg(*_delivery(50, 95))
+    return _spread_out(obs.groupBy(c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group")).agg(*_delivery(50, 95)), (50, 95))
 
 
 def route_on_time_rate(obs: DataFrame, last_day: Column, days: int = 7) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,20 +67,25 @@ def derived_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.with_legs(own, F.col("stop_sequence") * STOP_M)
 
 
-_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored observations, partitioned by service date. An application writes them once for each input, as finalized trips are, and then only reads them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored_table(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+    """A table partitioned by service date that an application writes once for each input, as finalized trips and daily statistics are, and then only reads."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        own, path = derived_observations(spark, sf_dir), new_folder(spark, "observations")
-        sinks.append_finalized(own.repartitionByRange("service_date", "route_id", "trip_id"), path)
+        own, path = derive(), new_folder(spark, name)
+        sinks.append_finalized(own, path)
         _STORED[key] = path, own.schema
     path, schema = _STORED[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored observations."""
+    return stored_table(spark, sf_dir, "observations", lambda: derived_observations(spark, sf_dir).repartitionByRange("service_date", "route_id", "trip_id"))
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes from events, time 60 times as fast; a vehicle's sessions are its trips, 1.5 m/s on from the user's offset, on a street that runs east."""
     ts = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 60).cast("long"))

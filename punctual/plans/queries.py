@@ -401,14 +401,19 @@ ds AS (SELECT service_date, route_id, {r(_floor_at('percent', 0.5))} AS p50_dist
 rd AS (SELECT service_date, route_id, coalesce(trips, 0) AS trips, coalesce(observations, 0) AS observations, on_time_pct, avg_speed_mph, p95_delay_s, coalesce(scheduled, 0) AS scheduled, coalesce(ran, 0) AS ran, scored, delivered, p50_distortion_pct FROM rs FULL JOIN daily USING (service_date, route_id) LEFT JOIN sd USING (service_date, route_id) LEFT JOIN ds USING (service_date, route_id))"""
 
 
-def _route_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _derived_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs, plan = fx.observed(spark, sf_dir), fx.plan(spark, sf_dir)
     return reportcard.route_days(o.route_stats(obs), schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), obs), schedule.route_stop_delivery(plan, obs), schedule.distortion(plan, obs))
 
 
+def _route_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored daily statistics, from which report cards are made."""
+    return fx.stored_table(spark, sf_dir, "route-days", lambda: _derived_days(spark, sf_dir).repartitionByRange("service_date", "route_id"))
+
+
 @query(_ROUTE_DAYS + " SELECT * FROM rd")
 def routes_full(spark, sf_dir):
-    return _route_days(spark, sf_dir)
+    return _derived_days(spark, sf_dir)
 
 
 _KNOWN = lambda x: f"CASE WHEN {x} IS NOT NULL AND observations > 0 THEN observations END"

@@ -13,7 +13,7 @@ from punctual.functions.columns import TZ, sanitize_key
 
 
 def append_finalized(rows: DataFrame, path: str) -> None:
-    rows.sortWithinPartitions("route_id", "trip_id").write.mode("append").partitionBy("service_date").parquet(path)
+    rows.sortWithinPartitions(*[x for x in ("route_id", "trip_id") if x in rows.columns]).write.mode("append").partitionBy("service_date").parquet(path)
 
 
 def overwrite_service_dates(rows: DataFrame, path: str, today: dt.date | None = None, force: bool = False) -> None:
