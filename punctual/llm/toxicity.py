@@ -22,6 +22,8 @@ BUCKETS, FACTORS, PREFIX = 1 << 20, 8, 5
 #: A bucket is used if it occurs in LEAST_DOCS documents of the sample and either its share of toxic ones is LEAST_Z standard deviations from
 #: chance, or that of a pair it makes is LEAST_PAIR_Z from what both of its buckets have alone. Pairs are tried of buckets in one document of PAIR_SHARE or more.
 LEAST_DOCS, LEAST_Z, LEAST_PAIR_Z, PAIR_SHARE = 4, 4.0, 6.0, 50
+#: The share of toxic documents with a bucket must also be so many times that of all, or so many times less: a large sample makes small differences significant.
+LEAST_RATIO = 2.0
 _TILE = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -74,7 +76,8 @@ def telling(flat: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> np.ndarra
     buckets, place = np.unique(flat, return_inverse=True)
     n, ones = np.bincount(place, minlength=len(buckets)), np.bincount(place, labels[rows], len(buckets))
     p = labels.mean() if len(labels) else 0.0
-    use = (n >= LEAST_DOCS) & (_z(ones, n, p) >= LEAST_Z)
+    far = (ones >= LEAST_RATIO * p * n) | (LEAST_RATIO * ones <= p * n)
+    use = (n >= LEAST_DOCS) & (_z(ones, n, p) >= LEAST_Z) & far
     often = np.flatnonzero(n * PAIR_SHARE >= max(len(labels), LEAST_DOCS * PAIR_SHARE))  # PAIR_SHARE times a document's terms at most
     column = np.full(len(buckets), len(often))
     column[often] = np.arange(len(often))
@@ -120,14 +123,16 @@ def train(docs: DataFrame, sampled: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", F.col("label").cast("int").alias("label"), "text")
     own = rows.mapInArrow(features, "id long, label int, terms binary").groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).orderBy("id").collect()
     labels, each = np.array([x.label for x in own], float), [np.frombuffer(x.terms, "<i4") for x in own]
-    flat = np.concatenate(each).astype(np.int64) if each else np.empty(0, np.int64)
-    rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    flat = np.concatenate(each) if each else np.empty(0, np.int32)
+    rows = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+    del own, each
     buckets = telling(flat, rows, labels)
     machine = Machine(len(buckets))
     if len(buckets):
         place = np.minimum(np.searchsorted(buckets, flat), len(buckets) - 1)
         known = buckets[place] == flat
-        machine.fit(place[known], rows[known], labels)
+        place, rows = place[known], rows[known]
+        machine.fit(place, rows, labels)
     return buckets, machine
 
 
