@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,22 @@ HOT_ROWS, HOT_SHARE = 2_000, 100_000
 WAYS = 32
 
 
+_TABLES: dict[Hashable, object] = {}
+
+
+def worker_table(key: Hashable, make: Callable[[], object]):
+    """A Python worker's large table, made once and kept for its later tasks; a worker keeps one at a time."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
+def free_worker_tables() -> None:
+    """For tasks that need no table: what another operator left in the worker makes room."""
+    _TABLES.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

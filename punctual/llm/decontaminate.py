@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import small_side, stored
+from punctual.llm.common import free_worker_tables, small_side, stored
 
 WINDOW = 13
 #: Benchmark items, and bytes of their texts, that are broadcast as one part; a longer item is a part by itself.
@@ -200,6 +200,7 @@ def _search(parts: list):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
 
     def run(batches):
+        free_worker_tables()
         shard, size = ([], [], []), 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

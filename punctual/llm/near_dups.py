@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import drop_stored, join_dealt, small_side, stored
+from punctual.llm.common import drop_stored, free_worker_tables, join_dealt, small_side, stored
 
 COORDS, MATCHES = 64, 36
 #: A chunk holds about so many classes, and about so many shingles, at most; a class with more is a chunk by chance with few others.
@@ -64,6 +64,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     """id, h (hash of the text), n_shingles, key (digest of the whole set), sig."""
 
     def run(batches):
+        free_worker_tables()
         a, b = _coefficients()
         for batch in batches:
             out = ([], [], [])

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import drop_stored, small_side, stored
+from punctual.llm.common import drop_stored, free_worker_tables, small_side, stored
 from punctual.llm.token_files import pack, unpack
 
 ORDER, CLASSES = 6, 64
@@ -164,6 +164,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """Blocks of docs (id, h, lang, model, role, text)."""
 
     def run(batches):
+        free_worker_tables()
         long = zstandard.ZstdCompressionParameters.from_level(6, window_log=23, enable_ldm=True)
         press, waiting = zstandard.ZstdCompressor(compression_params=long), {}
         kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]

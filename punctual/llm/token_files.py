@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from punctual.llm.common import drop_path, new_path
+from punctual.llm.common import drop_path, new_path, worker_table
 from punctual.llm.pieces import PieceTable
 from punctual.llm.trie_bpe import read_definition
 
 BLOCK_TOKENS = 1_000_000
 #: Pieces that a worker remembers.
 _REMEMBERED = 400_000
-_WORKER: dict = {}
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -61,8 +60,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokenizer(definition: str):
     """This worker's tokenizer, and the pieces that it remembers."""
-    key = hash(definition)
-    if key not in _WORKER:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,8 +72,9 @@ def _tokenizer(definition: str):
         for token, i in made.get_vocab(with_added_tokens=False).items():
             size[i] = len(token)  # each character of a byte-level token stands for a byte
         encode = lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]
-        _WORKER[key] = made, PieceTable(encode, size, _REMEMBERED), [x.content for x in made.get_added_tokens_decoder().values()]
-    return _WORKER[key]
+        return made, PieceTable(encode, size, _REMEMBERED), [x.content for x in made.get_added_tokens_decoder().values()]
+
+    return worker_table(("tokens", hash(definition)), make)
 
 
 def encode_texts(texts: list[str | None], definition: str, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:

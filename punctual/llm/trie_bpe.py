@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctual.llm.common import worker_table
 from punctual.llm.pieces import Remembered, cut
 
 #: Fixed value: the pattern by which byte-level BPE cuts texts into words.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _REMEMBERED, _PAIRS = 700_000, 2_000_000
-_WORKER: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -137,10 +137,7 @@ class TrieBPE:
 
 
 def _worker(definition: str) -> TrieBPE:
-    key = hash(definition)
-    if key not in _WORKER:
-        _WORKER[key] = TrieBPE(definition)
-    return _WORKER[key]
+    return worker_table(("trie", hash(definition)), lambda: TrieBPE(definition))
 
 
 def read_definition(spark: SparkSession, path: str) -> str:
