@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontaminate, near_dups, pii, quality_model, quality_rules, token_files, toxicity, trie_bpe, url_filter, warc
+from punctual.llm import byte_bpe, centroids, decontaminate, near_dups, pii, quality_model, quality_rules, token_files, toxicity, trie_bpe, url_filter, vector_codes, warc
 from punctual.llm.common import new_path, table
 
 
@@ -65,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_warc, op3_url_filter, op4_quality_model, op5_token_files, op6_near_duplicates, op7_toxicity, op8_pii, op9_bpe_round_trip, op10_decontamination, pipeline]
+    named = [op1_quality_rules, op2_warc, op3_url_filter, op4_quality_model, op5_token_files, op6_near_duplicates, op7_toxicity, op8_pii, op9_bpe_round_trip, op10_decontamination, op11_byte_bpe, op12_centroids, op13_vector_codes, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -162,5 +174,38 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+_KEPT = "SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+_SQUARED = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+#: Of whole numbers, rounded down.
+_MEAN = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+
+
+def _lloyd(rounds: int = 5) -> str:
+    parts = [f"k AS MATERIALIZED ({_KEPT.format(scale=256)})", "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM k QUALIFY c < 40)"]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min({{'d': {_SQUARED.format(a='k.v', b='c.v')}, 'c': c.c}}) AS best FROM k, c{n} c GROUP BY r)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT c, list(x ORDER BY i) AS v FROM (SELECT best.c AS c, i, {_MEAN} AS x FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n} JOIN k USING (r)) GROUP BY ALL) GROUP BY c)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN k USING (r) JOIN c{rounds} c ON c.c = best.c"""
+
+
+def _codes(rounds: int = 4) -> str:
+    parts = [f"k AS MATERIALIZED ({_KEPT.format(scale=1024)})", "x AS MATERIALIZED (SELECT r, p, v[16 * p + 1 : 16 * p + 16] AS v FROM k, range(4) AS u(p))"]
+    parts.append("c0 AS MATERIALIZED (SELECT p, e, x.v FROM (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 256) JOIN x USING (r))")
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, p, min({{'d': {_SQUARED.format(a='x.v', b='c.v')}, 'e': e}}) AS best FROM x JOIN c{n} c USING (p) GROUP BY r, p)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT p, e, list(x ORDER BY i) AS v FROM (SELECT p, best.e AS e, i, {_MEAN} AS x FROM (SELECT p, best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n} JOIN x USING (r, p)) GROUP BY ALL) GROUP BY p, e)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (p, e))")
+    return f"""WITH {', '.join(parts)},
+rows AS (SELECT r, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM rows JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_url_filter": OP3, "op6_near_duplicates": OP6, "op10_decontamination": OP10}
+    return {"op1_quality_rules": OP1, "op3_url_filter": OP3, "op6_near_duplicates": OP6, "op10_decontamination": OP10, "op12_centroids": _lloyd(), "op13_vector_codes": _codes()}
