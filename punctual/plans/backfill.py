@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
 from punctual.operators import trips
-from punctual.sources import schedule_files, sinks
+from punctual.sources import schedule_files
+from punctual.sources.day_store import DayStore
 
 
 def backfill_day(spark: SparkSession, positions_path: str, service_date: str, shapes: DataFrame, stops: DataFrame, out: str, force: bool = False, today: dt.date | None = None) -> dict[str, int]:
-    """Reads the positions of a date, rebuilds its trips and arrivals, and replaces the date in out/observations and out/probes; returns row counts.
+    """Reads the positions of a date, rebuilds its trips and arrivals, and replaces the date in the DayStore of out; returns row counts.
 
     shapes: trip_id, shape_id, and segments of shape_segments() under `segments`' columns. stops: trip_id, stop_sequence, stop_id, route_id, stop_m, arrival_time.
     """
@@ -24,11 +25,8 @@ def backfill_day(spark: SparkSession, positions_path: str, service_date: str, sh
         segments = shapes.select("shape_id", "seg", "lat", "lon", "lat2", "lon2", "lat0", "length_m", "along_m").distinct()
         of_trip = shapes.select(F.col("trip_id").alias("trip_key"), "shape_id").distinct()
         planned = stops.select(F.col("trip_id").alias("trip_key"), "stop_sequence", "stop_id", "route_id", F.col("stop_m").cast("double").alias("stop_m"), F.unix_micros(c.scheduled_ts(day, F.col("arrival_time"))).alias("scheduled_us"))
-        rows = trips.finalized(fixes.select("trip_key", "vehicle_id", "ts", "plat", "plon"), of_trip, segments, planned)
-        at = lambda x: F.timestamp_micros(F.col(x))
-        obs = rows.select(day.alias("service_date"), "route_id", F.col("trip_key").alias("trip_id"), "vehicle_id", F.col("stop_sequence").cast("long").alias("stop_sequence"), "stop_id", at("scheduled_us").alias("scheduled_arrival"), at("arrived_us").alias("actual_arrival"), "delay_seconds", "leg_distance_m", "leg_duration_s", "leg_avg_speed_mps", "is_stale", F.current_timestamp().alias("ingested_at"))
-        placed = trips.project_probes(fixes.withColumn("point_id", F.struct("vehicle_id", "trip_key", "ts")), of_trip, segments, planned)
-        probes = trips.probe_rows(placed.select("service_date", "route_id", "trip_id", "vehicle_id", F.col("ts").alias("observed_at"), "lat", "lon", F.col("bearing").alias("bearing_deg"), F.col("speed").alias("reported_speed_mps"), F.col("dist_m").alias("dist_along_route_m"), "nearest_stop_seq"), F.current_timestamp())
-        return sinks.replace_day(obs, probes, f"{out}/observations", f"{out}/probes", today, force)
+        rows = trips.finalized(fixes.select("trip_key", "vehicle_id", "ts", "plat", "plon"), of_trip, segments, planned).withColumns({"service_date": day, "trip_id": F.col("trip_key"), "is_stale": F.lit(False)})  # of a day that is over
+        placed = trips.project_probes(fixes, of_trip, segments, planned)
+        return DayStore(spark, out).replace({"observations": trips.stored_observations(rows, F.current_timestamp()), "probes": trips.stored_probes(placed, F.current_timestamp())}, today, force)
     finally:
         fixes.unpersist()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
 from punctual.operators.observations import dedup_observations
+from punctual.sources.day_store import DayStore
 
 #: Columns of the schedule tables, all read as text.
 TABLES = {
@@ -82,13 +83,31 @@ def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
 _VEHICLE = "vehicle struct<id: string>, trip struct<trip_id: string, route_id: string, start_date: string>, position struct<latitude: double, longitude: double, bearing: double, speed: double>, timestamp bigint"
 
 
-def read_positions_json(spark: SparkSession, path: str) -> DataFrame:
-    """Vehicle rows of snapshot files, each an array of entities. Those without vehicle, position or start date are left out."""
-    own = spark.read.schema(f"id string, vehicle struct<{_VEHICLE.replace(' struct', ': struct').replace('timestamp bigint', 'timestamp: bigint')}>").json(path, multiLine=True)
+_SNAPSHOT = f"id string, vehicle struct<{_VEHICLE.replace(' struct', ': struct').replace('timestamp bigint', 'timestamp: bigint')}>"
+
+
+def _vehicle_rows(entities: DataFrame) -> DataFrame:
+    """Rows of snapshot entities, with seen, the instant of their file: the unix second that it is named by, or else its time. Defective entities have no vehicle_id."""
     v = "vehicle"
-    rows = own.where(F.col(f"{v}.vehicle.id").isNotNull() & F.col(f"{v}.position.latitude").isNotNull() & F.col(f"{v}.trip.start_date").isNotNull())
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{9,})\.json", 1).try_cast("bigint")
+    seen = F.coalesce(F.timestamp_seconds(named), F.col("_metadata.file_modification_time"))
+    usable = F.col(f"{v}.vehicle.id").isNotNull() & F.col(f"{v}.position.latitude").isNotNull() & F.col(f"{v}.position.longitude").isNotNull() & F.col(f"{v}.trip.start_date").isNotNull()
     zero = lambda x: F.nullif(F.col(x), F.lit(0.0))
-    return rows.select(F.col(f"{v}.vehicle.id").alias("vehicle_id"), F.col(f"{v}.trip.trip_id").alias("trip_id"), F.col(f"{v}.trip.route_id").alias("route_id"), c.parse_service_date(F.col(f"{v}.trip.start_date")).alias("service_date"), F.timestamp_seconds(F.coalesce(F.col(f"{v}.timestamp"), F.unix_timestamp())).alias("ts"), F.col(f"{v}.position.latitude").alias("lat"), F.col(f"{v}.position.longitude").alias("lon"), zero(f"{v}.position.bearing").alias("bearing"), zero(f"{v}.position.speed").alias("speed"))
+    return entities.select(F.when(usable, F.col(f"{v}.vehicle.id")).alias("vehicle_id"), F.col(f"{v}.trip.trip_id").alias("trip_id"), F.col(f"{v}.trip.route_id").alias("route_id"), c.parse_service_date(F.col(f"{v}.trip.start_date")).alias("service_date"), F.coalesce(F.timestamp_seconds(F.col(f"{v}.timestamp")), seen).alias("ts"), F.col(f"{v}.position.latitude").alias("lat"), F.col(f"{v}.position.longitude").alias("lon"), zero(f"{v}.position.bearing").alias("bearing"), zero(f"{v}.position.speed").alias("speed"), seen.alias("seen"))
+
+
+def read_positions_json(spark: SparkSession, path: str) -> DataFrame:
+    """Vehicle rows of snapshot files, each an array of entities. Those without vehicle, position or start date are left out; without an instant of their own they get the file's."""
+    return _vehicle_rows(spark.read.schema(_SNAPSHOT).json(path, multiLine=True)).where("vehicle_id is not null")
+
+
+def positions_stream(spark: SparkSession, path: str, files: int = 10, name: str = "positions") -> DataFrame:
+    """Vehicle rows of snapshot files as they land in a folder, `files` of them at a time, as read_positions_json() reads them.
+
+    Each batch observes under `name` how many entities came and how many of them were defective.
+    """
+    own = _vehicle_rows(spark.readStream.schema(_SNAPSHOT).option("maxFilesPerTrigger", files).option("multiLine", True).json(path))
+    return own.observe(name, F.count("*").alias("entities"), F.count_if(F.col("vehicle_id").isNull()).alias("defective")).where("vehicle_id is not null")
 
 
 def read_positions_csv(spark: SparkSession, path: str, service_date: str, tz: str = c.TZ) -> DataFrame:
@@ -110,7 +129,9 @@ def read_positions_csv(spark: SparkSession, path: str, service_date: str, tz: st
     return rows.where(named("vehicle_id") & named("trip_id") & placed & (F.col("service_date") == day))
 
 
-def obs_for_range(spark: SparkSession, path: str, first: Column, last: Column) -> DataFrame:
-    """Stored observations of a range of service dates, one row for each trip and stop; only the range's partitions are read."""
-    rows = spark.read.parquet(path).where(F.col("service_date").between(first, last))
+def obs_for_range(spark: SparkSession, source: str | DayStore, first: Column | str, last: Column | str) -> DataFrame:
+    """Stored observations of a range of service dates, one row for each trip and stop; only the range's partitions are read. source: a folder, or a DayStore with dates as text."""
+    if isinstance(source, DayStore):
+        return dedup_observations(source.read("observations", first, last), ["vehicle_id"])
+    rows = spark.read.parquet(source).where(F.col("service_date").between(first, last))
     return dedup_observations(rows) if "ingested_at" in rows.columns else rows

@@ -29,16 +29,6 @@ def overwrite_service_dates(rows: DataFrame, path: str, today: dt.date | None =
     rows.sortWithinPartitions("route_id", "trip_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path)
 
 
-def replace_day(observations: DataFrame, probes: DataFrame, observations_path: str, probes_path: str, today: dt.date | None = None, force: bool = False) -> dict[str, int]:
-    """Replaces the dates of both tables, after both have been found fit; returns how many rows each has."""
-    counts = {"observations": observations.count(), "probes": probes.count()}
-    if not all(counts.values()):
-        raise ValueError(f"refusing to replace a date with no rows: {counts}")
-    overwrite_service_dates(observations, observations_path, today, force)
-    overwrite_service_dates(probes, probes_path, today, force)
-    return counts
-
-
 def _value(spark: SparkSession, path: str, column: str):
     """The greatest value of a small published table; None if it isn't there yet."""
     try:

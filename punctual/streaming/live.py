@@ -1,15 +1,11 @@
-"""Live tracking: the same rules as in batch, over streams."""
+"""Windows over streams of arrivals and positions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STALE = "20 minutes"
-_OUT = "vehicle_id string, trip_id string, first_seen timestamp, last_seen timestamp, probes long, reason string"
-_STATE = "trip_id string, first_us long, last_us long, probes long"
 
 
 def live_volume_15min(arrivals: DataFrame) -> DataFrame:
@@ -20,38 +16,3 @@ def live_volume_15min(arrivals: DataFrame) -> DataFrame:
 def session_trips(positions: DataFrame) -> DataFrame:
     """A vehicle's activity without a gap of 20 minutes."""
     return positions.withWatermark("ts", STALE).groupBy("vehicle_id", F.session_window("ts", STALE).alias("w")).agg(F.count("*").alias("probes"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select("vehicle_id", "first_seen", "last_seen", "probes")
-
-
-def _ts(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
-
-
-def _advance(key, frames, state: GroupState):
-    """One vehicle: fixes of its trip are added if newer, another trip ends it, and so does silence."""
-    out = []
-    trip, first, last, n = state.get if state.exists else (None, 0, 0, 0)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], trip, _ts(first), _ts(last), n, "stale")], columns=["vehicle_id", "trip_id", "first_seen", "last_seen", "probes", "reason"])
-        return
-    rows = pd.concat(list(frames)).sort_values("ts")
-    for row_trip, ts in zip(rows["trip_id"], rows["ts"], strict=True):
-        us = ts.value // 1000
-        if trip is not None and us <= last:
-            continue
-        if row_trip == trip:
-            last, n = us, n + 1
-            continue
-        if trip is not None:
-            out.append((key[0], trip, _ts(first), _ts(last), n, "preempted"))
-        trip, first, last, n = row_trip, us, us, 1
-    if trip is not None:
-        state.update((trip, first, last, n))
-        state.setTimeoutTimestamp(max(last // 1000 + 20 * 60 * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["vehicle_id", "trip_id", "first_seen", "last_seen", "probes", "reason"])
-
-
-def stateful_trips(positions: DataFrame) -> DataFrame:
-    """Finished trips of positions (vehicle_id, trip_id, ts): preempted by another trip of the vehicle, or stale."""
-    own = positions.select("vehicle_id", "trip_id", "ts").withWatermark("ts", STALE)
-    return own.groupBy("vehicle_id").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
