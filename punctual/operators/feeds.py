@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
@@ -19,10 +19,10 @@ def archive_hashes(members: DataFrame) -> DataFrame:
     return members.groupBy("archive").agg(F.sha2(F.array_join(F.transform(named, lambda x: F.concat(x["member"], F.lit(":"), x["sha256"])), ""), 256).alias("content_sha256"))
 
 
-def feed_versions(archives: DataFrame) -> DataFrame:
-    """archives (archive, content_sha256, ...) whose content differs from that of the archive before; the first one always counts."""
+def feed_versions(archives: DataFrame, force: Column | None = None) -> DataFrame:
+    """archives (archive, content_sha256, ...) whose content differs from that of the archive before, or that force says to keep; the first one always counts."""
     before = F.lag("content_sha256").over(Window.orderBy("archive"))  # a row an archive
-    return archives.withColumn("_before", before).where("_before is null or _before <> content_sha256").drop("_before")
+    return archives.withColumn("_before", before).where((F.col("_before").isNull() | (F.col("_before") != F.col("content_sha256"))) | (F.lit(False) if force is None else F.coalesce(force, F.lit(False)))).drop("_before")
 
 
 def changed_members(members: DataFrame) -> DataFrame:
@@ -76,10 +76,10 @@ def route_colors(routes: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def latest_snapshots(snapshots: DataFrame, n: int = 1) -> DataFrame:
-    """The rows of the n newest snapshots of each feed, newest first. snapshots: feed, fetched_at, ..."""
+    """The rows of the n newest snapshots of each feed, ranked from the newest on. snapshots: feed, fetched_at, ..."""
     when = snapshots.select("feed", "fetched_at").distinct()
     newest = when.withColumn("rank", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("fetched_at")))).where(F.col("rank") <= n)
-    return snapshots.join(newest, ["feed", "fetched_at"]).orderBy("feed", "rank")
+    return snapshots.join(newest, ["feed", "fetched_at"])
 
 
 def active_route_ids(snapshots: DataFrame) -> DataFrame:

@@ -59,8 +59,14 @@ def system_stats(obs: DataFrame) -> DataFrame:
     return every.crossJoin(own)  # one row each
 
 
-def _system(own: DataFrame) -> DataFrame:
-    stats = own.agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentiles("delay_seconds", (0.5, 0.95)).alias("_q"), _speed())
+def period_stats(obs: DataFrame, *by: str) -> DataFrame:
+    """The columns of system_stats() for each value of `by` (a day, a week, a period)."""
+    every = arrived(obs).groupBy(*by).agg(F.count_distinct("service_date", "trip_id").alias("trips"))
+    return every.join(_system(fresh(obs), *by), [*by])
+
+
+def _system(own: DataFrame, *by: str) -> DataFrame:
+    stats = own.groupBy(*by).agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentiles("delay_seconds", (0.5, 0.95)).alias("_q"), _speed())
     return _spread_out(stats, (50, 95))
 
 
@@ -76,8 +82,9 @@ def route_stats(obs: DataFrame) -> DataFrame:
 
 
 def busiest_first(stats: DataFrame) -> DataFrame:
-    """Routes of each day in the order of reports: by trips, then observations."""
-    return stats.orderBy("service_date", F.desc("trips"), F.desc("observations"), "route_id")
+    """Routes with their place in the day's report: by trips, then observations, then id."""
+    order = Window.partitionBy("service_date").orderBy(F.desc("trips"), F.desc("observations"), "route_id")
+    return stats.withColumn("place", F.row_number().over(order))
 
 
 def delay_minute_histogram(obs: DataFrame) -> DataFrame:

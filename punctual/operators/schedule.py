@@ -66,8 +66,9 @@ def dropped_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def dropped_sample(dropped: DataFrame, n: int = 20) -> DataFrame:
-    """The first n dropped trips by day and id, for a report."""
-    return dropped.select("service_date", "trip_id").orderBy("service_date", "trip_id").limit(n)
+    """The first n dropped trips of each day by id, for the day's report."""
+    rank = F.row_number().over(Window.partitionBy("service_date").orderBy("trip_id"))
+    return dropped.select("service_date", "trip_id", rank.alias("rank")).where(F.col("rank") <= n).drop("rank")
 
 
 def daily_service_delivered(trips: DataFrame, obs: DataFrame) -> DataFrame:

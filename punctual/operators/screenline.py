@@ -29,7 +29,7 @@ def screenline(plan: DataFrame, obs: DataFrame, stops: dict[int, str]) -> DataFr
 
 
 def intervals(screen: DataFrame, holidays: list[str] | None = None) -> DataFrame:
-    """Seconds and minutes between arrivals in a row, 1 to 180 minutes, the scheduled slots missed between them, and the median spacing scheduled in that band."""
+    """Seconds and minutes between arrivals in a row, 1 to 180 minutes, the scheduled slots missed between them, the median spacing scheduled in that band, and the ratio to it."""
     day = c.day_type3(F.col("service_date"), holidays).alias("day_type")
     w = Window.partitionBy("service_date", *LINE).orderBy("actual_arrival", "trip_id")
     came = screen.where(F.col("actual_arrival").isNotNull()).select("*", day, c.time_band(c.local_hour(F.col("actual_arrival"))).alias("time_band"), c.local_hour(F.col("actual_arrival")).alias("hour"))
@@ -37,7 +37,7 @@ def intervals(screen: DataFrame, holidays: list[str] | None = None) -> DataFrame
     own = came.select("service_date", *LINE, "trip_id", "day_type", "time_band", "hour", gap.alias("headway_s"), (gap / 60).alias("headway_min"), (F.col("schedule_index") - F.lag("schedule_index").over(w) - 1).alias("missed_slots")).where(F.col("headway_s").between(60, 10_800))
     due = screen.where(F.col("scheduled_headway_min").between(1, 180)).select(*LINE, day, c.time_band(c.local_hour(F.col("scheduled_arrival"))).alias("time_band"), F.round(F.col("scheduled_headway_min") * 60).alias("s"))
     usual = due.groupBy(*LINE, "day_type", "time_band").agg(F.percentile("s", F.lit(0.5)).alias("usual_s"))
-    return own.join(usual, [*LINE, "day_type", "time_band"], "left").withColumn("usual_min", F.col("usual_s") / 60)
+    return own.join(usual, [*LINE, "day_type", "time_band"], "left").withColumns({"usual_min": F.col("usual_s") / 60, "usual_ratio": F.try_divide("headway_s", "usual_s")})
 
 
 def headway_summary(gaps: DataFrame) -> DataFrame:

@@ -245,6 +245,6 @@ def finalized(fixes: DataFrame, trips: DataFrame, segments: DataFrame, stops: Da
     return observation_rows(stops.join(seen.select("trip_key").distinct(), "trip_key", "left_semi"), arrivals).join(ended, "trip_key")
 
 
-def replay_trip(probes: DataFrame, trip: Column) -> DataFrame:
-    """The fixes of one trip in time order."""
-    return probes.where(F.col("trip_key") == trip).orderBy("ts")
+def replay_trip(probes: DataFrame, service_date: Column, trip: Column) -> DataFrame:
+    """The stored fixes of one trip in time order. Both conditions are on bare columns: only the date's partition is read, and of it the row groups that may hold the trip."""
+    return probes.where((F.col("service_date") == service_date) & (F.col("trip_key") == trip)).orderBy("ts")

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from punctual.functions import columns as c
 from punctual.operators import observations, trips
-from punctual.plans.storage import new_folder
-from punctual.sources import sinks
+from punctual.plans.storage import stored_table
 
 ROUTES = ["1", "6", "12", "51A", "72", "99", "600", "F", "NL", "800", "701", "1T"]
 STOP_M, LAT, STOPS = 352, 37.8, 7
@@ -67,23 +64,9 @@ def derived_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.with_legs(own, F.col("stop_sequence") * STOP_M)
 
 
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
-
-
-def stored_table(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
-    """A table partitioned by service date that an application writes once for each input, as finalized trips and daily statistics are, and then only reads."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        own, path = derive(), new_folder(spark, name)
-        sinks.append_finalized(own, path)
-        _STORED[key] = path, own.schema
-    path, schema = _STORED[key]
-    return spark.read.schema(schema).parquet(path)
-
-
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored observations."""
-    return stored_table(spark, sf_dir, "observations", lambda: derived_observations(spark, sf_dir).repartitionByRange("service_date", "route_id", "trip_id"))
+    return stored_table(spark, sf_dir, "observations", ["orders", "lineitem"], lambda: derived_observations(spark, sf_dir).repartitionByRange("service_date", "route_id", "trip_id"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +78,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("dist_m", F.col("u") % 40 + 1.5 * ((F.unix_micros("ts") - start) / 1e6)).select("trip_key", "vehicle_id", "ts", "dist_m", "u")
 
 
+def stored_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored probes: by the date on which their trip began, within it in order of trips, so that a trip's fixes lie in few row groups."""
+    own = probes(spark, sf_dir).withColumn("service_date", F.min("ts").over(Window.partitionBy("trip_key")).cast("date"))
+    return stored_table(spark, sf_dir, "probes", ["events"], lambda: own.repartitionByRange("service_date", "trip_key"))
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """probes() as GPS fixes, some metres off the street."""
     return probes(spark, sf_dir).select("trip_key", "vehicle_id", "ts", (LAT + F.col("u") % 7 * 1e-4).alias("plat"), (F.lit(-122.0) + F.col("dist_m") / M_PER_LON).alias("plon"), "u")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
-from punctual.operators import feeds, rollups, schedule, speeds, study, trips
+from punctual.operators import documents, feeds, rollups, schedule, sketches, speeds, study, trips
 from punctual.operators import observations as o
 from punctual.plans import fixtures as fx
 from punctual.plans import queries as base
@@ -256,9 +256,9 @@ def reconstruct_trips(spark, sf_dir):
 
 @alone(base._PROBES + " SELECT trip_key, us, d AS dist_m FROM pr WHERE trip_key = (SELECT min(trip_key) FROM pr)")
 def replay_trip(spark, sf_dir):
-    own = fx.probes(spark, sf_dir)
-    first = own.agg(F.min("trip_key").alias("first"))
-    return trips.replay_trip(own.join(F.broadcast(first), F.col("trip_key") == F.col("first")), F.col("first")).select("trip_key", F.unix_micros("ts").alias("us"), "dist_m")  # one row
+    own = fx.stored_probes(spark, sf_dir)
+    first = own.agg(F.min(F.struct("trip_key", "service_date")).alias("first")).first().first  # one row
+    return trips.replay_trip(own, F.lit(first.service_date), F.lit(first.trip_key)).select("trip_key", F.unix_micros("ts").alias("us"), "dist_m")
 
 
 # ---- weeks and study periods
@@ -362,7 +362,7 @@ def last_complete_week(spark, sf_dir):
     return rollups.snap_to_week(dates.select(F.col("service_date").alias("day")), rollups.available_weeks(dates.where("service_date <> date '2026-06-01'")))
 
 
-@query("SELECT service_date, trip_id FROM trips ANTI JOIN arr USING (service_date, trip_id) ORDER BY service_date, trip_id LIMIT 20")
+@query("SELECT service_date, trip_id FROM trips ANTI JOIN arr USING (service_date, trip_id) QUALIFY row_number() OVER (PARTITION BY service_date ORDER BY trip_id) <= 20")
 def dropped_sample(spark, sf_dir):
     return schedule.dropped_sample(schedule.dropped_trips(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir)))
 
@@ -518,3 +518,127 @@ _FINDINGS = {
 def findings_summary(spark, sf_dir):
     screen = base._screen(spark, sf_dir)
     return study.findings_summary(_corridor(spark, sf_dir), _valid(spark, sf_dir), screen, base.screenline.intervals(screen))
+
+
+# ---- weeks: exact, from sketches, and as documents
+@query(f"""SELECT week_start, (SELECT count(DISTINCT (service_date, trip_id)) FROM arr WHERE arr.week_start = f.week_start) AS trips, count(*) AS observations, count(DISTINCT vehicle_id) AS vehicles, {base._PUNCTUAL}, {base.q(0.5)} AS p50_delay_s, {base.q(0.95)} AS p95_delay_s, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh f GROUP BY week_start""")
+def weekly_system_stats(spark, sf_dir):
+    return o.period_stats(fx.observed(spark, sf_dir).withColumn("week_start", c.week_start(F.col("service_date"))), "week_start")
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored daily sketches."""
+    return fx.stored_table(spark, sf_dir, "sketches", ["orders", "lineitem"], lambda: sketches.daily_sketches(fx.observed(spark, sf_dir)).repartitionByRange("service_date", "route_id"))
+
+
+_WEEK = "week_start"
+
+
+@query(f"SELECT week_start, count(*) AS observations, {base._PUNCTUAL}, true AS p50_within_1_pct, true AS p95_within_1_pct, true AS trips_within_3_pct, true AS vehicles_within_3_pct FROM fresh GROUP BY week_start")
+def sketched_weeks(spark, sf_dir):
+    """Weeks from daily sketches alone; quantiles and distinct counts are held against the exact ones."""
+    obs = fx.observed(spark, sf_dir).withColumn(_WEEK, c.week_start(F.col("service_date")))
+    weeks = sketches.system_stats(sketches.merged(_sketches(spark, sf_dir), c.week_start(F.col("service_date")).alias(_WEEK)), _WEEK)
+    exact = o.period_stats(obs, _WEEK).select(_WEEK, *[F.col(x).alias(f"exact_{x}") for x in ("trips", "vehicles")])
+    own = weeks.join(exact, _WEEK)
+    for p in (50, 95):
+        own = own.join(sketches.rank_error(o.fresh(obs), weeks, [_WEEK], "delay_seconds", f"p{p}_delay_s", p / 100).withColumnRenamed("error", f"e{p}"), _WEEK)
+    near = lambda x: (F.abs(F.col(x) - F.col(f"exact_{x}")) <= 0.03 * F.col(f"exact_{x}")).alias(f"{x}_within_3_pct")
+    return own.select(_WEEK, "observations", *[f"{x}_pct" for x in ("on_time", "within_5", "within_7", "early", "late", "very_late")], *[(F.col(f"e{p}") <= 0.01).alias(f"p{p}_within_1_pct") for p in (50, 95)], near("trips"), near("vehicles"))
+
+
+@query("SELECT dow::INT AS dow, hour::INT AS hour, count(*) FILTER (NOT is_stale) AS n, true AS p50_within_1_pct, true AS p95_within_1_pct FROM arr GROUP BY 1, 2 HAVING count(*) FILTER (NOT is_stale) >= 10")
+def sketched_heatmap(spark, sf_dir):
+    cells = sketches.delay_heatmap(_sketches(spark, sf_dir)).where("n >= 10")
+    values = o.fresh(fx.observed(spark, sf_dir)).select(F.dayofweek("service_date").alias("dow"), c.local_hour(F.col("actual_arrival")).alias("hour"), "delay_seconds")
+    own = cells
+    for p in (50, 95):
+        own = own.join(sketches.rank_error(values, cells, ["dow", "hour"], "delay_seconds", f"p{p}_delay_s", p / 100).withColumnRenamed("error", f"e{p}"), ["dow", "hour"])
+    return own.select("dow", "hour", "n", *[(F.col(f"e{p}") <= 0.01).alias(f"p{p}_within_1_pct") for p in (50, 95)])
+
+
+def _day_sections(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    obs = fx.observed(spark, sf_dir)
+    daily = schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), obs)
+    minutes = o.fresh(obs).groupBy("service_date", c.delay_minute(F.col("delay_seconds")).alias("minute")).agg(F.count("*").alias("n"))
+    routes = o.route_stats(obs).join(daily.select("service_date", "route_id", "scheduled", "ran"), ["service_date", "route_id"], "full")
+    return {"system": o.period_stats(obs, "service_date")}, {"routes": (routes, ["route_id"]), "minutes": (minutes, ["minute"])}
+
+
+def daily_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The nested document of each day as JSON, and what is read from it again."""
+    one, many = _day_sections(spark, sf_dir)
+    docs = documents.documents("service_date", one, many)
+    return docs, documents.parsed(docs, documents.document_schema("service_date", one, many))
+
+
+_ROUTE_PS = ", ".join(f"{base.q(p / 100)} AS p{p}_delay_s" for p in (5, 25, 50, 75, 95))
+
+
+@query(f""", rs AS (SELECT service_date, route_id, count(DISTINCT trip_id) AS trips, count(*) AS observations, {base._PUNCTUAL}, {_ROUTE_PS}, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh GROUP BY ALL),
+sd AS (SELECT service_date, route_id, count(*) AS scheduled, count(a.trip_id) AS ran FROM trips LEFT JOIN (SELECT DISTINCT service_date, trip_id FROM arr) a USING (service_date, trip_id) GROUP BY 1, 2) SELECT * FROM rs FULL JOIN sd USING (service_date, route_id)""")
+def document_routes(spark, sf_dir):
+    """Routes as they come back from the days' documents."""
+    return documents.section(daily_documents(spark, sf_dir)[1], "service_date", "routes")
+
+
+@query(f"SELECT service_date, (SELECT count(DISTINCT trip_id) FROM arr WHERE arr.service_date = f.service_date) AS trips, count(*) AS observations, count(DISTINCT vehicle_id) AS vehicles, {base._PUNCTUAL}, {base.q(0.5)} AS p50_delay_s, {base.q(0.95)} AS p95_delay_s, {r('avg(CASE WHEN v BETWEEN 0 AND 35 THEN v END) * 2.2369')} AS avg_speed_mph FROM fresh f GROUP BY service_date")
+def document_system(spark, sf_dir):
+    return documents.section(daily_documents(spark, sf_dir)[1], "service_date", "system")
+
+
+@query("SELECT route_id, (d.service_date - date '2026-05-24') AS day, scheduled, ran FROM (SELECT service_date, route_id, count(*) AS scheduled, count(a.trip_id) AS ran FROM trips LEFT JOIN (SELECT DISTINCT service_date, trip_id FROM arr) a USING (service_date, trip_id) GROUP BY 1, 2) d WHERE d.service_date BETWEEN date '2026-05-24' AND date '2026-05-30' AND dayofweek(d.service_date) <> 3")
+def document_week(spark, sf_dir):
+    """A week's matrix of days by route, from its document; Wednesdays are missing."""
+    daily = schedule.daily_service_delivered(fx.scheduled_trips(spark, sf_dir), fx.observed(spark, sf_dir)).where(F.dayofweek("service_date") != 4)
+    many = {"routes": (documents.week_grid(daily, "2026-05-24", ["scheduled", "ran"]), ["route_id"])}
+    docs = documents.documents("week_start", {}, many)
+    back = documents.section(documents.parsed(docs, documents.document_schema("week_start", {}, many)), "week_start", "routes")
+    return back.select("route_id", F.posexplode("days").alias("day", "d")).where("d is not null").select("route_id", F.col("day").cast("long").alias("day"), "d.scheduled", "d.ran")
+
+
+@query(f"SELECT service_date, route_id, trips, observations, row_number() OVER (PARTITION BY service_date ORDER BY trips DESC, observations DESC, route_id) AS place FROM (SELECT service_date, route_id, count(DISTINCT trip_id) AS trips, count(*) AS observations FROM fresh GROUP BY ALL)")
+def busiest_first(spark, sf_dir):
+    return o.busiest_first(o.route_stats(fx.observed(spark, sf_dir))).select("service_date", "route_id", "trips", "observations", F.col("place").cast("long"))
+
+
+# ---- columns
+@alone("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS day FROM orders")
+def parse_service_date(spark, sf_dir):
+    text = F.date_format("o_orderdate", "yyyyMMdd")
+    own = fx.table(spark, sf_dir, "orders").withColumn("text", F.when(F.col("o_orderkey") % 3 == 2, F.concat(text, F.lit("x"))).otherwise(text))
+    return own.select("o_orderkey", c.parse_service_date(F.col("text")).alias("day"))
+
+
+_CLOCK = "printf('%d:%02d:%02d', h, l_partkey % 60, l_suppkey % 60)"
+
+
+def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of a timetable, up to 28 o'clock; one in seven is no time."""
+    own = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey").distinct()
+    text = F.format_string("%d:%02d:%02d", F.col("l_orderkey") % 29, F.col("l_partkey") % 60, F.col("l_suppkey") % 60)
+    return own.withColumn("text", F.when(F.col("l_partkey") % 7 == 0, "soon").otherwise(text))
+
+
+_SECONDS = "CASE WHEN l_partkey % 7 <> 0 THEN l_orderkey % 29 * 3600 + l_partkey % 60 * 60 + l_suppkey % 60 END"
+_LINES = "SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey FROM lineitem"
+
+
+@alone(f"SELECT l_orderkey, l_linenumber, l_partkey, ({_SECONDS})::BIGINT AS s FROM ({_LINES})")
+def gtfs_seconds(spark, sf_dir):
+    return _clock(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", c.schedule_seconds(F.col("text")).cast("long").alias("s"))
+
+
+@alone(f"SELECT l_orderkey, l_linenumber, l_partkey, epoch(timezone('America/Los_Angeles', l_shipdate::DATE::TIMESTAMP))::BIGINT + ({_SECONDS})::BIGINT AS s FROM ({_LINES})")
+def scheduled_ts(spark, sf_dir):
+    return _clock(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.unix_seconds(c.scheduled_ts(F.col("l_shipdate").cast("date"), F.col("text"))).alias("s"))
+
+
+@alone("SELECT event_id, (timezone('America/Los_Angeles', timezone('UTC', ts)) - INTERVAL 4 HOUR)::DATE AS day FROM events")
+def service_date_of(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select("event_id", c.service_date_of(F.col("ts").cast("timestamp")).alias("day"))
+
+
+@alone("SELECT o_orderkey, regexp_replace(o_orderpriority || '/' || o_orderstatus, '[^A-Za-z0-9_-]', '_', 'g') AS key FROM orders")
+def sanitize_route_key(spark, sf_dir):
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", c.sanitize_key(F.concat_ws("/", "o_orderpriority", "o_orderstatus")).alias("key"))

@@ -408,7 +408,7 @@ def _derived_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _route_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored daily statistics, from which report cards are made."""
-    return fx.stored_table(spark, sf_dir, "route-days", lambda: _derived_days(spark, sf_dir).repartitionByRange("service_date", "route_id"))
+    return fx.stored_table(spark, sf_dir, "route-days", ["orders", "lineitem"], lambda: _derived_days(spark, sf_dir).repartitionByRange("service_date", "route_id"))
 
 
 @query(_ROUTE_DAYS + " SELECT * FROM rd")
@@ -478,9 +478,9 @@ def screenline_runs(spark, sf_dir):
     return _screen(spark, sf_dir).drop("scheduled_arrival", "actual_arrival").withColumn("scheduled_headway_min", c.rounded(F.col("scheduled_headway_min"), 3))
 
 
-@query(_GAPS + f" SELECT service_date, route_id, direction_id, trip_id, day_type, time_band, {r('headway_min', 3)} AS headway_min, missed_slots, {r('usual_min', 3)} AS usual_min FROM gp")
+@query(_GAPS + f" SELECT service_date, route_id, direction_id, trip_id, day_type, time_band, {r('headway_min', 3)} AS headway_min, missed_slots, {r('usual_min', 3)} AS usual_min, {r('headway_s / usual_s::DOUBLE', 3)} AS usual_ratio FROM gp")
 def screenline_intervals(spark, sf_dir):
-    return screenline.intervals(_screen(spark, sf_dir)).drop("hour", "headway_s", "usual_s").withColumns({x: c.rounded(F.col(x), 3) for x in ("headway_min", "usual_min")})
+    return screenline.intervals(_screen(spark, sf_dir)).drop("hour", "headway_s", "usual_s").withColumns({x: c.rounded(F.col(x), 3) for x in ("headway_min", "usual_min", "usual_ratio")})
 
 
 def _part(x: str) -> str:

@@ -51,3 +51,16 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     _, where, fs = _hadoop(spark, path)
     fs.delete(where, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file of a table (a file or a folder of files)."""
+    _, where, fs = _hadoop(spark, path)
+    if not fs.exists(where):
+        return []
+    found, each = [], fs.listFiles(where, True)
+    while each.hasNext():
+        x = each.next()
+        if not x.getPath().getName().startswith(("_", ".")):
+            found.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return sorted(found)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 from zoneinfo import ZoneInfo
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.columns import TZ, sanitize_key
+from punctual.sources.files import read_text, swap_text
 
 
 def append_finalized(rows: DataFrame, path: str) -> None:
@@ -29,31 +31,39 @@ def overwrite_service_dates(rows: DataFrame, path: str, today: dt.date | None =
     rows.sortWithinPartitions("route_id", "trip_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(path)
 
 
-def _value(spark: SparkSession, path: str, column: str):
-    """The greatest value of a small published table; None if it isn't there yet."""
-    try:
-        return spark.read.parquet(path).agg(F.max(column)).first()[0]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+def _index(spark: SparkSession, path: str) -> dict:
+    text = read_text(spark, f"{path}/index.json")
+    return json.loads(text) if text else {"latest": None, "versions": {}}
 
 
 def publish_rollup(rows: DataFrame, path: str, day: dt.date) -> bool:
-    """Writes the dated archive of rows, keeps the index of dates, and moves `latest` if day is not before it; says whether it did.
+    """Writes rows as a version of a date that never changes, then replaces the index, which names the version of each date and the latest date; says whether `latest` is now day.
 
-    Publishing a date again replaces it. path holds archive/rollup_date=..., latest and index (dates, newest first).
+    A date before the latest one is published without moving it; a date that is published again gets a new version. Readers of the index find a
+    whole version at any time, also if this fails half way. The index has a line a date.
     """
-    spark = rows.sparkSession
-    dated = rows.withColumn("rollup_date", F.lit(day))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rollup_date").parquet(f"{path}/archive")
-    dates = spark.read.parquet(f"{path}/archive").select("rollup_date").distinct().orderBy(F.desc("rollup_date"))
-    dates.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")  # a row a date
-    current = _value(spark, f"{path}/latest", "rollup_date")
-    if current is not None and day < current:
-        return False
-    dated.write.mode("overwrite").parquet(f"{path}/latest")
-    return True
+    spark, path = rows.sparkSession, path.rstrip("/")
+    version = f"archive/rollup_date={day}/version={uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{version}")
+    index = _index(spark, path)
+    moved = index["latest"] is None or day.isoformat() >= index["latest"]
+    versions = dict(sorted((index["versions"] | {day.isoformat(): version}).items(), reverse=True))
+    swap_text(spark, f"{path}/index.json", json.dumps({"latest": day.isoformat() if moved else index["latest"], "versions": versions}, indent=0))
+    return moved
+
+
+def published_days(spark: SparkSession, path: str) -> list[str]:
+    """Published dates, newest first."""
+    return list(_index(spark, path)["versions"])
+
+
+def read_published(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The rows of a published date, or of the latest."""
+    index = _index(spark, path)
+    version = index["versions"].get(day or index["latest"])
+    if version is None:
+        raise ValueError(f"nothing is published for {day or 'any date'}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
 def processed_routes(shapes: DataFrame, stops: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
