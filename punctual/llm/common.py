@@ -94,9 +94,10 @@ def left_join_hot(rows: DataFrame, side: DataFrame, key: str, *dealt_by: str) ->
     """
     if is_small(side):
         return rows.join(F.broadcast(side), key, "left")
-    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(*dealt_by), F.lit(WAYS)))
-    ways = side.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
-    return dealt.join(ways, [key, "_way"], "left").drop("_way")
+    way = f"way_{uuid.uuid4().hex}"  # a name that rows don't have
+    dealt = rows.withColumn(way, F.pmod(F.xxhash64(*dealt_by), F.lit(WAYS)))
+    ways = side.withColumn(way, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
+    return dealt.join(ways, [key, way], "left").drop(way)
 
 
 def join_dealt(rows: DataFrame, side: DataFrame, key: str, weights: DataFrame, dealt_by: str, how: str = "inner") -> DataFrame:

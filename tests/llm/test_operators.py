@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -497,7 +498,8 @@ def test_pii_terms_against_counts(spark, docs, rows):
     telling = set()
     for (v, t), both in together.items():
         rate = values[v] / n
-        if rate < 1 and math.log((both + pii.PRIOR * rate) / (held[t] + pii.PRIOR) / rate) / -math.log(rate) >= pii.DISCLOSURE:
+        share = (both + pii.PRIOR * rate) / (held[t] + pii.PRIOR)
+        if rate < 1 and share >= pii.GIVEN and math.log(share / rate) / -math.log(rate) >= pii.DISCLOSURE:
             telling.add(t)
     got = Counter((x.doc_id, tuple(s for s in x.spans.split(",") if s.startswith("term"))) for x in pii.digest(docs).collect())
     want = Counter()
@@ -508,6 +510,37 @@ def test_pii_terms_against_counts(spark, docs, rows):
     assert got == want
 
 
+def test_pii_in_a_long_list_of_contacts(spark):
+    """20,000 addresses and 50,000 words in one document: no table of both, and no walk that grows with their product; a second list shares half of them."""
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:06}")
+    words = [f"w{name(k)}" for k in range(50_000)]
+    mail = [f"x{name(k)}@mail.org" for k in range(20_000)]
+    text = " ".join(x for k in range(50_000) for x in ([mail[k]] if k < 20_000 else []) + [words[k]])
+    own = [(0, text), (1, " ".join(mail[:10_000])), *[(k, "reach them by letter before noon please now") for k in range(2, 2000)]]
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in pii.digest(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[0].n_email == 20_000 and got[1].n_email == 10_000
+    spans = [s.split(":") for s in got[0].spans.split(",")]
+    assert [text[int(a) : int(b)] for k, a, b in spans if k == "term"] == words and [text[int(a) : int(b)] for k, a, b in spans if k == "email"] == mail
+    assert "term" not in got[1].spans and got[5].spans == ""
+
+
+def test_pii_names_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    own = spark.createDataFrame([(1, "call quuxley at q.x@mail.org", 1, 2, 3)] + [(k, "nothing here", 1, 2, 3) for k in range(2, 2000)], "doc_id long, text string, _way int, _hot int, h int")
+    got = pii.redacted(own)
+    assert got.columns == own.columns and got.where("doc_id = 1").first().text == "call  at <EMAIL>"
+
+
+def test_pii_struck_share_does_not_grow(spark):
+    """Ordinary words of whom one of several documents holds an address stay, however many documents there are."""
+    for n in (300, 6000):
+        own = [(0, "zorblat meets mail@some.org"), (1, "zorblat meets nobody"), *[(k, "reach them by letter before noon please now") for k in range(2, n)]]
+        found = pii.disclosing_terms(spark.createDataFrame(own, "doc_id long, text string"))
+        assert {x.term for x in found.collect()} <= {"some", "mail", "org"}
+
+
 def test_warc_repeated_ids_and_cut_records(spark, tmp_path):
     pages = spark.createDataFrame([(5, "u", "AAAA"), (5, "u", "unique payload"), (5, "u", "CC"), (1, "u", "AAAA"), (2, "u", "CC")], "page_id long, url string, html string")
     path = new_path(spark, "warc")
