@@ -14,6 +14,7 @@ searched for one part after the other, so that documents are read once and the n
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -256,6 +257,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that are not contaminated, with all their columns. The verdict on a row goes by its id and text, also where ids are null or repeated."""
     found = _verdicts(_hits(docs, benchmark, window, id_col, text_col, "item_id", "text")).where("contaminated")
-    gone = stored(found.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "contaminated")
-    same = F.col("_gone_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("_gone_h") == _text_key(text_col))
+    mark = uuid.uuid4().hex  # names that docs doesn't have
+    gone = stored(found.select(F.col("id").alias(f"id_{mark}"), F.col("h").alias(f"h_{mark}")).distinct(), "contaminated")
+    same = F.col(f"id_{mark}").eqNullSafe(F.col(id_col).cast("long")) & (F.col(f"h_{mark}") == _text_key(text_col))
     return docs.join(small_side(gone), same, "left_anti")

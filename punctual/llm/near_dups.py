@@ -18,6 +18,7 @@ merged group change no result. All links are confirmed on full sets.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -390,12 +391,14 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     found = stored(found.where("group is not null").select("id", "h", "group"), "in-groups")
     first = found.groupBy("group").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("_w"))
     marked = join_dealt(found, first.drop("_w"), "group", first.select("group", "_w"), "id").select("id", "h", (F.struct("id", "h") == F.col("first")).alias("stays"))
-    marked = stored(marked.groupBy("id", "h").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("stays").alias("_gone_stays")), "gone")
-    here = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("_gone_id")) & (_text_key(text_col) == F.col("_gone_h"))
-    left = docs.join(small_side(marked.drop("_gone_stays")), here, "left_anti")
-    again = marked.where("_gone_stays").drop("_gone_stays")
+    mark = uuid.uuid4().hex  # names that docs doesn't have
+    gone, text, stays = (f"{x}_{mark}" for x in ("id", "h", "stays"))
+    marked = stored(marked.groupBy("id", "h").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(F.col("id").alias(gone), F.col("h").alias(text), F.col("stays").alias(stays)), "gone")
+    here = (F.coalesce(F.col(id_col).cast("long"), last) == F.col(gone)) & (_text_key(text_col) == F.col(text))
+    left = docs.join(small_side(marked.drop(stays)), here, "left_anti")
+    again = marked.where(stays).drop(stays)
     if again.isEmpty():
         return left
     row = F.struct(*docs.columns)
-    one = docs.join(small_side(again), here).groupBy("_gone_id", "_gone_h").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    one = docs.join(small_side(again), here).groupBy(gone, text).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return left.unionByName(one.select("row.*"))

@@ -400,6 +400,8 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
 def filtered(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs that judged() keeps, with all their columns, row by row: the verdict on a row goes by its id, language and text, also where ids are null or repeated."""
     found = _judged(docs, trusted_ids, QUANTILE, ALLOWANCE, id_col, text_col, lang_col)
-    gone = stored(found.where("not kept").select(F.col(id_col).alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("lang").alias("_gone_lang")).distinct(), "rejected")
-    same = F.col("_gone_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("_gone_h") == _text_key(text_col)) & F.col("_gone_lang").eqNullSafe(F.col(lang_col))
+    mark = uuid.uuid4().hex  # names that docs doesn't have
+    keys = [f"{x}_{mark}" for x in ("id", "h", "lang")]
+    gone = stored(found.where("not kept").select(*[F.col(x).alias(k) for x, k in zip((id_col, "h", "lang"), keys, strict=True)]).distinct(), "rejected")
+    same = F.col(keys[0]).eqNullSafe(F.col(id_col).cast("long")) & (F.col(keys[1]) == _text_key(text_col)) & F.col(keys[2]).eqNullSafe(F.col(lang_col))
     return docs.join(small_side(gone), same, "left_anti")

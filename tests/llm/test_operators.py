@@ -530,7 +530,18 @@ def test_pii_names_of_columns(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     own = spark.createDataFrame([(1, "call quuxley at q.x@mail.org", 1, 2, 3)] + [(k, "nothing here", 1, 2, 3) for k in range(2, 2000)], "doc_id long, text string, _way int, _hot int, h int")
     got = pii.redacted(own)
-    assert got.columns == own.columns and got.where("doc_id = 1").first().text == "call  at <EMAIL>"
+    assert got.columns == own.columns and got.where("doc_id = 1").first().text == "  at <EMAIL>"
+
+
+def test_filters_keep_names_of_columns(spark):
+    """Columns of any name pass the filters, small sides or not."""
+    texts = ["the quick brown fox jumps over the lazy dog near the river bank today", "the quick brown fox jumps over the lazy dog near the river bank today", None, "something else that nobody has ever said before in this town at all"]
+    own = spark.createDataFrame([(k, t, "en", 1, 2, 3) for k, t in enumerate(texts)], "doc_id long, text string, lang string, _gone_id int, _gone_h int, h int")
+    bench = spark.createDataFrame([("i", texts[3])], "item_id string, text string")
+    got = decontaminate.cleaned(near_dups.deduplicated(own), bench)
+    assert got.columns == own.columns and sorted(x.doc_id for x in got.collect()) == [0, 2]
+    kept = quality_model.filtered(own, own.select("doc_id").where("doc_id < 2"))
+    assert kept.columns == own.columns and 2 not in {x.doc_id for x in kept.collect()}
 
 
 def test_pii_struck_share_does_not_grow(spark):
