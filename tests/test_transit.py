@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
 from punctual.operators import feeds, reportcard, schedule, trips, waits
-from punctual.plans import backfill, more_queries, queries
+from punctual.plans import backfill, live_queries, more_queries, queries
 from punctual.sources import schedule_files, sinks
 from punctual.sources.day_store import DayStore
 from punctual.streaming import live
 
 SF = "/root/testdata/sf0.001"
-assert more_queries.QUERIES is queries.QUERIES  # one table of queries
+assert more_queries.QUERIES is queries.QUERIES and live_queries.live_trips in queries.QUERIES.values()  # one table of queries
 
 
 def one(spark, column):
@@ -157,9 +157,6 @@ def test_sinks(spark, tmp_path):
         sinks.overwrite_service_dates(rows(2), str(tmp_path / "obs"), today=dt.date(2026, 1, 2))
     sinks.overwrite_service_dates(rows(2), str(tmp_path / "obs"), today=dt.date(2026, 1, 2), force=True)
     assert spark.read.parquet(str(tmp_path / "obs")).count() == 3
-    moved = [sinks.publish_rollup(rows(d), str(tmp_path / "roll"), dt.date(2026, 1, d)) for d in (2, 1, 3, 3)]
-    assert moved == [True, False, True, True]
-    assert [x[0].day for x in spark.read.parquet(str(tmp_path / "roll/index")).collect()] == [3, 2, 1] and spark.read.parquet(str(tmp_path / "roll/latest")).first().trip_id == "t3"
     sinks.write_per_route(rows(1), str(tmp_path / "per"))
     assert (tmp_path / "per" / "route_key=1_A").exists()
 
