@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
@@ -104,10 +104,9 @@ def trips_not_completed(plan: DataFrame, obs: DataFrame) -> DataFrame:
 def completion_distribution(cut_short: DataFrame) -> DataFrame:
     """By day: trips cut short, quantiles of how far they came, and how many came to each tenth."""
     counts = cut_short.groupBy("service_date").agg(F.count("*").alias("trips"), *[F.count_if(F.col("bucket") == k).alias(f"bucket_{k}") for k in range(10)])
-    out = counts
-    for p in (5, 25, 50, 75, 95):
-        out = out.join(floor_percentile(cut_short, ["service_date"], "pct", p / 100).select("service_date", c.rounded(F.col("pct"), 1).alias(f"p{p}_pct")), "service_date")
-    return out
+    shares = {f"p{p}_pct": p / 100 for p in (5, 25, 50, 75, 95)}
+    at = floor_percentiles(cut_short, ["service_date"], "pct", shares)
+    return counts.join(at.withColumns({x: c.rounded(F.col(x), 1) for x in shares}), "service_date")
 
 
 def distortion(plan: DataFrame, obs: DataFrame) -> DataFrame:
@@ -124,13 +123,22 @@ def distortion_histogram(distorted: DataFrame) -> DataFrame:
     return distorted.groupBy("route_id", c.distortion_bucket(F.col("percent")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def floor_percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The value at index min(int(n p), n - 1) of each sorted group. Equal values are counted before they move, so a group is as large as its distinct values."""
+def floor_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each named share p the value at index min(int(n p), n - 1) of the sorted group. Equal values are counted before they move, so a group is as large as its distinct values."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     own = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
-    at = F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1)
-    return own.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, value)
+
+    def at(p: float) -> Column:
+        index = F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1)
+        return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col(value)))
+
+    return own.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+
+
+def floor_percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+    """floor_percentiles() at one share, as a column named as the value is."""
+    return floor_percentiles(rows, keys, value, {value: p})
 
 
 def completion_rollup(obs: DataFrame, periods: Column) -> DataFrame:
@@ -187,7 +195,12 @@ def unscheduled_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
 def schedule_obs_merge(plan: DataFrame, obs: DataFrame) -> DataFrame:
     """Each planned stop with its observation, if any, and whether its trip was observed anywhere. A key that either side repeats is an error."""
     key = [*TRIP, "stop_sequence", "stop_id"]
-    checked = lambda df: df.withColumn("_copies", F.count("*").over(Window.partitionBy(*key))).withColumn("_ok", F.when(F.col("_copies") > 1, F.raise_error(F.lit("a planned stop or its observation is repeated"))).otherwise(True))
-    seen = checked(obs).where("_ok").select(*key, "vehicle_id", "actual_arrival", "delay_seconds", "is_stale")
-    own = checked(plan).where("_ok").drop("_copies", "_ok").join(seen, key, "left")
+
+    def once(df: DataFrame, rest: list[str]) -> DataFrame:
+        """df by key, which is also how it is joined."""
+        own = df.groupBy(*key).agg(F.count("*").alias("_copies"), *[F.first(x).alias(x) for x in rest])
+        return own.where(F.when(F.col("_copies") > 1, F.raise_error(F.lit("a planned stop or its observation is repeated"))).otherwise(True)).drop("_copies")
+
+    seen = once(obs, ["vehicle_id", "actual_arrival", "delay_seconds", "is_stale"])
+    own = once(plan, [x for x in plan.columns if x not in key]).join(seen, key, "left")
     return own.withColumn("trip_observed", F.count("actual_arrival").over(Window.partitionBy(*TRIP)) > 0)
