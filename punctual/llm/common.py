@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +24,19 @@ WAYS = 32
 _TABLES: dict[Hashable, object] = {}
 
 
+def _give_back() -> None:
+    """Memory that this worker has freed goes back to the system at once, where the C library and Arrow can do so; else it would count on top of the next operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_table(key: Hashable, make: Callable[[], object]):
     """A Python worker's large table, made once and kept for its later tasks; a worker keeps one at a time."""
     if key not in _TABLES:
         _TABLES.clear()
+        _give_back()
         _TABLES[key] = make()
     return _TABLES[key]
 
@@ -31,6 +44,7 @@ def worker_table(key: Hashable, make: Callable[[], object]):
 def free_worker_tables() -> None:
     """For tasks that need no table: what another operator left in the worker makes room."""
     _TABLES.clear()
+    _give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
