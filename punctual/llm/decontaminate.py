@@ -8,13 +8,15 @@ order, the Burrows-Wheeler text in a wavelet matrix, and sampled suffix position
 All phrases are searched backwards at once through its ranks, occurrences are located
 by walking to a sampled position, and their spans are merged.
 
-A benchmark is a stated query set. It is cut to parts bounded in items and bytes, each of which is broadcast; every shard is
-searched for one part after the other, so that documents are read once and the number of parts changes no result.
+A benchmark is a stated query set. It is cut to parts bounded in items and bytes, of which PARTS_AT_ONCE are broadcast; every shard is
+searched for one of them after the other. A larger benchmark takes several passes over the documents: each pass's hits are stored and
+its parts are given up before the next, so what a worker holds doesn't grow with the benchmark, and the number of parts changes no result.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.common import free_worker_tables, small_side, stored
+from punctual.llm.common import drop_stored, free_worker_tables, small_side, stored
 
 WINDOW = 13
 #: Benchmark items, and bytes of their texts, that are broadcast as one part; a longer item is a part by itself.
 ITEMS_A_PASS, BYTES_A_PASS = 50_000, 4_000_000
+#: Parts that stand broadcast at once.
+PARTS_AT_ONCE = 2
 _SHARD, _SAMPLE = 1_000_000, 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -188,6 +192,16 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+_HITS = "id long, h long, n_words long, spans array<array<bigint>>, items array<string>"
+
+
+def _joined(batches):
+    """A mapInArrow function over hits whose spans and items come from several passes: each list in order, spans that overlap or touch made one."""
+    for batch in batches:
+        merged, items = [_union(x) for x in batch.column(3).to_pylist()], [sorted(set(x)) for x in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
+
+
 def _search(parts: list):
     """A mapInArrow function over (id, h, text): per document n_words, the merged hit spans as word positions, and the items. parts: broadcast phrases."""
 
@@ -223,11 +237,34 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_
     asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null")
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_parts = max(1, -(-n // ITEMS_A_PASS), -(-size // BYTES_A_PASS))
-    parts = []
-    for k in range(n_parts):
-        own = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)) == k) if n_parts > 1 else asked
-        parts.append(docs.sparkSession.sparkContext.broadcast(Phrases([(x.item, x.text) for x in own.collect()], window)))
-    return docs.mapInArrow(_search(parts), "id long, h long, n_words long, spans array<array<bigint>>, items array<string>")
+    if n_parts > PARTS_AT_ONCE:
+        asked = stored(asked, "benchmark")
+
+    def searched(first: int) -> tuple[DataFrame, list]:
+        """The hits of PARTS_AT_ONCE parts from the first on, and these parts."""
+        parts = []
+        for k in range(first, min(first + PARTS_AT_ONCE, n_parts)):
+            own = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_parts)) == k) if n_parts > 1 else asked
+            parts.append(docs.sparkSession.sparkContext.broadcast(Phrases([(x.item, x.text) for x in own.collect()], window)))
+        return docs.mapInArrow(_search(parts), _HITS), parts
+
+    if n_parts <= PARTS_AT_ONCE:
+        return searched(0)[0]
+    passes = []
+    for first in range(0, n_parts, PARTS_AT_ONCE):
+        found, parts = searched(first)
+        passes.append(stored(found if not first else found.where(F.size("items") > 0).distinct(), "hits"))  # all rows stand in the first
+        for x in parts:
+            x.destroy()
+    drop_stored(asked)
+    more = reduce(DataFrame.unionByName, passes[1:]).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h"))  # a row a pass at most
+    more = stored(more.agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items")), "more-hits")
+    for x in passes[1:]:
+        drop_stored(x)
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    none = F.array()
+    both = passes[0].join(small_side(more), same, "left").select("id", "h", "n_words", F.concat("spans", F.coalesce("_spans", none)).alias("spans"), F.concat("items", F.coalesce("_items", none)).alias("items"))
+    return both.mapInArrow(_joined, _HITS)
 
 
 def _text_key(text_col: str):

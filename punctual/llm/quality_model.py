@@ -3,7 +3,7 @@
 The model is over characters of order ORDER: a-z with accents taken off, digit, space, line end, mark, other sign, and
 letters of all other scripts by their place in a row of 32, so that an alphabet's letters stay apart. A language with
 LEAST trusted documents or more has a model and a threshold of its own; documents of the other languages share one model,
-of all trusted text, and the threshold of these languages together.
+of all trusted text. The threshold of each is drawn to that of these languages together, the less the more held-out documents it has.
 
 Texts are first packed into blocks of about BLOCK characters, each of one model. Tasks count a block's distinct n-grams
 and deal them to shards by the two classes before the last. All orders from the third on of such an n-gram are in its shard, so
@@ -11,7 +11,7 @@ counts are joined there, and a shard answers what blocks ask of it; what the two
 table of 4,096 entries a model. A shard's counts are merged in steps of at most FAN rows, and what is asked of it is
 dealt to ways of about FAN blocks, so that no task holds more than its share whatever the size of the corpus.
 One trusted document in CALIBRATION is not learnt from. A document is rejected if its perplexity is beyond the
-quantile of these held-out documents of its model, with an allowance for sampling errors.
+quantile of these held-out documents of its language, with an allowance for sampling errors.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ LEAST = 100
 QUANTILE, ALLOWANCE = 0.995, 2.0
 #: The threshold from m held-out documents may be exceeded by the factor exp(SPREAD / sqrt(m)).
 SPREAD = 1.0
+#: Held-out documents that the quantile of a model weighs in that of each of its languages.
+POOL_WEIGHT = 20
 _BITS, _LOWEST = 6, 2
 _MARKS = ".,;:!?'\"()-‘’“”«»¡¿"
 _ALL = "all"
@@ -379,8 +381,12 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float, allowance:
     scores = stored(_scored(blocks, _answered(blocks, shards, low, ways)), "scores")
     for x in (blocks, shards, low):
         drop_stored(x)
-    limits = scores.where("nll is not null and role = 2").groupBy("model").agg((F.percentile_approx("nll", quantile, 10_000) + SPREAD / F.sqrt(F.count("*"))).alias("limit"))
-    out = scores.join(small_side(stored(limits, "limits")), "model", "left")
+    apart, upper = scores.where("nll is not null and role = 2"), F.percentile_approx("nll", quantile, 10_000)
+    pools = apart.groupBy("model").agg(upper.alias("pool"), F.count("*").alias("m"))
+    owns = apart.where("lang is not null").groupBy("model", "lang").agg(upper.alias("own"), F.count("*").alias("n"))
+    out = scores.join(small_side(stored(pools, "limits")), "model", "left").join(small_side(stored(owns, "language-limits")), ["model", "lang"], "left")
+    shrunk = (F.col("n") * F.col("own") + POOL_WEIGHT * F.col("pool")) / (F.col("n") + POOL_WEIGHT)
+    out = out.withColumn("limit", F.coalesce(shrunk, F.col("pool")) + SPREAD / F.sqrt("m"))
     kept = F.when(F.col("n_chars") == 0, False).otherwise(F.coalesce(F.col("nll") <= F.col("limit") + F.lit(allowance) / F.sqrt("n_chars"), F.lit(True)))
     return out.select(F.col("id").alias(id_col), "h", "lang", "n_chars", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
 
@@ -389,8 +395,8 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     """id_col, lang, n_chars, perplexity, threshold, kept for each row of docs.
 
     trusted_ids: id_col of the documents to learn from and to set thresholds by. Ids are whole numbers; others count as null. Languages with
-    fewer than LEAST trusted documents, and a null language, are judged together, by the model of all trusted text. Texts without a
-    character have no perplexity and are rejected. Where a model has no held-out trusted document there is no threshold: its documents
+    fewer than LEAST trusted documents, and a null language, are scored by the model of all trusted text; each has its own quantile, shrunk to that of all of
+    them by POOL_WEIGHT held-out documents, and those without any, or null, have that of all. Texts without a character have no perplexity and are rejected. Where a model has no held-out trusted document there is no threshold: its documents
     are kept. Without any trusted text all n-grams are alike. Extra columns are ignored; repeated rows give a row each; a
     null id is scored, but never trusted. Log probabilities are rounded to 1/65,535 of the largest of a block's shard.
     """

@@ -179,20 +179,56 @@ def test_quality_model(spark, docs, rows, monkeypatch, least, fan):
                         known[g] = -math.log(p(g))
                 nll[d] = sum(map(known.__getitem__, grams)) / len(t)
                 assert math.isclose(math.log(got[d].perplexity), nll[d], abs_tol=3e-4), d
+    upper = lambda x: x[math.ceil(quality_model.QUANTILE * len(x)) - 1]
     for model in set(model_of.values()):
-        own = sorted(math.log(got[d].perplexity) for d in apart if d in got and model_of[d] == model)
-        for d in (d for d in got if model_of[d] == model and langs[d]):
-            assert (got[d].threshold is None) == (not own)
-            if own:
-                limit = own[math.ceil(quality_model.QUANTILE * len(own)) - 1] + quality_model.SPREAD / math.sqrt(len(own))
+        apart_of = defaultdict(list)
+        for d in apart & set(got):
+            if model_of[d] == model:
+                apart_of[langs[d]].append(math.log(got[d].perplexity))
+        pool = sorted(x for own in apart_of.values() for x in own)
+        for d in (d for d in got if model_of[d] == model):
+            assert (got[d].threshold is None) == (not pool)
+            if pool:
+                own, weight = sorted(apart_of.get(langs[d], []) if langs[d] else []), quality_model.POOL_WEIGHT
+                limit = (len(own) * upper(own) + weight * upper(pool)) / (len(own) + weight) if own else upper(pool)
+                limit += quality_model.SPREAD / math.sqrt(len(pool))
                 assert math.isclose(math.log(got[d].threshold), limit, abs_tol=1e-6)
-                assert got[d].kept == (math.log(got[d].perplexity) <= limit + quality_model.ALLOWANCE / math.sqrt(got[d].n_chars))
+                if got[d].n_chars:
+                    assert got[d].kept == (math.log(got[d].perplexity) <= limit + quality_model.ALLOWANCE / math.sqrt(got[d].n_chars))
     assert not got[10_000].kept and not got[10_001].kept and got[10_000].perplexity is None
     judged = [(got[x.doc_id].kept, x.quality) for x in labels.collect() if x.doc_id in got]
     assert sum(k for k, q in judged if q) >= 0.97 * sum(q for _, q in judged)
     assert sum(not k for k, q in judged if not q) >= (0.5 if many else 0.3) * sum(not q for _, q in judged)
 
 
+def test_quality_thresholds_by_language(spark):
+    """Languages of 3, 30 and 300 trusted documents, one without any and rows without one: the fewer held-out documents, the nearer the threshold of all."""
+    import random
+
+    draw, letters = random.Random(11), {"a": "aeio", "b": "bcdfghkl", "c": "mnprstvwxzaeiou", "d": "uy"}
+    rows, trusted = [], []
+    for lang, n in (("a", 3), ("b", 30), ("c", 300), ("d", 0), (None, 0)):
+        for k in range(max(n, 5)):
+            rows.append((len(rows), "".join(draw.choice(letters[lang or "c"] + " ") for _ in range(200)), lang))
+            if k < n:
+                trusted.append((rows[-1][0],))
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame(trusted, "doc_id long")
+    found = quality_model.judged(own, good).collect()
+    limit = {x.lang: x.threshold for x in found}
+    assert len(found) == len(rows) and limit["d"] == limit[None]
+    apart = {x.doc_id for x in good.where(quality_model.held_out("doc_id")).collect()}
+    shared = [x for x in found if x.doc_id in apart and x.lang in ("a", "b")]
+    pool = max(math.log(x.perplexity) for x in shared)
+    for lang in "ab":
+        own_nll = [math.log(x.perplexity) for x in shared if x.lang == lang]
+        expected = pool if not own_nll else (len(own_nll) * max(own_nll) + quality_model.POOL_WEIGHT * pool) / (len(own_nll) + quality_model.POOL_WEIGHT)
+        assert math.isclose(math.log(limit[lang]), expected + quality_model.SPREAD / math.sqrt(len(shared)), abs_tol=1e-6)
+    large = sorted(math.log(x.perplexity) for x in found if x.doc_id in apart and x.lang == "c")
+    assert math.isclose(math.log(limit["c"]), large[math.ceil(quality_model.QUANTILE * len(large)) - 1] + quality_model.SPREAD / math.sqrt(len(large)), abs_tol=1e-6)
+    assert all(x.kept for x in found if (x.doc_id,) in set(trusted))
+
+
 def test_quality_model_without_rows(docs, spark):
     trusted = docs.select("doc_id").where("doc_id < 200")
     assert quality_model.judged(_empty(docs), trusted).count() == 0
@@ -437,8 +473,9 @@ def test_decontamination(spark, docs, rows, monkeypatch):
         w = decontaminate.words(text)
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(str(item))
-    for a_pass in (50_000, 9):
+    for a_pass, at_once in ((50_000, 4), (9, 1000), (-(-bench.count() // 10), 3)):  # one part; many at once; ten, three at once
         monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", a_pass)
+        monkeypatch.setattr(decontaminate, "PARTS_AT_ONCE", at_once)
         found = decontaminate.judged(docs, bench).collect()
         assert len(found) == len(rows)
         got = {x.doc_id: x for x in found}
@@ -463,8 +500,9 @@ def test_decontamination_goes_by_row(spark, monkeypatch):
     rows = [(1, line), (1, "clean"), (None, line), (None, "clean"), (None, "clean"), (2, line), (2, line), (3, None)]
     own = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "spans": F.lit(2)})
     bench = spark.createDataFrame([("a", line), ("b", "other words"), ("c", line + " more")], "item_id string, text string")
-    for a_pass in (50_000, 1):
+    for a_pass, at_once in ((50_000, 4), (1, 4), (1, 1)):
         monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", a_pass)
+        monkeypatch.setattr(decontaminate, "PARTS_AT_ONCE", at_once)
         assert sorted(tuple(x) for x in decontaminate.judged(own, bench).select(F.coalesce("doc_id", F.lit(0)), "n_hit", "n_items").collect()) == [(0, 0, 0), (0, 0, 0), (0, 20, 2), (1, 0, 0), (1, 20, 2), (2, 20, 2), (2, 20, 2), (3, 0, 0)]
         left = decontaminate.cleaned(own, bench)
         assert left.columns == own.columns and sorted(str((x.doc_id, x.text)) for x in left.collect()) == sorted(["(1, 'clean')", "(None, 'clean')", "(None, 'clean')", "(3, None)"])
