@@ -48,25 +48,24 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *TIES, "l_returnflag", "l_linestatus", "l_discount", "l_shipdate")
-    own = lines.join(_trips(table(spark, sf_dir, "orders")), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Observations as they came. What a row alone tells is worked out before the join, which is on the trip's id, so that its shuffle also serves windows by trip."""
     delay = F.when(~((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")), F.floor("l_extendedprice").cast("long") % 1200 - 200)
-    own = own.withColumns({"stop_sequence": F.col("l_linenumber").cast("long"), "delay_seconds": delay, "is_stale": F.col("l_discount") >= 0.095, "ingested_at": F.col("l_shipdate")})
-    own = own.withColumns({"stop_id": F.concat(F.lit("S"), F.col("stop_sequence")), "scheduled_arrival": _scheduled("l_orderkey", "stop_sequence")})
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("trip_id"), F.col("l_linenumber").cast("long").alias("stop_sequence"), delay.alias("delay_seconds"), (F.col("l_discount") >= 0.095).alias("is_stale"), F.col("l_shipdate").alias("ingested_at"), *TIES)
+    own = lines.repartition("trip_id").join(_trips(table(spark, sf_dir, "orders")), "trip_id")
+    own = own.withColumns({"stop_id": F.concat(F.lit("S"), F.col("stop_sequence")), "scheduled_arrival": _scheduled("o_orderkey", "stop_sequence")})
     own = own.withColumn("actual_arrival", c.plus_seconds(F.col("scheduled_arrival"), F.col("delay_seconds")))
     return own.select("service_date", "route_id", "direction_id", "trip_id", "vehicle_id", "stop_sequence", "stop_id", "scheduled_arrival", "actual_arrival", "delay_seconds", "is_stale", "ingested_at", *TIES)
 
 
 def derived_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated observations with legs. One shuffle by trip serves both windows."""
-    raw = raw_observations(spark, sf_dir).repartition("service_date", "trip_id")
-    own = observations.dedup_observations(raw, TIES).drop(*TIES, "ingested_at")
+    """Deduplicated observations with legs. The join's shuffle serves both windows."""
+    own = observations.dedup_observations(raw_observations(spark, sf_dir), TIES).drop(*TIES, "ingested_at")
     return observations.with_legs(own, F.col("stop_sequence") * STOP_M)
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored observations."""
-    return stored_table(spark, sf_dir, "observations", ["orders", "lineitem"], lambda: derived_observations(spark, sf_dir).repartitionByRange("service_date", "route_id", "trip_id"))
+    """The stored observations. Tasks write their part of each date as they stand: a shuffle by date would move every row once more and, to sample its ranges, derive them twice."""
+    return stored_table(spark, sf_dir, "observations", ["orders", "lineitem"], lambda: derived_observations(spark, sf_dir))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:

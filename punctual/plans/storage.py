@@ -51,14 +51,14 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, inputs: list[str],
     known = _STORED.get(key)
     if known is None or not children(spark, known.path):
         own, path = derive(), new_folder(spark, name)
-        own.sortWithinPartitions(*_order(own)).write.partitionBy("service_date").parquet(path)
+        own.sortWithinPartitions("service_date", *_order(own)).write.partitionBy("service_date").parquet(path)
         known = _STORED[key] = Stored(path, own.schema, files)
     elif known.inputs != files:
         own = derive()
         now, before = _marks(own.select(*known.schema.names)), _marks(spark.read.schema(known.schema).parquet(known.path).select(*known.schema.names))
         changed = [d for d, mark in now.items() if before.get(d) != mark]
         if changed:
-            own.where(F.col("service_date").isin(changed)).sortWithinPartitions(*_order(own)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(known.path)
+            own.where(F.col("service_date").isin(changed)).sortWithinPartitions("service_date", *_order(own)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(known.path)
         for day in before.keys() - now.keys():
             delete(spark, f"{known.path}/service_date={day}")
         known.inputs = files
