@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,14 @@ def _speed() -> Column:
     return c.rounded(F.avg(F.when(F.col("leg_avg_speed_mps").between(0, 35), F.col("leg_avg_speed_mps"))) * 2.2369, 1).alias("avg_speed_mph")
 
 
+def _beside(stats: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """stats with the columns of counts, of as many rows: one for each value of `by`, nulls included."""
+    if not by:
+        return counts.crossJoin(stats)  # one row each
+    own = counts.withColumnsRenamed({x: f"_{x}" for x in by})
+    return stats.join(own, reduce(and_, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in by])).drop(*[f"_{x}" for x in by])
+
+
 def system_stats(obs: DataFrame) -> DataFrame:
     """One row. Trips count with any arrival, stale ones too; all else goes by fresh arrivals."""
     own = _system(fresh(obs))
@@ -66,8 +77,10 @@ def period_stats(obs: DataFrame, *by: str) -> DataFrame:
 
 
 def _system(own: DataFrame, *by: str) -> DataFrame:
-    stats = own.groupBy(*by).agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"), *_punctuality(), c.percentiles("delay_seconds", (0.5, 0.95)).alias("_q"), _speed())
-    return _spread_out(stats, (50, 95))
+    """Vehicles are counted on their own: beside quantiles, each vehicle would have a state of these."""
+    stats = own.groupBy(*by).agg(F.count("*").alias("observations"), *_punctuality(), c.percentiles("delay_seconds", (0.5, 0.95)).alias("_q"), _speed())
+    out = _spread_out(_beside(stats, own.groupBy(*by).agg(F.count_distinct("vehicle_id").alias("vehicles")), [*by]), (50, 95))
+    return out.select(*by, "observations", "vehicles", *[x for x in out.columns if x not in (*by, "observations", "vehicles")])
 
 
 def _spread_out(stats: DataFrame, ps: tuple[int, ...]) -> DataFrame:
@@ -76,9 +89,11 @@ def _spread_out(stats: DataFrame, ps: tuple[int, ...]) -> DataFrame:
 
 
 def route_stats(obs: DataFrame) -> DataFrame:
-    ps = (5, 25, 50, 75, 95)
-    own = fresh(obs).groupBy("service_date", "route_id").agg(F.count_distinct("trip_id").alias("trips"), F.count("*").alias("observations"), *_punctuality(), c.percentiles("delay_seconds", tuple(p / 100 for p in ps)).alias("_q"), _speed())
-    return _spread_out(own, ps)
+    """Trips are counted on their own: beside quantiles, each trip would have a state of these."""
+    ps, key, own = (5, 25, 50, 75, 95), ["service_date", "route_id"], fresh(obs)
+    stats = own.groupBy(*key).agg(F.count("*").alias("observations"), *_punctuality(), c.percentiles("delay_seconds", tuple(p / 100 for p in ps)).alias("_q"), _speed())
+    out = _spread_out(_beside(stats, own.groupBy(*key).agg(F.count_distinct("trip_id").alias("trips")), key), ps)
+    return out.select(*key, "trips", *[x for x in out.columns if x not in (*key, "trips")])
 
 
 def busiest_first(stats: DataFrame) -> DataFrame:
@@ -138,16 +153,29 @@ def audit_daily(raw: DataFrame, deduped: DataFrame) -> DataFrame:
     return a.join(b, "service_date").withColumns({"duplicates": F.col("raw_rows") - F.col("rows"), "duplicate_pct": c.rounded(100.0 * (F.col("raw_rows") - F.col("rows")) / F.col("raw_rows"), 1)})
 
 
+#: What the study counts of stop rows, in order.
+_DELIVERY = ["service_days", "scheduled_stop_rows", "observed_trips", "arrivals", "delivered", "on_time", "early", "late", "very_late"]
+
+
 def _delivery(*quantiles: int) -> list[Column]:
-    """What the study counts of stop rows, observed or not."""
+    """What the study counts of stop rows, observed or not, but days and trips."""
     d, has = F.col("delay_seconds"), F.col("actual_arrival").isNotNull()
     bands = {"delivered": d.between(-60, 420), "on_time": d.between(0, 180), "early": d < 0, "late": d > 180, "very_late": d > 420}
     return [
-        F.count_distinct("service_date").alias("service_days"), F.count("*").alias("scheduled_stop_rows"), F.count_distinct(F.when(has, F.struct("service_date", "trip_id"))).alias("observed_trips"), F.count_if(has).alias("arrivals"),
+        F.count("*").alias("scheduled_stop_rows"), F.count_if(has).alias("arrivals"),
         *[F.count_if(has & x).alias(k) for k, x in bands.items()], c.percentiles("CASE WHEN actual_arrival IS NOT NULL THEN delay_seconds END", tuple(p / 100 for p in quantiles)).alias("_q"),
     ]
 
 
+def _days_and_trips(obs: DataFrame, *by: str) -> DataFrame:
+    """Days and observed trips of stop rows, each pair once, with `by`; what _days_and_trips_counted() counts."""
+    return obs.select(*by, "service_date", F.when(F.col("actual_arrival").isNotNull(), F.col("trip_id")).alias("_trip"), F.col("actual_arrival").isNotNull().alias("_has")).distinct()
+
+
+def _days_and_trips_counted() -> list[Column]:
+    return [F.count_distinct("service_date").alias("service_days"), F.count_distinct(F.when(F.col("_has"), F.struct("service_date", "_trip"))).alias("observed_trips")]
+
+
 def exclude_dates(rows: DataFrame, dates: list[str]) -> DataFrame:
     """Rows of days other than those named; days that were only partly recorded distort shares."""
     return rows.where(~F.col("service_date").cast("string").isin(dates)) if dates else rows
@@ -156,12 +184,18 @@ def exclude_dates(rows: DataFrame, dates: list[str]) -> DataFrame:
 def period_route_rollup(obs: DataFrame, periods: Column) -> DataFrame:
     """Group and route by study period, as two grains of one pass, over stop rows with and without an arrival."""
     own = obs.withColumns({"period": periods, "route_group": c.route_group(F.col("route_id"))}).where("period is not null")
-    sets = own.groupingSets([["period", "route_group"], ["period", "route_group", "route_id"]], "period", "route_group", "route_id")
-    return _spread_out(sets.agg(F.when(F.grouping("route_id") == 1, "group").otherwise("route").alias("grain"), *_delivery(5, 50, 95)), (5, 50, 95))
+    grain, by = F.when(F.grouping("route_id") == 1, "group").otherwise("route").alias("grain"), ["period", "route_group", "route_id"]
+    sets = lambda rows: rows.groupingSets([by[:2], by], *by)
+    counts = sets(_days_and_trips(own, *by)).agg(grain, *_days_and_trips_counted())
+    out = _spread_out(_beside(sets(own).agg(grain, *_delivery(5, 50, 95)), counts, [*by, "grain"]), (5, 50, 95))
+    return out.select(*by, "grain", *_DELIVERY, *[f"p{p}_delay_s" for p in (5, 50, 95)])
 
 
 def weekly_group_rollup(obs: DataFrame) -> DataFrame:
-    return _spread_out(obs.groupBy(c.week_start(F.col("service_date")).alias("week_start"), c.route_group(F.col("route_id")).alias("route_group")).agg(*_delivery(50, 95)), (50, 95))
+    own, by = obs.withColumns({"week_start": c.week_start(F.col("service_date")), "route_group": c.route_group(F.col("route_id"))}), ["week_start", "route_group"]
+    counts = _days_and_trips(own, *by).groupBy(*by).agg(*_days_and_trips_counted())
+    out = _spread_out(_beside(own.groupBy(*by).agg(*_delivery(50, 95)), counts, by), (50, 95))
+    return out.select(*by, *_DELIVERY, "p50_delay_s", "p95_delay_s")
 
 
 def route_on_time_rate(obs: DataFrame, last_day: Column, days: int = 7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from punctual.operators import observations as o
 from punctual.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,17 @@ def test_stored_observations_need_no_ranges(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "stored_table", lambda s, sf, name, inputs, derive: seen.append(derive()))
     fixtures.observed(spark, SF)
     assert "rangepartitioning" not in plan_of(seen[0])
+
+
+def test_trips_are_counted_beside_quantiles(spark):
+    """No aggregate that is keyed by a trip or vehicle holds a group's quantiles."""
+    obs = fixtures.derived_observations(spark, SF)
+    for own in (o.route_stats(obs), o.system_stats(obs), o.weekly_group_rollup(obs)):
+        keyed = [x for x in plan_of(own).splitlines() if "percentile" in x and "Aggregate(keys=" in x]
+        assert keyed and not any("trip_id" in x.split("functions=")[0] or "vehicle_id" in x.split("functions=")[0] for x in keyed)
+
+
+def test_counts_beside_quantiles_keep_null_routes(spark):
+    rows = [("2026-05-20", None, "a", "v", 5), ("2026-05-20", None, "b", "v", 7), ("2026-05-20", "1", "a", "w", 9)]
+    obs = spark.createDataFrame(rows, "d string, route_id string, trip_id string, vehicle_id string, delay_seconds long").selectExpr("cast(d as date) as service_date", "route_id", "trip_id", "vehicle_id", "delay_seconds", "timestamp'2026-05-20 12:00:00' as actual_arrival", "false as is_stale", "1d as leg_avg_speed_mps")
+    assert {x.route_id: (x.trips, x.observations, x.p95_delay_s) for x in o.route_stats(obs).collect()} == {None: (2, 2, 7), "1": (1, 1, 9)}
