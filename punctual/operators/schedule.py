@@ -103,10 +103,10 @@ def trips_not_completed(plan: DataFrame, obs: DataFrame) -> DataFrame:
 
 def completion_distribution(cut_short: DataFrame) -> DataFrame:
     """By day: trips cut short, quantiles of how far they came, and how many came to each tenth."""
-    counts = cut_short.groupBy("service_date").agg(F.count("*").alias("trips"), *[F.count_if(F.col("bucket") == k).alias(f"bucket_{k}") for k in range(10)])
     shares = {f"p{p}_pct": p / 100 for p in (5, 25, 50, 75, 95)}
-    at = floor_percentiles(cut_short, ["service_date"], "pct", shares)
-    return counts.join(at.withColumns({x: c.rounded(F.col(x), 1) for x in shares}), "service_date")
+    each = _counted(cut_short, ["service_date"], ["pct", "bucket"])
+    tenths = [F.coalesce(F.sum(F.when(F.col("bucket") == k, F.col("_n"))), F.lit(0)).alias(f"bucket_{k}") for k in range(10)]
+    return each.groupBy("service_date").agg(F.sum("_n").alias("trips"), *tenths, *[c.rounded(_at_share("pct", p), 1).alias(x) for x, p in shares.items()])
 
 
 def distortion(plan: DataFrame, obs: DataFrame) -> DataFrame:
@@ -123,17 +123,22 @@ def distortion_histogram(distorted: DataFrame) -> DataFrame:
     return distorted.groupBy("route_id", c.distortion_bucket(F.col("percent")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def floor_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """keys, and for each named share p the value at index min(int(n p), n - 1) of the sorted group. Equal values are counted before they move, so a group is as large as its distinct values."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def _counted(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Each distinct row of keys and values with its count `_n`, the group's rows up to it `_upto` and all of them `_all`."""
+    counts = rows.groupBy(*keys, *values).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
-    own = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    return counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(*values)), "_all": F.sum("_n").over(w)})
+
 
-    def at(p: float) -> Column:
-        index = F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1)
-        return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col(value)))
+def _at_share(value: str, p: float) -> Column:
+    """Of a group of _counted(), the value at index min(int(n p), n - 1)."""
+    index = F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1)
+    return F.max(F.when((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index), F.col(value)))
 
-    return own.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+
+def floor_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each named share p the value at index min(int(n p), n - 1) of the sorted group. Equal values are counted before they move, so a group is as large as its distinct values."""
+    return _counted(rows, keys, [value]).groupBy(*keys).agg(*[_at_share(value, p).alias(name) for name, p in shares.items()])
 
 
 def floor_percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
