@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from punctual.functions import columns as c
 from punctual.operators import observations, trips
 from punctual.plans.storage import stored_table
+from punctual.sources.files import listing
 
 ROUTES = ["1", "6", "12", "51A", "72", "99", "600", "F", "NL", "800", "701", "1T"]
 STOP_M, LAT, STOPS = 352, 37.8, 7
@@ -41,8 +42,14 @@ def scheduled_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trips(table(spark, sf_dir, "orders")).drop("o_orderkey", "vehicle_id")
 
 
+#: Bytes of orders to a task of plan(), about two million stops.
+_PLAN_BYTES = 4_000_000
+
+
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _trips(table(spark, sf_dir, "orders")).withColumn("stop_sequence", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(STOPS).cast("long"))))
+    """Planned stops. Trips are dealt to tasks before each becomes its stops, so that windows by trip and joins on trips move no stops."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(size for _, size, _ in listing(spark, f"{sf_dir}/orders.parquet")) // _PLAN_BYTES)
+    own = _trips(table(spark, sf_dir, "orders")).repartition(tasks, "service_date", "trip_id").withColumn("stop_sequence", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(STOPS).cast("long"))))
     pickup = F.when((F.col("stop_sequence") == 4) & (F.col("o_orderkey") % 5 == 0), 1).otherwise(0)
     return own.withColumns({"stop_id": F.concat(F.lit("S"), F.col("stop_sequence")), "scheduled_arrival": _scheduled("o_orderkey", "stop_sequence"), "pickup_type": pickup}).drop("o_orderkey", "vehicle_id")
 
