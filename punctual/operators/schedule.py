@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ DAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "satur
 TRIP = ["service_date", "trip_id"]
 
 
+def join_in_trip(left: DataFrame, right: DataFrame, *within: str) -> DataFrame:
+    """left with the columns of those rows of right that have the same trip and values of `within`, nulls where there are none.
+
+    The trip alone is the join's key: `within` is compared behind it, as two bounds, since Spark would deal rows by an equality too, and so take them away from the rest of their trip.
+    """
+    own = right.withColumnsRenamed({x: f"_{x}" for x in (*TRIP, *within)})
+    same = [F.col(x) == F.col(f"_{x}") for x in TRIP] + [F.col(x).between(F.col(f"_{x}"), F.col(f"_{x}")) for x in within]
+    return left.join(own, reduce(and_, same), "left").drop(*[f"_{x}" for x in (*TRIP, *within)])
+
+
 def active_services(dates: DataFrame, calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     """service_date, service_id: calendar ranges by weekday, with exceptions of type 1 added and of type 2 removed."""
     flags = F.array(*[F.col(d) for d in DAYS])
@@ -42,7 +55,7 @@ def scheduled_runs(plan: DataFrame) -> DataFrame:
 def route_stop_delivery(plan: DataFrame, obs: DataFrame) -> DataFrame:
     """Scored stops, and those served in the riders' window, by day and route."""
     served = arrived(obs).where(in_rider_window(F.col("delay_seconds"))).select("service_date", "trip_id", "stop_sequence", F.lit(1).alias("served"))
-    own = stop_plan(plan).where("scored").join(served, ["service_date", "trip_id", "stop_sequence"], "left")
+    own = join_in_trip(stop_plan(plan).where("scored"), served, "stop_sequence")
     return own.groupBy("service_date", "route_id").agg(F.count("*").alias("scored"), F.count("served").alias("delivered")).withColumn("delivered_pct", c.rounded(100.0 * F.col("delivered") / F.col("scored"), 1))
 
 
