@@ -212,13 +212,14 @@ def unscheduled_trips(trips: DataFrame, obs: DataFrame) -> DataFrame:
 
 def schedule_obs_merge(plan: DataFrame, obs: DataFrame) -> DataFrame:
     """Each planned stop with its observation, if any, and whether its trip was observed anywhere. A key that either side repeats is an error."""
-    key = [*TRIP, "stop_sequence", "stop_id"]
+    key = ["stop_sequence", "stop_id"]
 
-    def once(df: DataFrame, rest: list[str]) -> DataFrame:
-        """df by key, which is also how it is joined."""
-        own = df.groupBy(*key).agg(F.count("*").alias("_copies"), *[F.first(x).alias(x) for x in rest])
-        return own.where(F.when(F.col("_copies") > 1, F.raise_error(F.lit("a planned stop or its observation is repeated"))).otherwise(True)).drop("_copies")
+    def once(df: DataFrame) -> DataFrame:
+        """df, an error if a trip has a stop again. By trip, as it is joined."""
+        before = F.lag(F.struct(*key)).over(Window.partitionBy(*TRIP).orderBy(*key))
+        own = df.withColumn("_again", before.eqNullSafe(F.struct(*key)))
+        return own.where(F.when(F.col("_again"), F.raise_error(F.lit("a planned stop or its observation is repeated"))).otherwise(True)).drop("_again")
 
-    seen = once(obs, ["vehicle_id", "actual_arrival", "delay_seconds", "is_stale"])
-    own = once(plan, [x for x in plan.columns if x not in key]).join(seen, key, "left")
+    seen = once(obs.select(*TRIP, *key, "vehicle_id", "actual_arrival", "delay_seconds", "is_stale"))
+    own = join_in_trip(once(plan), seen, *key)
     return own.withColumn("trip_observed", F.count("actual_arrival").over(Window.partitionBy(*TRIP)) > 0)
