@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions import columns as c
 from punctual.operators.observations import arrived
+from punctual.operators.schedule import join_in_trip
 
 LINE = ["route_id", "direction_id"]
 # fixed values: what became of a scheduled run
@@ -22,7 +23,7 @@ def screenline(plan: DataFrame, obs: DataFrame, stops: dict[int, str]) -> DataFr
     at = came.select("service_date", "trip_id", "stop_sequence", "actual_arrival")
     anywhere = came.select("service_date", "trip_id", F.lit(True).alias("anywhere")).distinct()
     w = Window.partitionBy("service_date", *LINE).orderBy("scheduled_arrival", "trip_id")
-    own = plan.where(here).join(at, ["service_date", "trip_id", "stop_sequence"], "left").join(anywhere, ["service_date", "trip_id"], "left")
+    own = join_in_trip(plan.where(here), at, "stop_sequence").join(anywhere, ["service_date", "trip_id"], "left")
     status = F.when(F.col("actual_arrival").isNotNull(), HERE).when(F.col("anywhere"), ELSEWHERE).otherwise(NOWHERE)
     spacing = c.seconds_between(F.lag("scheduled_arrival").over(w), F.col("scheduled_arrival")) / 60
     return own.select("service_date", *LINE, "trip_id", "scheduled_arrival", "actual_arrival", (F.row_number().over(w) - 1).cast("long").alias("schedule_index"), spacing.alias("scheduled_headway_min"), status.alias("status"))
