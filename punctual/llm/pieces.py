@@ -49,14 +49,14 @@ class Remembered(dict):
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 #: A mark of punctuation alone behind a letter or digit: the pattern makes it a word of its own.
-_MARK = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,](?=[ \n]|\\Z)")
+_MARK = re.compile("[.,](?=[ \n]|\\Z)(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f].)")  # looks back last: marks are few, other characters many
 
 
 def keys_of(text: str) -> list[str]:
     """The pieces of text as keys: a key that begins with U+0000 stands for what follows it, any other one for itself behind a space."""
     if not text:
         return []
-    if any(x in text for x in _RUNS) or text[0].isspace() or text[-1].isspace() or _ODD.search(text):
+    if any(x in text for x in _RUNS) or text[0].isspace() or text[-1].isspace() or (not text.replace("\n", "").isprintable() and _ODD.search(text)):
         return [p[1:] if p[:1] == " " and p[1:2] not in ("", " ", "\x00") else "\x00" + p for p in cut(text)]
     text = _MARK.sub(" \x00\\g<0>", text)
     if "\n" in text:

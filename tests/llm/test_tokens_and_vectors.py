@@ -200,3 +200,11 @@ def test_numbers_in_narrow_bytes():
     for top in (3, 40_000, 1 << 40):
         values = np.array([[0, top], [-top, 1]])
         assert (wide(narrow(values), 2) == values).all()
+
+
+def test_odd_characters_are_never_printable():
+    """keys_of() looks for odd characters only in texts that are not printable but for line ends, and a mark of punctuation stands alone only behind a letter or digit."""
+    from punctual.llm import pieces
+
+    assert not any(chr(k).isprintable() for k in range(0x110000) if pieces._ODD.match(chr(k)))
+    assert pieces.keys_of("Ab, (c). d.\né,") == ["\x00Ab", "\x00,", "(c).", "d", "\x00.", "\x00\n", "\x00é", "\x00,"]
