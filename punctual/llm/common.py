@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of their values, of a table that a join may broadcast; a larger one is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16_000_000
+#: Bytes of a batch sent to Python, and rows of a batch read from Parquet, in bounded_batches().
+BATCH_BYTES, READ_ROWS = 4_000_000, 512
 #: A key is hot if it has more rows than this, and more than one in HOT_SHARE of all: there are at most HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 2_000, 100_000
 #: Tasks over which the rows of one key are dealt in joins with sides larger than that.
@@ -51,6 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session moves rows in smaller batches. Each task holds a batch several times over, on the heap, beside it and in its Python
+    worker; Spark's own bounds are 64 MB to Python and 4,096 rows from Parquet, whatever the length of texts. Results don't depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset and all runs on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -154,22 +154,26 @@ def _shard_hits(text: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _found(texts: list[list[bytes]], phrases: Phrases, merged: list, items: list[set[str]]) -> None:
-    """Adds the hit spans of a shard's documents, as [begin, end) word positions, and the items."""
-    parts, docs, places, get = [], [], [], phrases.number.get
-    for k, own in enumerate(texts):
-        if len(own) >= phrases.least > 0:
-            ids = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-            if len(kept := _stretches(ids, phrases)):
-                gaps = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)]) + np.arange(len(kept)) + 1
-                text, place = np.zeros(gaps[-1] + 2, np.int64), np.zeros(gaps[-1] + 2, np.int64)
-                text[gaps], place[gaps] = ids[kept], kept
-                parts.append(text)
-                docs.append(np.full(len(text), k))
-                places.append(place)
-    if not parts:
+def _kept(own: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray] | None:
+    """What a shard keeps of a document: its stretches as word numbers with a 0 before, between and after them, and their places; None if there are none."""
+    if not len(own) >= phrases.least > 0:
+        return None
+    ids = np.fromiter(map(phrases.number.get, own, repeat(0)), np.int64, len(own))
+    kept = _stretches(ids, phrases)
+    if not len(kept):
+        return None
+    gaps = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)]) + np.arange(len(kept)) + 1
+    text, place = np.zeros(gaps[-1] + 2, np.int64), np.zeros(gaps[-1] + 2, np.int64)
+    text[gaps], place[gaps] = ids[kept], kept
+    return text, place
+
+
+def _found(own: list[tuple[int, np.ndarray, np.ndarray]], phrases: Phrases, merged: list, items: list[set[str]]) -> None:
+    """Adds the hit spans of a shard's documents, as [begin, end) word positions, and the items. own: numbers of documents and what is kept of them."""
+    if not own:
         return
-    text, doc, place = (np.concatenate(x) for x in (parts, docs, places))
+    text, place = (np.concatenate([x[k] for x in own]) for k in (1, 2))
+    doc = np.repeat([k for k, _, _ in own], [len(x) for _, x, _ in own])
     at, length, phrase = _shard_hits(text, phrases)
     mark = np.zeros(len(text) + 1, np.int64)
     np.add.at(mark, at, 1)
@@ -205,27 +209,32 @@ def _joined(batches):
 def _search(parts: list):
     """A mapInArrow function over (id, h, text): per document n_words, the merged hit spans as word positions, and the items. parts: broadcast phrases."""
 
-    def flush(ids, hashes, texts):
+    def flush(ids, hashes, sizes, kept):
         merged: list[list[list[int]]] = [[] for _ in ids]
         items: list[set[str]] = [set() for _ in ids]
-        for part in parts:
-            _found(texts, part.value, merged, items)
+        for part, own in zip(parts, kept, strict=True):
+            _found(own, part.value, merged, items)
         if len(parts) > 1:
             merged = [_union(x) for x in merged]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
 
     def run(batches):
         free_worker_tables()
-        shard, size = ([], [], []), 0
+        new = lambda: ([], [], [], [[] for _ in parts])
+        shard, size = new(), 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = words(row[2])
-                for column, value in zip(shard, (row[0], row[1], own), strict=True):
+            for k in range(batch.num_rows):  # one text at a time: of its words only the kept stretches stay
+                i, h, text = (c[k].as_py() for c in batch.columns)
+                own = words(text)
+                for part, kept in zip(parts, shard[3], strict=True):
+                    if found := _kept(own, part.value):
+                        kept.append((len(shard[0]), *found))
+                for column, value in zip(shard, (i, h, len(own)), strict=False):
                     column.append(value)
                 size += len(own)
                 if size >= _SHARD or len(shard[0]) >= 20_000:
                     yield flush(*shard)
-                    shard, size = ([], [], []), 0
+                    shard, size = new(), 0
         if shard[0]:
             yield flush(*shard)
 

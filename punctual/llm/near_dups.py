@@ -69,8 +69,8 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
         a, b = _coefficients()
         for batch in batches:
             out = ([], [], [])
-            for text in batch.column(2).to_pylist():
-                own = shingle_set(text, width)
+            for text in batch.column(2):  # one at a time
+                own = shingle_set(text.as_py(), width)
                 out[0].append(len(own))
                 out[1].append(xxhash.xxh3_128_digest(own.tobytes()))
                 out[2].append(signature(own, a, b).tobytes())
@@ -132,8 +132,8 @@ def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], reps
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = _shared(x, y)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -180,7 +180,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, percent: int, id_col: s
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width).tobytes() for t in batch.column(2).to_pylist()]
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(2)]
             own = pa.array([xxhash.xxh3_128_digest(x) == key for x, key in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "members"]).filter(own)
 
